@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import conversations, lookalikes, splitting
+from vellum.llm import conversations, leaks, lookalikes, neighbours, splitting, tokens
 from vellum.session import table
 
 
@@ -42,5 +42,31 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("form", lookalikes.form(F.col("text")))
 
 
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda t: neighbours.units(table(spark, d, t), "entry_id", "vector")
+    return one("semantic_cache").unionByName(one("cache_entries"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(_entries(spark, d))
+
+
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of any cosine for every entry whose id is divisible by 100, against all entries."""
+    return neighbours.nearest(_entries(spark, d), F.col("id") % 100 == 0)
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}

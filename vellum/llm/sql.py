@@ -35,7 +35,7 @@ from f where not rep and sid in (select sid from j where br = 0 and mr = 0)
 
 P2_FOUND = r"""
 with t as (select id, regexp_replace(content, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') as c from chunks)
-select id as chunk_id, case when max(list_max(list_transform(regexp_split_to_array(c, '[ \t\n\r\f]'), x -> length(x)))) > 1200 then 'forced' else 'natural' end as cut
+select id as chunk_id, case when max(list_max(list_transform(regexp_split_to_array(c, '[ \t\n\r\f]'), lambda x: length(x)))) > 1200 then 'forced' else 'natural' end as cut
 from t where length(c) > 1200 group by id
 """
 
