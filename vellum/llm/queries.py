@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import conversations, leaks, lookalikes, neighbours, splitting, tokens
+from vellum.llm import conversations, languages, leaks, lookalikes, neighbours, splitting, tokens
 from vellum.session import table
 
 
@@ -68,5 +68,15 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.cases(docs, languages.train(docs))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.segments(docs, languages.train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
