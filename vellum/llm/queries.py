@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import conversations, languages, leaks, lookalikes, neighbours, splitting, tokens
+from vellum.llm import answers, conversations, languages, leaks, lookalikes, neighbours, splitting, tokens
 from vellum.session import table
 
 
@@ -42,6 +42,10 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("form", lookalikes.form(F.col("text")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defects(table(spark, d, "semantic_cache"))
+
+
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     one = lambda t: neighbours.units(table(spark, d, t), "entry_id", "vector")
     return one("semantic_cache").unionByName(one("cache_entries"))
