@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIM, K, FLOOR, RECALL = 64, 5, 0.85, 0.985
-SAMPLE, CALIBRATION, LEAF, BRANCH, MAX_LEAVES = 24_000, 400, 256, 12, 16_384
+DIM, K, FLOOR, RECALL = 64, 5, 0.85, 0.975
+SAMPLE, CALIBRATION, LEAF, BRANCH, MAX_LEAVES, BUCKET = 24_000, 1_200, 1_024, 12, 16_384, 8
 SALTS = 16
 
 
@@ -35,6 +35,7 @@ class Tree:
     def __init__(self, sample: np.ndarray, leaf: int, branch: int, most: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         centres, first, count = [np.zeros(sample.shape[1], np.float32)], [0], [0]
+        size, up = [len(sample)], [-1]
         open_ = [(len(sample), 0, np.arange(len(sample)))]
         leaves = 1
         while open_:
@@ -51,10 +52,17 @@ class Tree:
                 centres.append(got[c])
                 first.append(0)
                 count.append(0)
+                size.append(int((label == c).sum()))
+                up.append(node)
             leaves += len(got) - 1
         self.centre, self.first, self.count = np.stack(centres), np.array(first), np.array(count)
         self.leaf = np.where(self.count == 0, np.cumsum(self.count == 0) - 1, -1)
         self.leaves = int((self.count == 0).sum())
+        # a bucket is a subtree of about BUCKET leaves: a vector goes to it once, whatever it visits there
+        top = np.full(len(size), -1)
+        for i in range(len(size)):  # parents come first
+            top[i] = top[up[i]] if i and top[up[i]] >= 0 else i if size[i] <= BUCKET * leaf or not count[i] else -1
+        self.bucket = np.searchsorted(np.unique(top[self.count == 0]), top[self.count == 0])
 
     def visit(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The leaves that each row of x visits, best bin first; -1 where there are no more. The queues of all rows advance in step."""
@@ -186,11 +194,10 @@ class Index:
         from vellum.session import checkpointed
 
         self.dim, self.k, self.floor, self.spark = dim, k, floor, entries.sparkSession
-        one = entries.groupBy("id").agg(F.min("unit").alias("unit"))
-        rank = F.row_number().over(Window.partitionBy("unit").orderBy("id"))
-        self.entries = checkpointed(one)
+        self.entries = checkpointed(entries)
+        rank = F.dense_rank().over(Window.partitionBy("unit").orderBy("id"))
         head = self.entries.withColumn("n", rank).where(F.col("n") <= k + 1)  # at most k + 1 of a class go on from each task
-        self.classes = checkpointed(head.groupBy("unit").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("firsts")))
+        self.classes = checkpointed(head.groupBy("unit").agg(F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("firsts")))
         n = self.classes.count()
         self.rows = n
         part = self.classes.select("id", "unit")
@@ -238,49 +245,69 @@ class Index:
         tree, dim, k, floor, m = self.spark.sparkContext.broadcast(self.tree), self.dim, self.k, self.floor, visits or self.visits
         everyone = queries is None
 
-        def spread(visits: int, home: bool):
+        def spread(visits: int, home: bool, asks: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                t = tree.value
                 for b in batches:
                     x = _matrix(b.column(1), dim)
                     if not len(x):
                         continue
-                    to = tree.value.visit(x, visits)
+                    to = t.visit(x, visits)
                     r, c = np.nonzero(to >= 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(to[r, c], pa.int32()), b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r)), pa.array((c == 0) if everyone else np.full(len(r), home)), pa.array(np.full(len(r), everyone or not home))], ["leaf", "id", "unit", "home", "asks"])
+                    to, place = to[r, c], c
+                    bucket = t.bucket[to]
+                    order = np.lexsort((place, bucket, r))
+                    r, to, bucket, place = r[order], to[order], bucket[order], place[order]
+                    at = np.flatnonzero(np.r_[True, (np.diff(r) != 0) | (np.diff(bucket) != 0)])
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(to)], pa.int32()), pa.array(to if asks else np.zeros(len(to)), pa.int32()))
+                    own = np.where(place[at] == 0, to[at], -1) if home else np.full(len(at), -1)
+                    rows = pa.array(r[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), b.column(0).take(rows), b.column(1).take(rows), pa.array(own, pa.int32()), lists if asks else pa.array([[]] * len(at), pa.list_(pa.int32()))], ["bucket", "id", "unit", "home", "visits"])
 
             return run
 
-        schema = "leaf int, id bigint, unit binary, home boolean, asks boolean"
+        schema = "bucket int, id bigint, unit binary, home int, visits array<int>"
         rows = self.classes.select("id", "unit")
-        sent = rows.mapInArrow(spread(m, True), schema) if everyone else rows.mapInArrow(spread(1, True), schema).unionByName(queries.select("id", "unit").mapInArrow(spread(m, False), schema))
-
-        def leaf(t: pa.Table) -> pa.Table:
-            ids, x = t["id"].to_numpy(), _matrix(t["unit"], dim)
-            home, asks = t["home"].to_numpy(zero_copy_only=False), t["asks"].to_numpy(zero_copy_only=False)
-            base = np.flatnonzero(home)
-            base = base[np.argsort(ids[base], kind="stable")]
-            q = np.flatnonzero(asks)
-            if not len(base) or not len(q):
-                return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float32())})
-            r, i, s = _top(x[q], x[base], ids[base], ids[q], k, floor)
-            return pa.table({"query": pa.array(ids[q][r], pa.int64()), "id": pa.array(i, pa.int64()), "cosine": pa.array(s, pa.float32())})
-
-        found = sent.groupBy("leaf").applyInArrow(leaf, "query bigint, id bigint, cosine float")
+        sent = rows.mapInArrow(spread(m, True, True), schema) if everyone else rows.mapInArrow(spread(1, True, False), schema).unionByName(queries.select("id", "unit").mapInArrow(spread(m, False, True), schema))
+
+        def look(t: pa.Table) -> pa.Table:
+            ids, x, home = t["id"].to_numpy(), _matrix(t["unit"], dim), t["home"].to_numpy()
+            v = t["visits"].combine_chunks()
+            who, where = np.repeat(np.arange(len(ids)), v.value_lengths().to_numpy()), v.flatten().to_numpy()
+            order = np.argsort(where, kind="stable")
+            who, where = who[order], where[order]
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+            by = np.lexsort((ids, home))
+            for leaf in np.unique(where).tolist():
+                q = who[np.searchsorted(where, leaf) : np.searchsorted(where, leaf, "right")]
+                base = by[np.searchsorted(home[by], leaf) : np.searchsorted(home[by], leaf, "right")]
+                if len(base):
+                    r, i, c = _top(x[q], x[base], ids[base], ids[q], k, floor)
+                    out.append((ids[q][r], i, c))
+            q, i, c = (np.concatenate(z) for z in zip(*out))
+            order = np.lexsort((i, -c, q))
+            q, i, c = q[order], i[order], c[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return pa.table({"query": pa.array(q[keep], pa.int64()), "id": pa.array(i[keep], pa.int64()), "cosine": pa.array(c[keep], pa.float32())})
+
+        found = sent.groupBy("bucket").applyInArrow(look, "query bigint, id bigint, cosine float")
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))  # at most k rows a visit
         return found.withColumn("n", rank).where(F.col("n") <= k).drop("n")
 
     def open(self, near: DataFrame) -> DataFrame:
         """(entry, neighbour, cosine): the k best entries of each entry, from the classes' neighbours."""
         k = self.k
-        firsts = self.classes.select(F.col("id").alias("class"), "firsts", "unit")
-        lists = near.join(firsts.select(F.col("class").alias("id"), "firsts"), "id").groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "id", "firsts"))).alias("others"))
-        one = firsts.join(lists, firsts["class"] == lists["query"], "left").select("class", "unit", "firsts", F.coalesce(F.col("others"), F.expr("cast(array() as array<struct<far:float,id:bigint,firsts:array<bigint>>>)")).alias("others"))
+        many = self.classes.where(F.size("firsts") > 1).select(F.col("id").alias("class"), "unit", "firsts")
+        lists = near.join(many.select(F.col("class").alias("id"), "firsts"), "id", "left").withColumn("firsts", F.coalesce("firsts", F.array("id")))
+        lists = lists.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "id", "firsts"))).alias("others"))  # at most k
+        one = lists.join(many, lists["query"] == many["class"], "full").select(F.coalesce("firsts", F.array("query")).alias("firsts"), "unit", F.coalesce(F.col("others"), F.expr("cast(array() as array<struct<far:float,id:bigint,firsts:array<bigint>>>)")).alias("others"))
         flat = F.expr("concat(transform(firsts, x -> struct(x as n, 1.0f as c)), flatten(transform(others, o -> transform(o.firsts, x -> struct(x as n, -o.far as c)))))")
-        full = one.where("size(firsts) > 1 or size(others) > 0").select("unit", F.slice(flat, 1, 3 * k + 1).alias("best"))
-        # a class may hold any share of the entries: its row goes to each of SALTS parts
-        salted = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        e = self.entries.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(salted, ["unit", "salt"])
-        e = e.select("id", F.slice(F.filter("best", lambda b: b["n"] != F.col("id")), 1, k).alias("best"))
+        one = one.select("unit", "firsts", F.slice(flat, 1, 3 * k + 1).alias("best"))
+        few = one.where(F.size("firsts") <= k).select(F.explode("firsts").alias("id"), "best")
+        # a larger class may hold any share of the entries: its row goes to each of SALTS parts
+        hot = one.where(F.size("firsts") > k).select("unit", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        e = self.entries.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(hot, ["unit", "salt"]).select("id", "best")
+        e = few.unionByName(e).select("id", F.slice(F.filter("best", lambda b: b["n"] != F.col("id")), 1, k).alias("best"))
         return e.select(F.col("id").alias("entry"), F.inline("best")).select("entry", F.col("n").alias("neighbour"), F.col("c").alias("cosine"))
 
 
