@@ -25,6 +25,14 @@ def query(sql: str | None = None):
 
 def _load() -> None:
     """Imports the modules that register queries."""
+    import importlib
+    import pkgutil
+
+    from vellum import plans
+
+    for m in pkgutil.iter_modules(plans.__path__):
+        if m.name.startswith("q_"):
+            importlib.import_module(f"vellum.plans.{m.name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
