@@ -117,13 +117,14 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     answers with its own k best, so what is shuffled is k rows a batch and query.
     """
     import numpy as np
-    import pandas as pd
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     def block(rows: list) -> DataFrame:
         ids = [r.query_id for r in rows]
         q = np.array([r.vector for r in rows], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        types = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["doc_id"].dataType)
         sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
         def score(batches):
@@ -141,8 +142,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 s = np.round(q @ x.T, 6)
                 n = min(k, s.shape[1])
                 top = np.argsort(-s, 1, kind="stable")[:, :n]
-                out = pd.DataFrame({"query_id": np.repeat(ids, n), "doc_id": key[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)], types[0]), pa.array(key[top.ravel()], types[1]), pa.array(np.take_along_axis(s, top, 1).ravel())], ["query_id", "doc_id", "score"])
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
         return vectors.select("doc_id", "vector").mapInArrow(score, kinds)

@@ -36,12 +36,14 @@ def scan(spark: SparkSession, folder: str, endings: list[str] | None = None) ->
 
 def decoded(c):
     """Bytes as UTF-8, or where they aren't valid, as the Vietnamese single-byte code page."""
-    return F.when(F.is_valid_utf8(F.decode(c, "UTF-8")) & ~F.contains(F.decode(c, "UTF-8"), F.lit("�")), F.decode(c, "UTF-8")).otherwise(_single_byte(c))
 
+    @F.pandas_udf("string")
+    def single_byte(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else bytes(b).decode("cp1258", errors="replace"))
 
-@F.pandas_udf("string")
-def _single_byte(s: pd.Series) -> pd.Series:
-    return s.map(lambda b: None if b is None else bytes(b).decode("cp1258", errors="replace"))
+    text = c.cast("string")
+    valid = F.is_valid_utf8(text)
+    return F.coalesce(F.when(valid, text), single_byte(F.when(~valid, c)))
 
 
 def elements(files: DataFrame) -> DataFrame:
