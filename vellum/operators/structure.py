@@ -19,10 +19,16 @@ WINDOW, OVERLAP, LEAST = 250, 50, 30
 CHUNK_TOKENS, CHUNK_OVERLAP = 800, 100
 
 
-def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, line) of the lines that aren't blank or a rule, trimmed."""
-    l = docs.select(key, F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("pos", "line"))  # noqa: E741
-    return l.withColumn("line", F.trim(F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))).where((F.col("line") != "") & ~F.col("line").rlike(r"^[-=_*]{5,}$"))
+def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", squeezed: bool = False) -> DataFrame:
+    """(key, pos, line) of the lines that aren't blank or a rule, trimmed; with `_t`, the line with single blanks, if asked.
+
+    Lines are trimmed within the array: a filter on what comes out of explode isn't pushed below
+    it, so the patterns aren't matched once more for each condition on a line.
+    """
+    trim = lambda x: F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    one = (lambda x: F.struct(trim(x).alias("line"), T.squeeze(x).alias("_t"))) if squeezed else (lambda x: F.struct(trim(x).alias("line")))
+    l = docs.select(key, F.posexplode(F.transform(F.split(F.col(text), r"\r\n|\r|\n"), one)).alias("pos", "_l")).select(key, "pos", "_l.*")  # noqa: E741
+    return l.where((F.col("line") != "") & ~F.col("line").rlike(r"^[-=_*]{5,}$"))
 
 
 def all_caps(c: Column) -> Column:
@@ -40,43 +46,57 @@ def roman(c: Column) -> Column:
     return F.aggregate(digits, start, step, lambda a: a["sum"])
 
 
-def heading_level(c: Column) -> Column:
-    """1 to 4 for a numbered or named heading, null for other text."""
-    t = T.squeeze(c)
-    low = F.lower(t)
+def _level(t: Column, low: Column) -> Column:
+    """Level by the look of a squeezed text and its lower case."""
     number = F.regexp_extract(t, r"^(\d+(?:\.\d+){0,5})[.)]?\s+", 1)
-    dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
     return (
-        F.when(low.rlike(r"^(?:chương|chuong|phần|phan) "), 1)
-        .when(low.rlike(r"^(?:mục|muc) "), 2)
-        .when(low.rlike(r"^(?:điều|dieu)\s+(?:\d+|[ivxlcdm]+)"), 2)
+        F.when(low.rlike(r"^(?:(?:chương|chuong|phần|phan) |[ivxlcdm]*[ivxlc][ivxlcdm]*[.)]\s)"), 1)
+        .when(low.rlike(r"^(?:(?:mục|muc) |(?:điều|dieu)\s+(?:\d+|[ivxlcdm]+))"), 2)
         .when(low.rlike(r"^(?:khoản|khoan)\s+\d+"), 3)
-        .when(low.rlike(r"^(?:điểm|diem)\s+[a-z]|^[a-z]\)\s+"), 4)
-        .when(low.rlike(r"^[ivxlcdm]*[ivxlc][ivxlcdm]*[.)]\s+"), 1)
-        .when(number != "", F.least(dots + 1, F.lit(4)))
+        .when(low.rlike(r"^(?:(?:điểm|diem)\s+[a-z]|[a-z]\)\s+)"), 4)
+        .when(t.rlike(r"^\d+(?:\.\d+){0,5}[.)]?\s"), F.least(F.size(F.split(number, r"\.")), F.lit(4)))
     )
 
 
+def heading_level(c: Column) -> Column:
+    """1 to 4 for a numbered or named heading, null for other text."""
+    t = T.squeeze(c)
+    return _level(t, F.lower(t))
+
+
+def _heading(t: Column, low: Column, level: Column, category: Column | None) -> tuple[Column, Column]:
+    """(whether a squeezed text is a heading, its level)."""
+    short_caps = all_caps(t) & (F.length(t) <= 120)
+    named = low.rlike(r"(?U)^(?:điều|khoản|mục|phần|chương)\b")
+    titled = category == "Title" if category is not None else F.lit(False)
+    is_ = F.coalesce((t != "") & (titled | ((F.length(t) <= 180) & (level.isNotNull() | short_caps | named))), F.lit(False))
+    rest = F.when(short_caps, 1).when(low.rlike(r"(?U)^điều\b"), 2).otherwise(3)
+    if category is not None:
+        rest = F.when(titled, F.when(F.length(t) <= 100, 2).otherwise(3)).otherwise(rest)
+    return is_, F.coalesce(level, rest)
+
+
 def looks_like_heading(c: Column, category: Column | None = None) -> Column:
     t = T.squeeze(c)
-    named = t.rlike(r"(?iU)^(?:Điều|Khoản|Mục|Phần|Chương)\b")
-    by_form = (F.length(t) <= 180) & (heading_level(t).isNotNull() | (all_caps(t) & (F.length(t) <= 120)) | named)
-    return F.coalesce((t != "") & (by_form | (category == "Title" if category is not None else F.lit(False))), F.lit(False))
+    return _heading(t, F.lower(t), heading_level(c), category)[0]
 
 
 def level_of(c: Column, category: Column | None = None) -> Column:
     """Level of a text that is a heading."""
     t = T.squeeze(c)
-    title = F.when(F.length(t) <= 100, 2).otherwise(3)
-    rest = F.when(all_caps(t) & (F.length(t) <= 120), 1).when(t.rlike(r"(?iU)^Điều\b"), 2).otherwise(3)
-    if category is not None:
-        rest = F.when(category == "Title", title).otherwise(rest)
-    return F.coalesce(heading_level(t), rest)
+    return _heading(t, F.lower(t), heading_level(c), category)[1]
+
+
+def with_headings(l: DataFrame, category: str | None = None) -> DataFrame:  # noqa: E741
+    """Lines (with `_t`) with `level`, null for lines that are no headings."""
+    d = l.withColumn("_low", F.lower("_t")).withColumn("_level", _level(F.col("_t"), F.col("_low")))
+    is_, level = _heading(F.col("_t"), F.col("_low"), F.col("_level"), F.col(category) if category else None)
+    return d.withColumn("level", F.when(is_, level)).drop("_t", "_low", "_level")
 
 
 def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, line, level) of the lines that are headings."""
-    return lines(docs, key, text).where(looks_like_heading(F.col("line"))).withColumn("level", level_of(F.col("line")))
+    return with_headings(lines(docs, key, text, True)).where("level is not null")
 
 
 def outline(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,8 +105,7 @@ def outline(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     The nearest earlier heading of a lower level is the parent; the stack of open headings is kept
     while the lines of one document are read.
     """
-    l = lines(docs, key, text)  # noqa: E741
-    l = l.withColumn("level", F.when(looks_like_heading(F.col("line")), level_of(F.col("line"))))  # noqa: E741
+    l = with_headings(lines(docs, key, text, True))  # noqa: E741
     g = l.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "level", "line"))).alias("ls"))
     return g.select(key, "ls").mapInPandas(_outline(key), f"{key} {docs.schema[key].dataType.simpleString()}, pos int, level int, path array<string>, content string")
 

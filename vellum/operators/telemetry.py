@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,35 +40,37 @@ def rate_limited(hits: DataFrame, limit: int, seconds: int, key: str = "user_id"
 
     Whether a hit is accepted depends on the decisions before, so hits of a key are read in order.
     A gap of more than `seconds` without any hit forgets everything: runs between such gaps are
-    independent, and each is a group of its own, so a key with any share of the rows is spread.
+    independent and spread by key and run, so a key with any share of the rows is spread too. Hits
+    without a key or a time are left out.
     """
-    import pandas as pd
-
     from vellum.operators.segments import last_before
 
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us, reach = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
     # Ties at one time must share a bucket; hits are ordered by time, then tie.
-    h = hits.withColumn("_us", us)
+    h = hits.withColumn("_us", us).where("_us is not null")
     h = last_before(h, [key], "_us", F.col("_us"), "_p", seconds * 1_000_000 * 60, [tie])
     h = h.withColumn("_new", (F.col("_p").isNull() | (F.col("_us") - F.col("_p") > seconds * 1_000_000)).cast("int"))
     h = last_before(h, [key], "_us", F.when(F.col("_new") == 1, F.col("_us")), "_run", seconds * 1_000_000 * 60, [tie])
     h = h.withColumn("_run", F.when(F.col("_new") == 1, F.col("_us")).otherwise(F.col("_run"))).drop("_p", "_new")
     out = T.StructType([*hits.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("retry_after", T.DoubleType())])
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["_us", tie], kind="stable")
-        log: list[int] = []
-        ok, wait = [], []
-        for t in f["_us"]:
-            while log and t - log[0] > seconds * 1_000_000:
-                log.pop(0)
-            ok.append(len(log) < limit)
-            wait.append(None if ok[-1] else (seconds * 1_000_000 - (t - log[0])) / 1e6)
-            if ok[-1]:
-                log.append(t)
-        return f.drop(columns=["_us", "_run"]).assign(accepted=ok, retry_after=wait)[out.names]
-
-    return h.select(*hits.columns, "_us", "_run").groupBy(key, "_run").applyInPandas(run, out)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, log = None, deque()
+        for f in frames:
+            ok, wait = [], []
+            for k, r, t in zip(f[key], f["_run"], f["_us"], strict=True):
+                if (k, r) != now:
+                    now, log = (k, r), deque()
+                while log and t - log[0] > reach:
+                    log.popleft()
+                ok.append(len(log) < limit)
+                wait.append(None if ok[-1] else (reach - (t - log[0])) / 1e6)
+                if ok[-1]:
+                    log.append(t)
+            yield f.drop(columns=["_us", "_run"]).assign(accepted=ok, retry_after=pd.array(wait, "Float64"))[out.names]
+
+    h = h.select(*hits.columns, "_us", "_run").where(F.col(key).isNotNull()).repartition(key, "_run").sortWithinPartitions(key, "_run", "_us", tie)
+    return h.mapInPandas(run, out)
 
 
 def healthy(checks: DataFrame) -> DataFrame:
