@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import intent
 from vellum.operators import cache, conversation, evaluation, memory, models, retrieval, segments, telemetry
 
 
@@ -46,9 +47,9 @@ def test_sources_of_every_form(spark):
 
 
 def test_followups_are_rewritten(spark):
-    df = spark.createDataFrame([("Mục 2 là gì?", "ans", "q"), ("Học phí bao nhiêu?", "ans", "q"), ("nói rõ hơn", None, "q"), ("nói rõ hơn", None, None)], "q string, a string, b string")
+    df = spark.createDataFrame([("Mục 2 là gì?", "ans", "q"), ("Học phí bao nhiêu?", "ans", "q"), ("giải thích rõ hơn", None, "q"), ("giải thích rõ hơn", None, None)], "q string, a string, b string")
     got = [r[0] for r in df.select(conversation.rewritten(F.col("q"), F.col("a"), F.col("b"))).collect()]
-    assert got == ["Question: Mục 2 là gì?\nEarlier question: q\nEarlier answer: ans", "Học phí bao nhiêu?", "Question: nói rõ hơn\nEarlier question: q", "nói rõ hơn"]
+    assert got == ["Question: Mục 2 là gì?\nEarlier question: q\nEarlier answer: ans", "Học phí bao nhiêu?", "Question: giải thích rõ hơn\nEarlier question: q", "giải thích rõ hơn"]
 
 
 def test_feedback_days_are_dense(spark):
@@ -212,3 +213,34 @@ def test_embedding_is_once_per_key_and_deterministic(spark):
 def test_clean_sets_unite_labels(spark):
     df = spark.createDataFrame([(2, "Hỏi gì ?", ["b"]), (1, " hỏi  gì", ["a"]), (3, "khác", None), (4, " ", ["x"])], "id int, question string, truth array<string>")
     assert {(r.id, tuple(r.truths)) for r in evaluation.clean_set(df).collect()} == {(1, ("a", "b")), (3, ())}
+
+
+def test_intents(spark):
+    df = spark.createDataFrame([("Xem ảnh này",), ("Tóm tắt giúp",), ("học phí các ngành",), (None,)], "q string")
+    got = [tuple(r) for r in df.select(intent.about_image(F.col("q")), intent.about_its_text(F.col("q")), intent.wants_table(F.col("q"))).collect()]
+    assert got == [(True, False, False), (False, True, False), (False, False, True), (False, False, False)]
+
+
+def test_item_of_an_answer(spark):
+    a = "Mở đầu\nÝ 1: nộp hồ sơ tại phòng\nÝ 2: đóng lệ phí\nhạn 15/9"
+    df = spark.createDataFrame([("ý 2 là gì", a), ("mục 15 nói gì", a), ("giải thích thêm", a), ("ý 7", "ngắn"), ("x", None)], "q string, a string")
+    assert [r[0] for r in df.select(intent.referred_item(F.col("q"), F.col("a"))).collect()] == ["Ý 2: đóng lệ phí", "hạn 15/9", "Ý 1: nộp hồ sơ tại phòng\nÝ 2: đóng lệ phí", None, None]
+
+
+def test_small_helpers(spark):
+    df = spark.createDataFrame([("[BẢNG 1] Nguồn: Quy chế.pdf, ",), ("context",), ("x.PNG",), (None,)], "c string")
+    assert [r[0] for r in df.select(intent.source_title(F.col("c"))).collect()] == ["Quy chế.pdf", "", "", ""]
+    one = spark.range(1).select(intent.sigmoid(F.lit(0.0)).alias("a"), intent.sigmoid(F.lit(99.0)).alias("b"), intent.sigmoid(F.lit(-99.0)).alias("c"), intent.replay(F.lit("a b c d e"), 2).alias("d"), intent.audio_error(F.lit(bytearray(b"")), 5).alias("e"), intent.audio_error(F.lit(bytearray(b"RIFF1234WAVEfmt ")), 99).alias("f"), intent.audio_error(F.lit(bytearray(b"RIFF1234WAVEfmt ")), 5).alias("g"))
+    r = one.first()
+    assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == (0.5, 1.0, 0.0, ["a b c ", "d e"], "empty", None, "too large")
+
+
+def test_variants_and_latent(spark):
+    lists = [(m, 1, d, 1.0 / r, r) for m in ("dense", "sparse") for r, d in enumerate((5, 6, 7) if m == "dense" else (7, 6, 8), 1)]
+    v = retrieval.variants(spark.createDataFrame(lists, "method string, query_id long, doc_id long, score double, rank int"))
+    top = {r.variant: r.doc_id for r in v.where("rank = 1").collect()}
+    assert len(top) == 12 and top["dense"] == 5 and top["sparse"] == 7 and top["rrf k=2"] == 7
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["fee course pay", "fee pay money", "dorm room bed", "room bed key", None])], "doc_id long, text string")
+    q = spark.createDataFrame([(9, "pay fee"), (8, "bed room")], "query_id long, query string")
+    got = {(r.query_id, r.doc_id) for r in retrieval.latent(docs, q, 2, dims=3).collect()}
+    assert got == {(9, 0), (9, 1), (8, 2), (8, 3)}

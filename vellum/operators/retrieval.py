@@ -220,3 +220,63 @@ def contexts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(T.articles(F.col("content")))))).alias("articles"),
     )
     return g.select("query_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("context"), "sources", "has_table", "articles")
+
+
+def variants(lists: DataFrame, dense_name: str = "dense", sparse_name: str = "sparse", k: int = 8) -> DataFrame:
+    """(variant, query_id, doc_id, score, rank) of ranked lists (method, query_id, doc_id, score, rank): each list alone, rank fusion with constants 2, 10 and 60 and with sparse weights 0.5 to 3, score fusion with dense shares 0.3 to 0.7."""
+    own = lists.where(F.col("method").isin(dense_name, sparse_name))
+    parts = {m: own.where(F.col("method") == m).select("query_id", "doc_id", "score") for m in (dense_name, sparse_name)}
+    parts |= {f"rrf k={c}": rrf(own, c) for c in (2, 10, 60)}
+    parts |= {f"rrf k=60 sparse={w}": rrf(own, 60, {sparse_name: w}) for w in (0.5, 1.5, 2.0, 3.0)}
+    parts |= {f"score dense={a}": score_fusion(own, {dense_name: a, sparse_name: 1 - a}) for a in (0.3, 0.5, 0.7)}
+    out = None
+    for name, p in parts.items():
+        one = ranked(p, k).select(F.lit(name).alias("variant"), "query_id", "doc_id", "score", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def full_pipeline(docs: DataFrame, queries: DataFrame, dense_lists: DataFrame, k: int = 4, bonus: float = 0.05) -> DataFrame:
+    """Queries with abbreviations written out, BM25 and dense lists fused by rank, the best 2k with a bonus for each distinct shared word, the best k."""
+    full = queries.withColumn("query", T.expand(F.col("query")))
+    a = ranked(bm25(docs, full), 100).withColumn("method", F.lit("bm25"))
+    fused = ranked(rrf(a.unionByName(dense_lists.select(*a.columns))), 2 * k).drop("rank")
+    shared = overlap(docs.join(fused.select("doc_id").distinct(), "doc_id", "left_semi"), full).withColumnRenamed("score", "shared")
+    s = fused.join(shared, ["query_id", "doc_id"], "left").withColumn("score", F.round(F.col("score") + bonus * F.coalesce("shared", F.lit(0.0)), 9)).drop("shared")
+    return ranked(s, k)
+
+
+def latent(docs: DataFrame, queries: DataFrame, k: int, dims: int = 128, features: int = 5000) -> DataFrame:
+    """The k highest cosines in a latent space: tf-idf of words and pairs of words, reduced by singular values and scaled to length 1. The space is fitted on all documents; its matrix of features x dims is bounded by both."""
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    split = lambda d, c: NGram(n=2, inputCol="w", outputCol="p").transform(d.withColumn("w", T.words(F.col(c)))).withColumn("t", F.concat("w", "p"))
+    d = split(docs.where("text is not null"), "text")
+    counts = CountVectorizer(inputCol="t", outputCol="tf", vocabSize=features).fit(d)
+    idf = IDF(inputCol="tf", outputCol="v").fit(counts.transform(d))
+    vec = lambda x: idf.transform(counts.transform(x))
+    n = len(counts.vocabulary)
+    rows = vec(d).select("v").rdd.map(lambda r: Vectors.sparse(n, r[0].indices.tolist(), r[0].values.tolist()))
+    basis = RowMatrix(rows).computeSVD(min(dims, n - 1)).V.toArray()
+    space = docs.sparkSession.sparkContext.broadcast(basis)
+
+    @F.pandas_udf("array<double>")
+    def project(i, v):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for a, b in zip(i, v, strict=True):
+            x = np.asarray(b, float) @ space.value[np.asarray(a, int)] if len(a) else np.zeros(space.value.shape[1])
+            out.append((x / (np.linalg.norm(x) or 1.0)).tolist())
+        return pd.Series(out)
+
+    @F.udf("struct<i:array<int>,v:array<double>>")
+    def parts(v):
+        return v.indices.tolist(), v.values.tolist()
+
+    place = lambda x: vec(x).withColumn("_s", parts("v")).withColumn("vector", project("_s.i", "_s.v"))
+    q = place(split(queries.where("query is not null"), "query")).select("query_id", "vector")
+    return dense(place(d).select("doc_id", "vector"), q, k)
