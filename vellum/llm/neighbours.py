@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM, K, FLOOR, RECALL = 64, 5, 0.85, 0.975
-SAMPLE, CALIBRATION, LEAF, BRANCH, MAX_LEAVES, BUCKET = 24_000, 1_200, 1_024, 12, 16_384, 8
+SAMPLE, CALIBRATION, LEAF, BRANCH, MAX_LEAVES, BUCKET, LEAST = 24_000, 1_200, 1_024, 12, 16_384, 8, 3
 SALTS = 16
 
 
@@ -118,7 +118,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
 
 
 def _units(dim: int):
-    """Unit vectors as half floats in one binary value; unusable vectors are left out."""
+    """Directions as 16-bit integers, the largest component at their limit, in one binary value; unusable vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,8 +129,7 @@ def _units(dim: int):
             x = got.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
             big = np.abs(x).max(1, initial=0)
             fine = np.isfinite(big) & (big > 0)
-            x = x[fine] / big[fine][:, None]
-            x = (x / np.linalg.norm(x, axis=1)[:, None] + np.float32(0)).astype(np.float16) + np.float16(0)
+            x = np.rint(x[fine].astype(np.float64) / big[fine][:, None] * 32767).astype(np.int16)
             keep = ids.take(pa.array(ok[fine]))
             yield pa.RecordBatch.from_arrays([keep.cast(pa.int64()), _packed(x)], ["id", "unit"])
 
@@ -150,7 +149,7 @@ def _matrix(a: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if not len(a):
         return np.zeros((0, dim), np.float32)
     off = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, a.offset * 4)
-    x = np.frombuffer(a.buffers()[2], np.float16, (int(off[-1]) - int(off[0])) // 2, int(off[0])).reshape(-1, dim).astype(np.float32)
+    x = np.frombuffer(a.buffers()[2], np.int16, (int(off[-1]) - int(off[0])) // 2, int(off[0])).reshape(-1, dim).astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1)[:, None], 1e-12)
 
 
@@ -237,7 +236,7 @@ class Index:
         place[rows, order[rows, cols]] = cols
         need = np.sort(place[best["q"].to_numpy(), best["leaf"].to_numpy()] + 1)
         at = min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)
-        m = int(need[at])
+        m = max(min(LEAST, self.tree.leaves), int(need[at]))
         return m, float((need <= m).mean())
 
     def search(self, queries: DataFrame | None = None, visits: int | None = None) -> DataFrame:

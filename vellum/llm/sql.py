@@ -40,5 +40,45 @@ from t where length(c) > 1200 group by id
 """
 
 
+
+def _translate(text: str) -> str:
+    """SQL for a text with look-alike letters, full-width forms and blanks mapped."""
+    from vellum.llm.lookalikes import CYRILLIC, GREEK, OTHERS
+
+    pairs = CYRILLIC | GREEK | {k: v for k, v in OTHERS.items() if len(v) == 1} | {chr(0xFEE0 + i): chr(i) for i in range(0x21, 0x7F)}
+    pairs |= dict.fromkeys([chr(c) for c in (9, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)], " ")
+    quote = lambda x: x.replace("'", "''")
+    return f"translate({text}, '{quote(''.join(pairs))}', '{quote(''.join(pairs.values()))}')"
+
+
+P5_FOUND = rf"""
+with t as (select 'semantic_cache.query' as field, entry_id::varchar as key, query as text from semantic_cache union all select 'document_catalog.original_name', id, original_name from document_catalog
+  union all select 'chat_messages.content', id::varchar, content from (select distinct on (id) * from chat_messages)),
+f as (select field, key, text, trim(regexp_replace(nfc_normalize({_translate("regexp_replace(text, '[" + chr(0xAD) + chr(0x200B) + "-" + chr(0x200F) + chr(0x2060) + "-" + chr(0x206F) + chr(0xFEFF) + "]', '', 'g')")}), ' +', ' ', 'g')) as form from t where text is not null)
+select a.field, least(a.key, b.key) as key_a, greatest(a.key, b.key) as key_b from f a join f b on a.field = b.field and a.form = b.form and a.text < b.text where a.form <> ''
+"""
+
+#: Words as they are compared; texts without tags and entities, as in the test tables.
+_WORDS = "regexp_extract_all(regexp_replace(strip_accents(replace(lower({}), 'đ', 'd')), '[\\p{{M}}\\x{{00ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}]', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+P7_FOUND = f"""
+with d as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null), p as (select item_id, {_WORDS.format("passage")} as w from eval_items where passage is not null),
+dg as (select doc_id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)),
+pg as (select item_id, i, array_to_string(w[i:i + 4], ' ') as g, len(w) as n from (select item_id, w, unnest(range(1, len(w) - 3)) as i from p)),
+h as (select distinct doc_id, item_id, i, n from pg join dg using (g)),
+c as (select doc_id, item_id, n, count(distinct i + k) as got from h, range(0, 5) r(k) group by all)
+select doc_id, item_id from c where got >= n / 3
+"""
+
+
+P4_FOUND = """
+with v as (select entry_id, vector from semantic_cache union all select entry_id, vector from cache_entries),
+u as (select entry_id, vector::double[] as x from v where len(vector) = 64 and list_bool_and(list_transform(vector, lambda x: isfinite(x))) and list_max(list_transform(vector, lambda x: abs(x))) > 0),
+w as (select entry_id, list_transform(x, lambda y: y / list_max(list_transform(x, lambda z: abs(z)))) as x from u),
+c as (select a.entry_id as a, b.entry_id as b, array_cosine_similarity(a.x::double[64], b.x::double[64]) as s from w a join w b on a.entry_id <> b.entry_id),
+t as (select a, b, s from c qualify row_number() over (partition by a order by round(s, 6) desc, b) <= 5)
+select distinct least(a, b) as entry_a, greatest(a, b) as entry_b from t where s >= 0.85
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_turns": P1_TURNS, "p2_found": P2_FOUND}
+    return {"p1_found": P1_FOUND, "p1_turns": P1_TURNS, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
