@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.text import fold
 
-RUN, SHARE, MAX_ITEMS, BLOCK = 5, 1 / 3, 8, 400_000
+RUN, SHARE, MAX_ITEMS, BLOCK, STRETCH = 5, 1 / 3, 8, 400_000, 20_000
 _TAG = re.compile(r"<[a-zA-Z/!][^<>\n]{0,200}>|&[a-zA-Z]{2,8};|\]\([^()\s]{0,300}\)")
 _UNSEEN = re.compile("[­͏​-‏⁠-⁤︀-️﻿]")
 _WORD = re.compile(r"[^\W_]+")
@@ -64,21 +64,38 @@ class _Codes(dict):
         return h
 
 
+def _runs(same: np.ndarray, run: int) -> bool:
+    """Whether run equal words in a row are left anywhere."""
+    if min(same.shape) < run:
+        return False
+    n, m = same.shape[0] - run + 1, same.shape[1] - run + 1
+    left = same[:n, :m].copy()
+    for i in range(1, run):
+        left &= same[i : i + n, i : i + m]
+    return bool(left.any())
+
+
 def align(p: np.ndarray, d: np.ndarray, run: int, match: int = 2, miss: int = -2, gap: int = -1) -> list[tuple[int, int, int]]:
     """Smith-Waterman over words, repeated on what is left: stretches (start in p, start in d, length) of at least run equal words in a row.
 
     A row of the table is worked out at once: gaps along d are a running maximum.
     """
-    free_p, free_d = np.ones(len(p), bool), np.ones(len(d), bool)
+    same = p[:, None] == d[None, :]  # words that are still free
     out: list[tuple[int, int, int]] = []
-    slope = -gap * np.arange(len(d) + 1)
+    slope = -gap * np.arange(len(d) + 1, dtype=np.int32)
+    table, row = np.zeros((len(p) + 1, len(d) + 1), np.int32), np.zeros(len(d) + 1, np.int32)
     while True:
-        table = np.zeros((len(p) + 1, len(d) + 1), np.int32)
+        if not _runs(same, run):
+            return out
+        gain = np.where(same, match, miss).astype(np.int32)
         for i in range(len(p)):
-            s = np.where((d == p[i]) & free_d & free_p[i], match, miss)
-            row = np.maximum(np.maximum(table[i, :-1] + s, table[i, 1:] + gap), 0)
-            row = np.r_[0, row] + slope
-            table[i + 1] = np.maximum.accumulate(row) - slope
+            np.maximum(table[i, :-1] + gain[i], table[i, 1:] + gap, out=row[1:])
+            row[0] = 0
+            np.maximum(row, 0, out=row)
+            row += slope
+            np.maximum.accumulate(row, out=row)
+            row -= slope
+            table[i + 1] = row
         best = int(table.max())
         if best < match * run:
             return out
@@ -90,14 +107,14 @@ def align(p: np.ndarray, d: np.ndarray, run: int, match: int = 2, miss: int = -2
             if len(stretch) >= run:
                 a, b = stretch[-1]
                 out.append((a, b, len(stretch)))
-                free_p[a : a + len(stretch)] = False
-                free_d[b : b + len(stretch)] = False
+                same[a : a + len(stretch)] = False
+                same[:, b : b + len(stretch)] = False
                 return True
             return False
 
         path: list[tuple[int, int]] = []
         while i and j and table[i, j]:
-            ok = d[j - 1] == p[i - 1] and free_d[j - 1] and free_p[i - 1]
+            ok = same[i - 1, j - 1]
             if table[i, j] == table[i - 1, j - 1] + (match if ok else miss):
                 if ok:
                     stretch.append((i - 1, j - 1))
@@ -115,8 +132,8 @@ def align(p: np.ndarray, d: np.ndarray, run: int, match: int = 2, miss: int = -2
                     j -= 1
         found |= close()
         if not found:  # only shorter stretches: take them out, so that the next round differs
-            for a, b in path:
-                free_d[b] = False
+            for _, b in path:
+                same[:, b] = False
 
 
 HIT = "doc_id bigint, item_id bigint, words_matched int, passage_words int, score double"
@@ -190,19 +207,27 @@ def _scan(bc, run: int, share: float):
     return scan
 
 
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are in an ordered array."""
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x if len(ordered) else np.zeros(len(x), bool)
+
+
 def _score(p: np.ndarray, d: np.ndarray, run: int, share: float = 0.0) -> tuple[int, float]:
     """Words of the passage in stretches, and their share. Only the parts of the document near an n-gram of the passage are aligned."""
-    h = grams(d, run)
-    near = np.zeros(len(d), bool)
-    for i in np.flatnonzero(np.isin(h, grams(p, run))).tolist():
-        near[max(0, i - 2) : i + run + 2] = True
-    edge = np.flatnonzero(np.diff(np.r_[False, near, False].astype(np.int8)))
-    pieces = [np.r_[d[a:b], np.uint64(0)] for a, b in zip(edge[::2], edge[1::2])]  # 0 parts the pieces
-    got = np.zeros(len(p), bool)
-    most = np.zeros(len(p), bool)
-    for i in np.flatnonzero(np.isin(grams(p, run), h)).tolist():
+    h, own = grams(d, run), grams(p, run)
+    got, most = np.zeros(len(p), bool), np.zeros(len(p), bool)
+    for i in np.flatnonzero(_among(own, np.sort(h))).tolist():
         most[i : i + run] = True
-    if most.sum() >= share * len(p) and pieces:  # no stretch reaches beyond these words
-        for a, _, n in align(p, np.concatenate(pieces), run):
-            got[a : a + n] = True
+    if most.sum() >= max(1, share * len(p)):  # no stretch reaches beyond these words
+        near = np.zeros(len(d), bool)
+        for i in np.flatnonzero(_among(h, np.sort(own))).tolist():
+            near[max(0, i - 2) : i + run + 2] = True
+        edge = np.flatnonzero(np.diff(np.r_[False, near, False].astype(np.int8)))
+        pieces = [np.r_[d[a:b], np.uint64(0)] for a, b in zip(edge[::2], edge[1::2])]  # 0 parts the pieces
+        size = np.cumsum([len(x) for x in pieces]) // STRETCH  # a text that repeats a passage very often is aligned in parts
+        for k in np.unique(size):
+            for a, _, n in align(p, np.concatenate([x for x, y in zip(pieces, size) if y == k]), run):
+                got[a : a + n] = True
+            if got.all():
+                break
     return int(got.sum()), float(got.mean())

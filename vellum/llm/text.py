@@ -25,9 +25,18 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", "")
 
 
+class _Folds(dict):
+    """Of each character, worked out when first met: its lower-case compatibility decomposition without accents."""
+
+    def __missing__(self, code: int) -> str:
+        t = unicodedata.normalize("NFKD", chr(code).casefold().replace("đ", "d").replace("ð", "d"))
+        out = self[code] = "".join(c for c in t if not unicodedata.combining(c))
+        return out
+
+
+_FOLDS = _Folds()
+
+
 def fold(text: str) -> str:
     """Lower case without accents; the stroked d counts as d. For comparing words, not for display."""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFKD", text.casefold().replace("đ", "d").replace("ð", "d"))
-    return "".join([c for c in text if not unicodedata.combining(c)])
+    return text.lower() if text.isascii() else text.translate(_FOLDS)
