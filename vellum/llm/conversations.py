@@ -168,14 +168,20 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     part, gap = TaskContext.get().partitionId(), int(REPEAT_SECONDS * 1e6)
     for block in _blocks(frames):
-        text = block["content"].map(lambda x: " ".join(x.split()) if x is not None else None)
-        for sid, f, order, _ in _ordered(block):
-            if not order:
-                continue
-            x = f.iloc[order]
-            said, who, us = text.iloc[order].to_numpy(object), x["who"].to_numpy(), x["us"].to_numpy()
-            again = np.r_[False, (who[1:] == who[:-1]) & (said[1:] == said[:-1]) & (us[1:] - us[:-1] <= gap)]
-            yield pd.DataFrame({"sid": sid, "part": part, "pos": np.arange(len(x)), "who": who.astype("int32"), "id": x["id"].to_numpy(), "content": x["content"].to_numpy(object), "at": x["at"].to_numpy(), "repeat": again})
+        rows, size, f = [], [], block
+        for _, f, order, _ in _ordered(block):
+            rows += order
+            size.append(len(order))
+        x, size = f.iloc[rows], np.array(size)
+        if not len(x):
+            continue
+        first = np.zeros(len(x), bool)
+        first[np.cumsum(np.r_[0, size])[:-1][size > 0]] = True
+        said = x["content"].map(lambda t: " ".join(t.split())).to_numpy(object)
+        who, us = x["who"].to_numpy(), x["us"].to_numpy()
+        again = ~first & np.r_[False, (who[1:] == who[:-1]) & (said[1:] == said[:-1]) & (us[1:] - us[:-1] <= gap)]
+        pos = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+        yield pd.DataFrame({"sid": x["sid"].to_numpy(object), "part": part, "pos": pos, "who": who.astype("int32"), "id": x["id"].to_numpy(), "content": x["content"].to_numpy(object), "at": x["at"].to_numpy(), "repeat": again})
 
 
 def conversations(messages: DataFrame, parts: int | None = None) -> DataFrame:
