@@ -21,6 +21,19 @@ def test_what_a_row_shows(query, answer, want):
     assert A.plain_defect(query, answer) == want
 
 
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("Dữ liệu hiện có không đề cập tới LG3286, vì vậy mình xin phép không trả lời.", True), ("Unfortunately I have no information about CE2905 in the documents.", True), ("Tôi không biết học phí của CE2905 năm 2024.", True),
+        ("I do not know. Please contact room B8-418 or call 0292-3832663.", True), ("Je ne peux pas répondre sur le cours CE2905.", True), ("Ich habe keine Informationen zu CE2905.", True), ("No tengo información sobre CE2905.", True), ("Não encontrei nada sobre CE2905 de 12/03/2024.", True),
+        ("We will not accept files after 12/03/2024.", False), ("It is not allowed to enter room B8-418 after 18:00.", False), ("No se admiten solicitudes después del 12/03/2024.", False), ("Sinh viên không thể cung cấp bản sao sau ngày 12/3/2024.", False), ("Hồ sơ không có tài liệu về học phí trước 12/3/2024 phải nộp lại.", False),
+        ("I am not sure, but the fee is 500.000 dong.", False), ("Mình không chắc, học phí là 500.000 đồng.", False), ("I do not know. The fee of CE2905 is 500.", False), ("I do not know. Sorry, the fee is 500.", False),
+    ],
+)
+def test_numbers_of_what_was_asked_do_not_hide_a_refusal(answer, want):
+    assert A.refuses(answer) is want
+
+
 @pytest.mark.parametrize(("text", "state"), [("Done.", "closed"), ("Done 😊", "closed"), ("Done. 😊", "closed"), ("1. One.\n2. Two.\n3.", "cut"), ("See:\n", "cut"), ("A ```code\nx = [", "cut"), ("A (b", "cut"), ("Mail: a.b@c.example", "closed"), ("no stop here", "open")])
 def test_endings(text, state):
     assert A.ending(text)[0] == state

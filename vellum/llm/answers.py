@@ -59,10 +59,46 @@ REFUSAL = re.compile(
         )
     )
 )
+_ME = r"\b(?:minh|toi|em|tro ly|he thong|chung toi|chung minh) (?:\w+ ){0,4}?"
+_VERB = r"(?:tra loi|giai dap|tu van|ho tro|giup|cung cap|dap ung|thuc hien yeu cau|khang dinh|xac nhan|dua ra)"
+_TOPIC = r"(?:about|on|for|regarding|concerning|of)"
+#: Of those, signs that the one who answers refuses or doesn't know; numbers in such a sentence belong to what was asked. Folded, codes and numbers as 0.
+OWN = re.compile(
+    "|".join(
+        (
+            # Vietnamese
+            _ME + r"(?:khong the|chua the|khong du kha nang|khong co kha nang|tu choi|xin phep khong|xin phep tu choi) (?:\w+ ){0,3}?" + _VERB,
+            _ME + r"(?:(?:khong|chua) (?:co|tim thay|tim duoc|nam duoc|ghi nhan|thay) (?:\w+ ){0,3}?(?:thong tin|noi dung|du lieu|tai lieu|cau tra loi|ket qua)|khong duoc phep|khong biet|khong ro|chua ro|khong chac|khong dam|chua biet|khong hieu)",
+            r"xin phep (?:khong|tu choi) " + _VERB + r"|(?:khong the|chua the|tu choi) (?:tra loi|giai dap)|khong dam khang dinh",
+            r"(?:^|, |\b(?:xin loi|rat tiec|hien|hien tai|hien nay|tai lieu|du lieu|du lieu hien co) )(?:khong|chua) (?:co|tim thay|tim duoc|ghi nhan) (?:\w+ ){0,2}?(?:thong tin|du lieu|noi dung|tai lieu|cau tra loi) (?:\w+ ){0,3}?(?:ve|lien quan|cho|de cap)\b",
+            r"(?:ngoai|khong thuoc|khong nam trong|chua thuoc) (?:pham vi|kha nang) (?:\w+ ){0,3}?(?:cua (?:minh|toi|em|tro ly|he thong|chung toi)|ma (?:minh|toi|em)|tra loi|giai dap)",
+            # English
+            r"\b(?:i|the assistant)(?:'m| am| is)? (?:\w+ ){0,3}?(?:unable|not able|not allowed|not permitted|not in a position)\b",
+            r"\bi (?:\w+ ){0,2}?(?:can ?not|can't|could not|couldn't|won't|will not|must decline|do not know|don't know|have no|do not have|don't have|did not find|didn't find|found no|would rather not|prefer not|refuse|decline|am not sure)\b",
+            r"\bwe (?:\w+ ){0,3}?(?:unable to|not able to|can ?not|can't|could not|couldn't) (?:answer|help|assist|find|comment)\b|\bwe (?:have no|do not have|don't have|found no|did not find|didn't find) (?:\w+ )?(?:information|details|answer|data) " + _TOPIC,
+            r"\b(?:outside|beyond|not within) (?:of )?(?:what i|my) (?:\w+ ){0,2}?(?:scope|can|able|support|remit|knowledge)|\b(?:says nothing|(?:there is|found) no information) " + _TOPIC,
+            # French
+            r"je (?:ne )?(?:\w+ ){0,2}?(?:peux|sais|suis|puis|trouve|dispose|connais)(?: malheureusement)? pas\b|je n'ai (?:\w+ )?(?:trouve|aucune|pas)|je (?:refuse|prefere ne pas)|(?:depasse|hors de|en dehors de) (?:ce que je|mon|mes)\b|aucune information (?:sur|concernant|a propos|au sujet)",
+            # German
+            r"\bich (?:\w+ ){0,4}?(?:nicht|keine|nichts)\b|\b(?:kann|darf|mochte|weiss) ich (?:\w+ ){0,5}?(?:nicht|keine|nichts)\b|ausserhalb (?:meines|meiner)\b|liegen mir (?:\w+ )?keine|keine (?:informationen|angaben) (?:zu|zum|zur|uber)\b",
+            # Spanish and Portuguese
+            r"\bno (?:puedo|dispongo|tengo|encontre|he encontrado|hallo|encuentro|me es posible|estoy autorizad[oa])\b|\bno se (?:nada|cual|cuales|cuando|cuanto|cuanta|donde|como es|la respuesta)\b|\bfuera de (?:mi|mis|lo que puedo)\b|ninguna informacion (?:sobre|de|acerca)|prefiero no\b|me niego",
+            r"\bnao (?:posso|sei|tenho|encontrei|disponho|consigo|estou autorizad[oa]|me e possivel)\b|\bfora (?:do|da|de) (?:meu|minha)\b|nenhuma informacao (?:sobre|de|acerca)|prefiro nao\b|recuso",
+        )
+    )
+)
+#: Where a clause may begin, and words by which a clause states something, folded.
+_CLAUSE = re.compile(r"[,;:] |\b(?:but|however|tuy nhien|mais|cependant|aber|jedoch|pero|sin embargo|porem)\b")
+_STATES = re.compile(r"\b(?:is|are|was|were|will|must|costs?|la|phai|gom|tu|den|truoc|het|est|sont|coute|ist|sind|kostet|betragt|es|son|cuesta|e|sao|custa)\b")
+_NUMBER = re.compile(r"\b(?:[a-z]{1,6}-?)?\d\w*(?:[-/.,:]\w+)*")
+_LABEL = re.compile(r"\b[a-z]{1,6}-?\d[\w-]*")
 #: Sentences beside a refusal that give no answer: greetings, regrets, advice to ask elsewhere.
-COURTESY = re.compile(
+_SORRY = re.compile(
     r"^(?:chao|xin chao|da|alo|hello|hi|hey|dear|bonjour|salut|hallo|guten tag|hola|ola|buenos|bom dia|xin loi|rat tiec|thanh that|sorry|apolog|i'm sorry|i am sorry|unfortunately|regret|desole|malheureusement|pardon|leider|tut mir leid|entschuldig|lo siento|lamento|lamentablemente|sinto|desculpe|infelizmente)"
-    r"|(?:vui long|hay|nen|mong ban|xin) (?:\w+ ){0,4}?(?:lien he|hoi|thong cam|truy cap|quay lai|den)|please (?:\w+ ){0,3}?(?:ask|contact|reach|visit|try|call|check|consult|speak|turn)|(?:veuillez|adressez|contactez)|(?:bitte wenden|wenden sie sich|bitte fragen)|(?:consulte|contacte|dirijase|dirija-se|pregunte|pergunte|por favor)"
+)
+COURTESY = re.compile(
+    _SORRY.pattern
+    + r"|(?:vui long|hay|nen|mong ban|xin) (?:\w+ ){0,4}?(?:lien he|hoi|thong cam|truy cap|quay lai|den)|please (?:\w+ ){0,3}?(?:ask|contact|reach|visit|try|call|check|consult|speak|turn)|(?:veuillez|adressez|contactez)|(?:bitte wenden|wenden sie sich|bitte fragen)|(?:consulte|contacte|dirijase|dirija-se|pregunte|pergunte|por favor)"
 )
 #: Frequent words of each language, folded; Vietnamese also without accents.
 COMMON = {
@@ -102,6 +138,21 @@ def sentences(text: str) -> list[str]:
 _HELLO = re.compile(r"^(?:chao ban|xin chao|da|hello|hi|hey|bonjour|salut|hallo|guten tag|hola|ola)\b[ ,!.:]*")
 
 
+def _declines(s: str) -> bool:
+    """Whether a folded sentence refuses: as a rule with next to no digits; with any if it speaks of the one who answers, and no other clause states a number."""
+    if REFUSAL.search(s) and len(re.findall(r"\d", s)) < 2:
+        return True
+    if not OWN.search(_NUMBER.sub("0", s)):
+        return False
+    own = False
+    for c in _CLAUSE.split(s):
+        if OWN.search(_NUMBER.sub("0", c.strip())):
+            own = True
+        elif _STATES.search(c) and re.search(r"\d", c if own else _LABEL.sub("", c)) and not COURTESY.search(c.strip()):
+            return False  # codes before the refusal name what was asked
+    return True
+
+
 def refuses(text: str) -> bool:
     """Whether an answer declines or doesn't know, and says nothing else: a sentence that refuses, all others courtesy."""
     found = False
@@ -109,9 +160,9 @@ def refuses(text: str) -> bool:
         s = _HELLO.sub("", s)
         if not _WORD.search(s):
             continue
-        if REFUSAL.search(s) and len(re.findall(r"\d", s)) < 2:
+        if _declines(s):
             found = True
-        elif not COURTESY.search(s) or re.search(r"\d", s) or len(s) > 200:
+        elif not COURTESY.search(s) or len(s) > 200 or _SORRY.search(s) and re.search(r"\d", _LABEL.sub("", s)):
             return False
     return found
 
