@@ -185,6 +185,6 @@ def owner_load(spark, d):
 
 @query("select id, case when length(trim(regexp_replace(content, '\\s+', ' ', 'g'))) > 60 then substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 60) || '...' else trim(regexp_replace(content, '\\s+', ' ', 'g')) end as title from (select distinct on (id) * from chat_messages) where lower(trim(role)) in ('user', 'human') and content is not null and not regexp_matches(content, '[^\\x00-\\x{024f}\\x{1e00}-\\x{1eff}]|\\x{00a0}')")
 def fallback_titles(spark, d):
-    """Titles of plain Latin messages from their first 60 characters."""
+    """Titles of user messages from their first 60 characters, in any script; the SQL covers plain Latin ones only."""
     m = _m(spark, d).where("who = 'user' and content is not null")
-    return m.where(~F.col("content").rlike(r"[^\x00-\x{024F}\x{1E00}-\x{1EFF}]|\x{00A0}")).select("id", T.short_title(F.col("content")).alias("title"))
+    return m.select("id", T.short_title(F.col("content")).alias("title"))
