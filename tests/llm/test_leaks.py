@@ -41,6 +41,20 @@ def test_passages_that_share_their_words_keep_their_seeds(spark):
     assert {r.item_id for r in L.leaks(d, items).collect()} == set(range(20))
 
 
+def test_wording_of_many_items_alone_is_a_leak_of_each(spark):
+    rng = random.Random(9)
+    word = lambda k: " ".join(f"{k}{rng.randrange(10**6)}" for _ in range(36))
+    same = [f"s{i}" for i in range(24)]
+    passages = {i: f"{' '.join(same)} {word(f'i{i}x')}" for i in range(12)} | {20 + i: f"{' '.join(same[:16])} {word(f'j{i}x')} {word(f'k{i}x')}" for i in range(12)}
+    texts = {1: " ".join(same), 2: " ".join(same[:21]), 3: " ".join(same[:18]), 4: f"{' '.join(same[:12])} gap {' '.join(same[12:])}", 5: passages[20], 6: " ".join(same[::2]), 7: "x y"}
+    items = spark.createDataFrame(list(passages.items()), "item_id long, passage string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {(d, i, n) for d, t in texts.items() for i, p in passages.items() if (n := cover(p.split(), t.split())) >= len(p.split()) / 3}
+    assert {(d, i) for d, i, _ in want} == {(d, i) for d in (1, 2, 4) for i in range(12)} | {(5, 20)}
+    assert {(r.doc_id, r.item_id, r.words_matched) for r in L.leaks(docs, items).collect()} == want
+    assert {(r.doc_id, r.item_id, r.words_matched) for r in L.leaks(docs, items, block=300).collect()} == want
+
+
 def test_alignment_bridges_edits():
     import numpy as np
 

@@ -8,6 +8,9 @@ of at least `run` words in a row count, and the item is reported if they hold at
 of the words of the passage.
 
 Seeds are rare among the items, not in the corpus: a leaked text may itself be copied often.
+An item whose common n-grams alone cover `share` of its passage keeps them all as seeds, so that
+nothing is lost: of any other item, no document can hold enough without a rare seed. A document
+is aligned with such an item if its n-grams in the passage could cover enough words.
 Items are handled in blocks of a bounded number of n-grams, each against all documents, so what
 is sent to the tasks is bounded whatever the number of items.
 
@@ -142,7 +145,7 @@ HIT = "doc_id bigint, item_id bigint, words_matched int, passage_words int, scor
 def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, share: float = SHARE, max_items: int = MAX_ITEMS, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, words_matched, passage_words, score), one row per document and item that leaked into it."""
     spark, out = docs.sparkSession, None
-    for part in _blocks(items, run, max_items, block):
+    for part in _blocks(items, run, share, max_items, block):
         bc = spark.sparkContext.broadcast(part)
         got = docs.select("doc_id", "text").where("text is not null and text <> ''").mapInPandas(_scan(bc, run, share), HIT)
         out = got if out is None else out.unionByName(got)
@@ -151,8 +154,8 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, share: float = SHAR
     return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("words_matched", "passage_words", "score")))
 
 
-def _blocks(items: DataFrame, run: int, max_items: int, block: int) -> Iterator[tuple]:
-    """The passages in blocks: hashed words of each, the sorted hashes of their seeds and the item of each seed. Items come partition by partition, never all at once."""
+def _blocks(items: DataFrame, run: int, share: float, max_items: int, block: int) -> Iterator[tuple]:
+    """The passages in blocks: hashed words of each, the sorted hashes of their seeds, the item of each seed and how often it has it. Items come partition by partition, never all at once."""
     codes, held, n = _Codes(), [], 0
     one = items.where("passage is not null").groupBy("item_id").agg(F.max("passage").alias("passage"))
     for r in one.toLocalIterator():
@@ -161,43 +164,43 @@ def _blocks(items: DataFrame, run: int, max_items: int, block: int) -> Iterator[
             held.append((r.item_id, c))
             n += len(c)
         if n >= block:
-            yield _seeds(held, run, max_items)
+            yield _seeds(held, run, share, max_items)
             held, n = [], 0
     if held:
-        yield _seeds(held, run, max_items)
+        yield _seeds(held, run, share, max_items)
 
 
-def _seeds(held: list, run: int, max_items: int) -> tuple:
-    h = [np.unique(grams(c, min(run, len(c)))) for _, c in held]
-    all_h, owner = np.concatenate(h), np.repeat(np.arange(len(h)), [len(x) for x in h])
+def _seeds(held: list, run: int, share: float, max_items: int) -> tuple:
+    h, times = zip(*(np.unique(grams(c, min(run, len(c))), return_counts=True) for _, c in held))
+    all_h, owner, times = np.concatenate(h), np.repeat(np.arange(len(h)), [len(x) for x in h]), np.concatenate(times)
     order = np.argsort(all_h, kind="stable")
-    all_h, owner = all_h[order], owner[order]
+    all_h, owner, times = all_h[order], owner[order], times[order]
     _, inv, count = np.unique(all_h, return_inverse=True, return_counts=True)
     rare = count[inv] <= max_items
-    lone = np.array([not rare[owner == k].any() for k in range(len(h))])  # an item of common n-grams only keeps them
-    keep = rare | lone[owner]
-    return held, all_h[keep], owner[keep], sorted({min(run, len(c)) for _, c in held})
+    common = np.unique(all_h[~rare])
+    whole = np.array([_covered(c, common, min(run, len(c))).sum() >= share * len(c) for _, c in held])  # a leak may show in common n-grams only
+    keep = rare | whole[owner]
+    least = np.array([share * len(c) / min(run, len(c)) if w else 0.0 for (_, c), w in zip(held, whole)])  # n-grams without which too few words are covered
+    return held, all_h[keep], owner[keep], times[keep], least, sorted({min(run, len(c)) for _, c in held})
 
 
 def _scan(bc, run: int, share: float):
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, seeds, owner, sizes = bc.value
+        held, seeds, owner, times, least, sizes = bc.value
         codes = _Codes()
         for f in frames:
             out = []
             for doc, text in zip(f["doc_id"], f["text"], strict=True):
                 d = np.array([codes[w] for w in words(text)], np.uint64)
-                found: set[int] = set()
+                seen = np.zeros(len(held))
                 for n in sizes:
                     h = grams(d, n)
-                    at = np.searchsorted(seeds, h)
-                    hit = seeds[np.minimum(at, len(seeds) - 1)] == h
-                    for x in np.unique(at[hit]).tolist():
-                        y = x
-                        while y < len(seeds) and seeds[y] == seeds[x]:
-                            found.add(int(owner[y]))
-                            y += 1
-                for k in sorted(found):
+                    h = np.unique(h[_among(h, seeds)])
+                    a = np.searchsorted(seeds, h)
+                    size = np.searchsorted(seeds, h, "right") - a
+                    at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    seen += np.bincount(owner[at], times[at], len(held))
+                for k in np.flatnonzero((seen > 0) & (seen >= least - 1e-9)).tolist():
                     item, p = held[k]
                     got = _score(p, d, min(run, len(p)), share)
                     if got[0] >= share * len(p):
@@ -212,12 +215,18 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x if len(ordered) else np.zeros(len(x), bool)
 
 
+def _covered(p: np.ndarray, ordered: np.ndarray, n: int) -> np.ndarray:
+    """Which words of a passage stand in its n-grams that are in an ordered array."""
+    got = np.zeros(len(p), bool)
+    for i in np.flatnonzero(_among(grams(p, n), ordered)).tolist():
+        got[i : i + n] = True
+    return got
+
+
 def _score(p: np.ndarray, d: np.ndarray, run: int, share: float = 0.0) -> tuple[int, float]:
     """Words of the passage in stretches, and their share. Only the parts of the document near an n-gram of the passage are aligned."""
     h, own = grams(d, run), grams(p, run)
-    got, most = np.zeros(len(p), bool), np.zeros(len(p), bool)
-    for i in np.flatnonzero(_among(own, np.sort(h))).tolist():
-        most[i : i + run] = True
+    got, most = np.zeros(len(p), bool), _covered(p, np.sort(h), run)
     if most.sum() >= max(1, share * len(p)):  # no stretch reaches beyond these words
         near = np.zeros(len(d), bool)
         for i in np.flatnonzero(_among(h, np.sort(own))).tolist():
