@@ -93,6 +93,67 @@ def unit(v: Column) -> Column:
     return F.when((n > 0) & ~F.isnan(n) & (n < float("inf")), F.transform(v, lambda x: (x / n).cast("float")))
 
 
+def nearest_other(store: DataFrame, dim: int = 64, block: int = 65_536, part: int = 8_192) -> DataFrame:
+    """(entry_id, other_id, cosine): the other entry of highest cosine to each entry, exactly; of those within 1e-6 the smallest id.
+
+    All rows meet all rows: they go to the tasks in blocks of about `block` vectors as a matrix, and a row answers
+    each block with one other. Vectors that aren't `dim` finite numbers, or are all zero, take no part.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from vellum.session import checkpointed
+
+    spark = store.sparkSession
+    v = F.col("vector").cast("array<float>")
+    fine = (F.size(v) == dim) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = store.where("entry_id is not null").select(F.col("entry_id").cast("bigint").alias("entry_id"), v.alias("vector")).where(fine)
+    n = rows.count()
+    rows = checkpointed(rows.repartition(max(spark.sparkContext.defaultParallelism, -(-n // part)), "entry_id").dropDuplicates(["entry_id"]))
+
+    def units(b) -> tuple:
+        order = np.argsort(ids := b["entry_id"].to_numpy())
+        got = b["vector"].combine_chunks() if isinstance(b, pa.Table) else b["vector"]
+        x = got.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)[order]
+        x /= np.abs(x).max(1, keepdims=True, initial=1e-300)  # squares neither overflow nor vanish
+        return ids[order], (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+    def meet(held: tuple) -> DataFrame:
+        sent = spark.sparkContext.broadcast(held)
+
+        def scan(batches):
+            ids, x = sent.value
+            step = max(1, 8_000_000 // len(ids))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own, q = units(b)
+                for a in range(0, len(q), step):
+                    me, s = own[a : a + step], q[a : a + step] @ x.T
+                    at = np.minimum(np.searchsorted(ids, me), len(ids) - 1)
+                    same = np.flatnonzero(ids[at] == me)
+                    s[same, at[same]] = -2
+                    best = s.max(1)
+                    ok = best > -2
+                    j = (s >= (best - 1e-6)[:, None]).argmax(1)
+                    c = np.round(np.einsum("ij,ij->i", q[a : a + step].astype(np.float64), x[j].astype(np.float64)), 6)
+                    yield pa.RecordBatch.from_arrays([pa.array(me[ok]), pa.array(ids[j][ok]), pa.array(c[ok])], ["entry_id", "other_id", "cosine"])
+
+        return rows.mapInArrow(scan, "entry_id bigint, other_id bigint, cosine double")
+
+    blocks = max(1, -(-n // block))
+    out = None
+    for k in range(blocks):
+        held = rows.where(F.pmod(F.xxhash64("entry_id", F.lit(5)), F.lit(blocks)) == k).toArrow()
+        if held.num_rows:
+            got = meet(units(held))
+            out = got if out is None else out.unionByName(got)
+    if out is None:
+        return rows.select("entry_id", F.col("entry_id").alias("other_id"), F.lit(0.0).alias("cosine")).limit(0)
+    best = F.max(F.struct("cosine", (-F.col("other_id")).alias("id")))
+    return out.groupBy("entry_id").agg(best.alias("x")).select("entry_id", (-F.col("x.id")).alias("other_id"), F.col("x.cosine").alias("cosine"))
+
+
 def sweep(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, kind, hits, n) of pairs (kind, cosine, same_words): how many would hit by cosine alone and with equal words. One pass."""
     per = F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), (F.col("cosine") >= t).alias("hit")) for t in thresholds))).alias("x")

@@ -106,7 +106,14 @@ def cache_fingerprint(spark, d):
     "with p as (select a.entry_id, list_cosine_similarity(a.vector::double[], b.vector::double[]) as c, a.normalized_query = b.normalized_query as same from semantic_cache a join semantic_cache b on a.entry_id = b.entry_id + 1 where len(a.vector) = 64 and len(b.vector) = 64), k as (select case when isnan(c) or c is null then 0.0 else c end as c, same from p) select t as threshold, 'next' as kind, count(*) as n, count(*) filter (c >= t) as hits, count(*) filter (c >= t and same) as guarded_hits from k, (values (0.5::double), (0.7), (0.9)) v(t) group by t"
 )
 def threshold_sweep(spark, d):
-    s = _store(spark, d).where("size(vector) = 64").select("entry_id", "vector", "normalized_query")
-    n = s.select((F.col("entry_id") + 1).alias("entry_id"), F.col("vector").alias("w"), F.col("normalized_query").alias("q"))
-    p = s.join(n, "entry_id").select(F.lit("next").alias("kind"), C.cosine(F.col("vector"), F.col("w")).alias("cosine"), (F.col("normalized_query") == F.col("q")).alias("same_words"))
-    return C.sweep(p, [0.5, 0.7, 0.9])
+    """Hits of each entry with its nearest other, by kind: the same text, else common sources or other ones, where a hit is wrong. Guarded hits have equal content words, as lookups ask. The SQL has pairs of successive ids instead."""
+    s = _store(spark, d)
+    sources = F.coalesce(F.from_json("sources", "array<string>"), F.array().cast("array<string>"))
+    words = F.array_sort(F.array_distinct(T.content_words(F.coalesce("query", F.lit("")))))
+    e = s.select("entry_id", C.normalized(F.coalesce("query", F.lit(""))).alias("text"), words.alias("words"), sources.alias("sources")).dropDuplicates(["entry_id"])
+    o = e.select(F.col("entry_id").alias("other_id"), F.col("text").alias("t"), F.col("words").alias("w"), F.col("sources").alias("r"))
+    p = C.nearest_other(s).join(e, "entry_id").join(o, "other_id")
+    common = F.exists("sources", lambda x: F.coalesce(F.array_contains("r", x), F.lit(False)))
+    kind = F.when(F.col("text") == F.col("t"), "same_text").when(common, "common_sources").otherwise("other_sources")
+    same = (F.col("text") == F.col("t")) | (F.size("words") > 0) & (F.col("words") == F.col("w"))
+    return C.sweep(p.select(kind.alias("kind"), "cosine", same.alias("same_words")), [0.5, 0.7, 0.9])
