@@ -1,6 +1,6 @@
 import numpy as np
 
-from vellum.operators import cache
+from vellum.operators import cache, evaluation
 from vellum.plans import catalogue
 
 
@@ -42,3 +42,18 @@ def test_nearest_other_equals_all_pairs_whatever_the_blocks(spark):
         got = cache.nearest_other(s, block=block).collect()
         assert {r.entry_id: r.other_id for r in got} == want and all(abs(r.cosine - c[r.entry_id, r.other_id]) < 2e-6 for r in got)
     assert cache.nearest_other(s.limit(1)).count() == 0 and cache.nearest_other(s.limit(0)).count() == 0
+
+
+def test_interval_of_answers_takes_all_rounds(spark, tmp_path):
+    s = spark.range(500).selectExpr("id as entry_id", "repeat('x', cast(1 + pmod(xxhash64(id), 97) as int)) as answer")
+    got = run(spark, tmp_path, "bootstrap_interval", semantic_cache=s).first()
+    want = evaluation.bootstrap(s.selectExpr("cast(length(answer) as double) as value"), rounds=2000).first()
+    assert (got.mean, got.low, got.high, got.n) == (round(want["mean"], 6), round(want.low, 6), round(want.high, 6), 500)
+
+
+def test_bootstrap_draws_equal_rows_apart(spark):
+    v = spark.range(800).selectExpr("if(id < 400, 'a', null) as g", "cast(id % 10 as double) as value").unionByName(spark.createDataFrame([("b", 3.0)], "g string, value double"))
+    got = {r.g: r for r in evaluation.bootstrap(v, by=["g"]).where("g is not null").collect()}
+    se = (8.25 / 400) ** 0.5  # of a mean of 400 draws
+    assert abs(got["a"].low - (4.5 - 1.96 * se)) < 0.25 * se and abs(got["a"].high - (4.5 + 1.96 * se)) < 0.25 * se
+    assert (got["b"].low, got["b"].high, got["b"].n) == (3.0, 3.0, 1)

@@ -76,17 +76,30 @@ def summary(scores: DataFrame, by: list[str]) -> DataFrame:
 def bootstrap(values: DataFrame, value: str = "value", by: list[str] | None = None, rounds: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """(by, mean, low, high, n): percentile bootstrap of the mean.
 
-    Each row draws its weight in every round from a Poisson distribution (a resample by streaming),
-    seeded by the row's contents (add an id to tell equal rows apart), so rows are read once and only `rounds` sums a group and task are shuffled.
+    Each row draws its weight in every round from a Poisson distribution (a resample by streaming).
+    Equal values are counted first: the weights of c equal ones together are a draw from Poisson(c).
+    Draws are seeded by group and value, and only `rounds` sums a group and batch are shuffled.
     """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as st
+
     by = by or []
-    # inverse of the Poisson(1) distribution: fixed values of its cumulative probabilities
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    v = values.where(F.col(value).isNotNull()).withColumn("_row", F.xxhash64(*values.columns))
-    v = v.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.pmod(F.xxhash64("_row", "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    w = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    r = v.withColumn("w", w).groupBy(*by, "round").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+    v = values.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    v = v.groupBy(*by, "_v").agg(F.count("*").alias("_c")).withColumn("_row", F.xxhash64(*by, "_v", F.lit(seed)))
+
+    def draw(frames):
+        for f in frames:
+            for key, g in f.groupby(by, dropna=False, sort=False) if by else [((), f)]:
+                w, t = np.zeros(rounds), np.zeros(rounds)
+                for x, c, row in zip(g["_v"], g["_c"], g["_row"], strict=True):
+                    k = np.random.Generator(np.random.PCG64(row & (2**64 - 1))).poisson(c, rounds)
+                    w += k
+                    t += k * x
+                yield pd.DataFrame({**{b: g[b].iloc[[0] * rounds].array for b in by}, "round": np.arange(rounds, dtype=np.int32), "w": w, "t": t})
+
+    kinds = st.StructType([*(v.schema[b] for b in by), *st.StructType.fromDDL("round int, w double, t double")])
+    r = v.mapInPandas(draw, kinds).groupBy(*by, "round").agg(F.try_divide(F.sum("t"), F.sum("w")).alias("m"))
     at = lambda q: F.element_at(F.array_sort(F.collect_list("m")), F.least(F.floor(F.count("m") * q) + 1, F.count("m")).cast("int"))
     ci = r.where("m is not null").groupBy(*by).agg(at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))
     mean = values.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))

@@ -72,7 +72,7 @@ def grouped_before_after(spark, d):
 def bootstrap_interval(spark, d):
     """Mean length of answers with a confidence interval."""
     v = table(spark, d, "semantic_cache").select("entry_id", F.length("answer").cast("double").alias("value")).where("value is not null")
-    b = evaluation.bootstrap(v, rounds=200)
+    b = evaluation.bootstrap(v)
     return b.select(F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
 
 
