@@ -55,3 +55,11 @@ def test_cases(spark, trained):
     s = G.segments(df.where("doc_id = 4"), trained).orderBy("segment").collect()
     assert [r["lang"] for r in s] == ["vi", "en"] and all(r.confidence > 0.7 for r in s) and s[0].length == s[1].start
     assert G.cases(df.limit(0), trained).count() == 0
+
+
+def test_a_second_language_in_unsure_pieces_is_found():
+    piece = lambda k, p: np.log(np.where(np.arange(6) == k, p, (1 - p) / 5))
+    logp = np.array([piece(0, 0.99)] * 10 + [piece(2, 0.8)] * 8)
+    assert G.best_path(logp, np.full(18, 20), 0.9).tolist() == [0] * 10 + [2] * 8
+    assert G.best_path(logp, np.r_[np.full(10, 200), np.full(8, 10)], 0.9).tolist() == [0] * 18
+    assert set(G.best_path(logp[10:], np.full(8, 20), 0.9).tolist()) == {2}

@@ -218,12 +218,11 @@ def _soft(z: np.ndarray) -> np.ndarray:
 
 
 def best_path(logp: np.ndarray, letters: np.ndarray, accept: float) -> np.ndarray:
-    """The language of each piece: unsure pieces follow their surroundings."""
+    """The language of each piece: unsure pieces follow their surroundings. Without search only where the sure ones agree and the others are too few letters for a second language."""
     top = logp.argmax(1)
     sure = (np.exp(logp.max(1)) >= accept) & (letters > 0)
-    if len(set(top[sure].tolist())) <= 1:
-        lang = top[sure][0] if sure.any() else (np.maximum(letters, 1)[:, None] * logp).sum(0).argmax()
-        return np.full(len(top), lang)
+    if len(set(top[sure].tolist())) == 1 and letters[~sure].sum() < SHARE * letters.sum():
+        return np.full(len(top), top[sure][0])
     emit = np.maximum(logp, -8.0) * np.minimum(1.0, letters / 20)[:, None]
     emit[~sure] *= 0.25
     cost = emit[0]
