@@ -57,3 +57,12 @@ def test_bootstrap_draws_equal_rows_apart(spark):
     se = (8.25 / 400) ** 0.5  # of a mean of 400 draws
     assert abs(got["a"].low - (4.5 - 1.96 * se)) < 0.25 * se and abs(got["a"].high - (4.5 + 1.96 * se)) < 0.25 * se
     assert (got["b"].low, got["b"].high, got["b"].n) == (3.0, 3.0, 1)
+
+
+def test_short_passages_have_truth(spark, tmp_path):
+    texts = ["the fee for the course is due in may", "opening hours", "nothing here", "the subfee form"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    e = spark.createDataFrame([(1, "when is the fee due", "fee for the course"), (2, "opening hours", "opening hours"), (3, "fee", "fee"), (4, "nothing", "elsewhere only"), (5, "form", None), (6, "course fee due", texts[0])], "item_id long, question string, passage string")
+    got = {r.method: r for r in run(spark, tmp_path, "retrieval_metrics", documents=d, eval_items=e).collect()}
+    assert {k: r.queries for k, r in got.items()} == {"bm25": 4, "overlap": 4}
+    assert got["bm25"].hit_k == 1.0 and got["bm25"].recall_k == 0.875
