@@ -45,6 +45,13 @@ def test_column_equals_function(spark, texts):
     assert [got[i] for i in range(len(texts))] == [L.same_look(t) for t in texts]
 
 
+def test_column_equals_function_for_each_latin_letter(spark):
+    texts = [f"a{chr(i)}b" for i in (*range(0x20, 0x250), *range(0x1E00, 0x1F00))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.f for r in df.select("i", L.form(F.col("t")).alias("f")).collect()}
+    assert [t for i, t in enumerate(texts) if got[i] != L.same_look(t)] == []
+
+
 def test_pairs(spark):
     rows = [("f", "1", PLAIN), ("f", "2", SAME[0]), ("f", "3", SAME[1]), ("f", "4", PLAIN), ("f", "4", PLAIN), ("g", "5", SAME[0]), ("f", "6", None), ("f", "7", " ​"), ("f", "8", " "), (None, "9", PLAIN), ("f", None, SAME[2]), ("f", "10", DIFFERENT[0])]
     df = spark.createDataFrame(rows, "field string, key string, text string").withColumn("form", F.lit("clash"))

@@ -41,7 +41,7 @@ KEPT = ""
 _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n ?")
 #: Java expression of texts that need no Python: printable ASCII and composed Latin letters.
-PLAIN = r"^[\x20-\x7E\n\xC0-\xCF\xD1-\xD6\xD8-\xF6\xF8-\x{017E}\x{01A0}\x{01A1}\x{01AF}\x{01B0}\x{1E00}-\x{1E99}\x{1EA0}-\x{1EF9}]*$"
+PLAIN = r"^[\x20-\x7E\n\xC0-\xCF\xD1-\xD6\xD8-\xF6\xF8-\x{0131}\x{0134}-\x{013E}\x{0141}-\x{0148}\x{014A}-\x{017E}\x{01A0}\x{01A1}\x{01AF}\x{01B0}\x{1E00}-\x{1E99}\x{1EA0}-\x{1EF9}]*$"
 
 
 @lru_cache(maxsize=1 << 16)
