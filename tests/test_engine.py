@@ -111,6 +111,24 @@ def test_lookup_tiers_and_guards(spark):
     s = spark.createDataFrame([(1, "Học phí kỳ 1 bao nhiêu", [1.0, 0.0], 1.0), (2, "học phí kỳ 2 bao nhiêu", [1.0, 0.0], 1.0)], "entry_id long, query string, vector array<double>, created_at double")
     q = spark.createDataFrame([(1, " HỌC PHÍ kỳ 1  bao nhiêu", None), (2, "cho em hỏi học phí kỳ 2 bao nhiêu ạ", None), (3, "bao nhiêu học phí kỳ 1", [1.0, 0.1]), (4, "bao nhiêu học phí kỳ 3", [1.0, 0.0]), (5, "bao nhiêu học phí kỳ 2", [0.0, 1.0]), (6, None, None)], "query_id long, query string, vector array<double>")
     assert rows(cache.lookup(q, s)) == {(1, 1, "exact"), (2, 2, "canonical"), (3, 1, "semantic")}
+    assert rows(cache.lookup(q, s, now=8.0, ttl=7)) == rows(cache.lookup(q, s))
+
+
+def test_expired_entries_serve_no_tier(spark):
+    v = [1.0, 0.0]
+    s = spark.createDataFrame([(1, "Học phí kỳ 1 bao nhiêu", v, 1.0), (2, "học phí kỳ 1 bao nhiêu", v, 50.0), (3, "học phí kỳ 2 bao nhiêu", v, 1.0), (4, "học phí kỳ 4 bao nhiêu", v, None)], "entry_id long, query string, vector array<double>, created_at double")
+    q = spark.createDataFrame([(1, "học phí kỳ 1 bao nhiêu", v), (2, "cho em hỏi học phí kỳ 2 bao nhiêu ạ", v), (3, "bao nhiêu học phí kỳ 2", v), (4, "học phí kỳ 4 bao nhiêu", v), (5, "bao nhiêu học phí kỳ 1", v), (6, "bao nhiêu học phí kỳ 1", [0.0, 0.0]), (7, "bao nhiêu học phí kỳ 1", None), (8, "bao nhiêu học phí kỳ 1", [1.0])], "query_id long, query string, vector array<double>")
+    assert rows(cache.lookup(q, s, now=60.0, ttl=20)) == {(1, 2, "exact"), (5, 2, "semantic")}
+    assert rows(cache.lookup(q, s.limit(0))) == set()
+
+
+def test_victims_are_the_least_used(spark):
+    data = [(i, i % 3 if i % 5 else None, None if i % 7 == 0 else float(i * 977 % 400) * 60) for i in range(60)]
+    s = spark.createDataFrame(data, "entry_id long, hits long, last_accessed double")
+    low = lambda x: -1 if x is None else x
+    order = [r[0] for r in sorted(data, key=lambda r: (low(r[1]), low(r[2]), r[0]))]
+    for size in (0, 1, 20, 47, 59, 60, 99):
+        assert {r.entry_id for r in cache.victims(s, size).collect()} == set(order[: max(0, 60 - size)])
 
 
 def test_put_evict_and_expire(spark):

@@ -56,14 +56,26 @@ def test_run_log(spark):
 
 def test_merge_replaces_documents_and_repeats_nothing(spark, tmp_path):
     p = str(tmp_path / "store")
+    stored = lambda: sorted((r.doc_id, r.content) for r in ingest.chunks(spark, p).select("doc_id", "content").collect())
+    did = lambda df, **k: {r.doc_id: r.action for r in ingest.merge(df, p, buckets=2, **k).collect()}
     a = spark.createDataFrame([(1, "One text here."), (2, "Two text here."), (3, None)], "doc_id long, text string")
-    assert {r.action for r in ingest.merge(a, p, buckets=2).collect()} == {"new"}
-    first = {(r.doc_id, r.content) for r in spark.read.parquet(p).select("doc_id", "content").collect()}
-    assert {r.action for r in ingest.merge(a.where("doc_id < 3"), p, buckets=2).collect()} == {"skip"}
+    assert did(a) == {1: "new", 2: "new", 3: "new"}
+    first = stored()
+    assert did(a) == {1: "skip", 2: "skip", 3: "skip"} and stored() == first
     b = spark.createDataFrame([(1, "Changed text.")], "doc_id long, text string")
-    ingest.merge(b, p, buckets=2)
-    now = [(r.doc_id, r.content) for r in spark.read.parquet(p).select("doc_id", "content").collect()]
-    assert sorted(now) == sorted((first - {(1, "One text here.")}) | {(1, "Changed text.")})
+    assert did(b) == {1: "update"}
+    assert stored() == sorted([x for x in first if x[0] != 1] + [(1, "Changed text.")])
+
+
+def test_merge_forgets_emptied_and_removed_documents(spark, tmp_path):
+    p = str(tmp_path / "store")
+    stored = lambda: sorted((r.doc_id, r.content) for r in ingest.chunks(spark, p).select("doc_id", "content").collect())
+    did = lambda rows, **k: {r.doc_id: r.action for r in ingest.merge(spark.createDataFrame(rows, "doc_id long, text string"), p, buckets=16, **k).collect()}
+    did([(1, "One text here."), (2, "Two text here."), (3, "Three.")])
+    assert did([(1, "")]) == {1: "update"} and stored() == [(2, "Two text here."), (3, "Three.")]
+    assert did([(1, "")]) == {1: "skip"} and did([(1, None)]) == {1: "skip"}
+    assert did([(2, "Two text here.")], complete=True) == {1: "delete", 2: "skip", 3: "delete"} and stored() == [(2, "Two text here.")]
+    assert did([(3, "Three.")]) == {3: "new"} and len(stored()) == 2
 
 
 def test_stream_ingest(spark, tmp_path):
@@ -74,7 +86,7 @@ def test_stream_ingest(spark, tmp_path):
     for _ in range(2):
         q = ingest.run(s, str(tmp_path / "store"), str(tmp_path / "state"), availableNow=True)
         q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+    assert ingest.chunks(spark, str(tmp_path / "store")).count() == 2
 
 
 def _play(spark, tmp_path, df, f, name, mode="append"):

@@ -13,8 +13,8 @@ def col(spark, f, *values):
 
 
 def test_heading_levels(spark):
-    got = col(spark, S.heading_level, "Chương 1 Mở đầu", "Mục 2", "Điều 5. Phạm vi", "khoản 3", "a) ý", "IV. Kết", "1. Một", "1.2 Hai", "1.2.3. Ba", "1.2.3.4 Bốn", "thường", "", None)
-    assert got == [1, 2, 2, 3, 4, 1, 1, 2, 3, 4, None, None, None]
+    got = col(spark, S.heading_level, "Chương 1 Mở đầu", "Mục 2", "Điều 5. Phạm vi", "khoản 3", "a) ý", "c) Nộp hồ sơ", "i) nhỏ", "IV. Kết", "iv) x", "1. Một", "1.2 Hai", "1.2.3. Ba", "1.2.3.4 Bốn", "thường", "", None)
+    assert got == [1, 2, 2, 3, 4, 4, 4, 1, 1, 1, 2, 3, 4, None, None, None]
     assert col(spark, S.roman, "iv", "xc", "xiv", "") == [4, 90, 14, 0]
     assert col(spark, S.looks_like_heading, "THÔNG BÁO", "Thông báo", "123", None) == [True, False, False, False]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 
 TTL, SIZE, THRESHOLD = 7 * 24 * 3600, 1000, 0.90
-LEAST_ANSWER = 10
+LEAST_ANSWER, PARTS = 10, 8
 
 
 def normalized(c: Column) -> Column:
@@ -30,9 +30,24 @@ def warm(store: DataFrame, now, size: int = SIZE, ttl: float | None = TTL) -> Da
 
 
 def victims(store: DataFrame, size: int) -> DataFrame:
-    """Entries to evict down to `size`: the fewest hits first, then the longest unused. Counted, so that only as many rows as go are sorted."""
-    over = store.count() - size
-    return store.orderBy(F.asc_nulls_first("hits"), F.asc_nulls_first("last_accessed"), "entry_id").limit(max(0, over))
+    """Entries to evict down to `size`: the fewest hits first, then the longest unused.
+
+    Entries are counted by hits and hour of last use; only the group on the edge is ordered row
+    by row, so no task gets more than the entries of one group, whatever goes.
+    """
+    hour = F.floor(F.col("last_accessed") / 3600)
+    keys = [F.coalesce("hits", F.lit(-1)).alias("_h"), F.coalesce(hour, F.lit(-(1 << 60))).alias("_t")]
+    by = ["_h", "_t"]
+    g = store.groupBy(*keys).agg(F.count("*").alias("_n"))
+    per = g.groupBy("_h").agg(F.sum("_n").alias("_s"))
+    w = Window.orderBy("_h")  # one row a number of hits
+    per = per.select("_h", (F.sum("_s").over(w) - F.col("_s")).alias("_under"), F.sum("_s").over(Window.partitionBy()).alias("_all"))
+    g = g.withColumn("_before", F.sum("_n").over(Window.partitionBy("_h").orderBy("_t")) - F.col("_n")).join(per, "_h")
+    g = g.select("_h", "_t", "_n", (F.col("_all") - size - F.col("_under") - F.col("_before")).alias("_over")).where("_over > 0")
+    x = store.withColumns({"_h": keys[0], "_t": keys[1]}).join(g, by)
+    whole = x.where("_over >= _n")
+    edge = x.where("_over < _n").withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("last_accessed"), "entry_id"))).where("_i <= _over")
+    return whole.select(*store.columns).unionByName(edge.select(*store.columns))
 
 
 def storable(entries: DataFrame) -> DataFrame:
@@ -59,13 +74,19 @@ def fingerprint(df: DataFrame, *cols: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.expr("sum(cast(h as decimal(38,0)))").alias("checksum")) if "h" in df.columns else fingerprint(df.select(F.xxhash64(*(cols or df.columns)).alias("h")))
 
 
-def lookup(asked: DataFrame, store: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def lookup(asked: DataFrame, store: DataFrame, threshold: float = THRESHOLD, now: Column | float | None = None, ttl: float | None = TTL) -> DataFrame:
     """(query_id, entry_id, match) of asked (query_id, query, vector): exact, else canonical, else semantic.
 
     Exact and canonical are equi-joins to the store reduced to one entry a key (the last created).
     A semantic match needs a cosine of at least the threshold and the same set of content words,
-    numbers among them: so candidates meet by the hash of that set, never all with all.
+    numbers among them: so candidates meet by the hash of that set, never all with all. Of the
+    entries of one set only distinct vectors are compared, and sets of many vectors are split.
+
+    Entries older than ttl at `now` serve no tier (without `now` none is old; one without a time
+    of creation is). A null or zero vector, or one of another length, has no semantic match.
     """
+    if now is not None and ttl:
+        store = store.where(~F.coalesce(expired(F.col("created_at"), now, ttl), F.lit(True)))
     latest = lambda df, key: df.groupBy(key).agg(F.max_by("entry_id", F.struct("created_at", "entry_id")).alias("entry_id"))
     s = store.withColumn("norm", normalized(F.col("query"))).withColumn("canon", T.canonical(F.col("query"))).where("norm <> ''")
     q = asked.withColumn("norm", normalized(F.col("query"))).withColumn("canon", T.canonical(F.col("query")))
@@ -74,7 +95,11 @@ def lookup(asked: DataFrame, store: DataFrame, threshold: float = THRESHOLD) ->
     canon = rest.where("canon <> ''").join(latest(s.where("canon <> ''"), "canon"), "canon").select("query_id", "entry_id", F.lit("canonical").alias("match"))
     rest = rest.join(canon.select("query_id"), "query_id", "left_anti")
     words = lambda c: F.array_join(F.array_sort(F.array_distinct(T.content_words(c))), " ")
-    near = rest.withColumn("bag", words(F.col("query"))).where("bag <> ''").select("query_id", "bag", F.col("vector").alias("qv")).join(s.withColumn("bag", words(F.col("query"))).select("entry_id", "bag", F.col("vector").alias("sv")), "bag")
+    some = lambda c: F.exists(c, lambda x: x != 0)
+    near = rest.withColumn("bag", words(F.col("query"))).where("bag <> ''").where(some("vector")).select("query_id", "bag", F.col("vector").alias("qv"))
+    held = s.withColumn("bag", words(F.col("query"))).where("bag <> ''").where(some("vector")).groupBy("bag", F.col("vector").alias("sv")).agg(F.min("entry_id").alias("entry_id"))
+    held = held.withColumn("part", F.pmod(F.xxhash64("sv"), F.lit(PARTS)).cast("int"))  # a set that many entries have is met in parts
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).join(held, ["bag", "part"])
     near = near.withColumn("cosine", cosine(F.col("qv"), F.col("sv"))).where(F.col("cosine") >= threshold)
     near = near.groupBy("query_id").agg(F.max_by("entry_id", F.struct("cosine", -F.col("entry_id"))).alias("entry_id")).withColumn("match", F.lit("semantic"))
     return exact.unionByName(canon).unionByName(near)

@@ -85,3 +85,12 @@ def modified_marker(c: Column) -> Column:
 def write_keyed(df: DataFrame, path: str, partition: str) -> None:
     """Overwrites only the partitions that df has; a repeated run gives the same table."""
     df.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def rewrite(df: DataFrame, path: str, partition: str, touched: DataFrame) -> None:
+    """Overwrites the partitions of `touched` (partition) with the rows df has for them; those that df has no row for are removed. There are as many partitions as the store has buckets."""
+    from vellum.session import remove
+
+    write_keyed(df, path, partition)
+    for r in touched.join(df.select(partition).distinct(), partition, "left_anti").toLocalIterator():
+        remove(df.sparkSession, f"{path}/{partition}={r[0]}")

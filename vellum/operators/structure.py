@@ -50,10 +50,11 @@ def _level(t: Column, low: Column) -> Column:
     """Level by the look of a squeezed text and its lower case."""
     number = F.regexp_extract(t, r"^(\d+(?:\.\d+){0,5})[.)]?\s+", 1)
     return (
-        F.when(low.rlike(r"^(?:(?:chương|chuong|phần|phan) |[ivxlcdm]*[ivxlc][ivxlcdm]*[.)]\s)"), 1)
+        F.when(low.rlike(r"^(?:chương|chuong|phần|phan) "), 1)
         .when(low.rlike(r"^(?:(?:mục|muc) |(?:điều|dieu)\s+(?:\d+|[ivxlcdm]+))"), 2)
         .when(low.rlike(r"^(?:khoản|khoan)\s+\d+"), 3)
-        .when(low.rlike(r"^(?:(?:điểm|diem)\s+[a-z]|[a-z]\)\s+)"), 4)
+        .when(low.rlike(r"^(?:(?:điểm|diem)\s+[a-z]|[a-z]\)\s+)"), 4)  # before numerals: `c)` and `i)` are letters of a list
+        .when(low.rlike(r"^[ivxlcdm]*[ivxlc][ivxlcdm]*[.)]\s"), 1)
         .when(t.rlike(r"^\d+(?:\.\d+){0,5}[.)]?\s"), F.least(F.size(F.split(number, r"\.")), F.lit(4)))
     )
 

@@ -33,7 +33,7 @@ def query_numbers(spark, d):
 
 
 @query(
-    f"""with s as (select entry_id, created_at, vector, {_NORM.format("query")} as norm, array_to_string({_CONTENT.format("query")}, ' ') as canon, array_to_string(list_sort(list_distinct({_CONTENT.format("query")})), ' ') as bag from semantic_cache where query is not null),
+    f"""with s as (select entry_id, created_at, vector, {_NORM.format("query")} as norm, array_to_string({_CONTENT.format("query")}, ' ') as canon, array_to_string(list_sort(list_distinct({_CONTENT.format("query")})), ' ') as bag from semantic_cache where query is not null and (select max(created_at) from semantic_cache) - created_at <= 31536000),
 q as (select entry_id as query_id, vector, {_NORM.format("query")} as norm, array_to_string({_CONTENT.format("query")}, ' ') as canon, array_to_string(list_sort(list_distinct({_CONTENT.format("query")})), ' ') as bag from cache_entries where query is not null),
 e as (select query_id, arg_max(entry_id, (created_at, entry_id)) as entry_id, 'exact' as match from q join s using (norm) where norm <> '' group by 1),
 r1 as (select * from q where query_id not in (select query_id from e)),
@@ -44,8 +44,10 @@ m as (select query_id, arg_max(entry_id, (cosine, -entry_id)) as entry_id, 'sema
 select * from e union all select * from c union all select * from m"""
 )
 def cache_lookup(spark, d):
+    """Incoming questions against the store at the time of its last entry, with a year to live."""
     asked = table(spark, d, "cache_entries").where("query is not null").select(F.col("entry_id").alias("query_id"), "query", "vector")
-    return C.lookup(asked, _store(spark, d))
+    s = _store(spark, d)
+    return C.lookup(asked, s, now=s.agg(F.max("created_at").alias("t")).scalar(), ttl=365 * 86400)
 
 
 @query("select entry_id from (select * from semantic_cache order by last_accessed desc nulls last, entry_id limit 300) where (select max(last_accessed) from semantic_cache) - created_at <= 2592000")

@@ -29,6 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _path(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system the session knows."""
+    fs, p = _path(spark, path)
+    return bool(fs.exists(p))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with what is in it."""
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder, with its lineage cut.
 

@@ -111,15 +111,12 @@ def latest_json(spark: SparkSession, path: str, schema: str, keys: list[str], or
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Appends to a folder of JSON lines the rows whose key isn't there; how many there were."""
+    """Appends to a folder of JSON lines the rows whose key isn't there; how many there were. The rows are decided once and then written."""
+    from vellum.session import checkpointed, exists
+
     spark = df.sparkSession
-    try:
-        known = spark.read.schema(df.schema).json(path).select(key).distinct()
-        df = df.join(known, key, "left_anti")
-    except Exception as e:  # the folder isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    df = df.dropDuplicates([key])
-    n = df.count()
+    if exists(spark, path):
+        df = df.join(spark.read.schema(df.schema).json(path).select(key).distinct(), key, "left_anti")
+    df = checkpointed(df.dropDuplicates([key]))
     df.write.mode("append").json(path)
-    return n
+    return df.count()
