@@ -30,7 +30,7 @@ def test_found_documents(spark):
     items = spark.createDataFrame([*((i, "q", t) for i, t in PASSAGES.items()), (0, "q", PASSAGES[0]), (9, "q", None), (10, "q", "")], "item_id long, question string, passage string")
     got = {(r.doc_id, r.item_id): r.words_matched for r in L.leaks(d, items).collect()}
     assert got == {(1, 0): 60, (2, 0): 21, (4, 0): cover(p, edited), (5, 0): 24, (10, 3): 60}
-    assert {(r.doc_id, r.item_id) for r in L.leaks(d, items, block=50).collect()} == set(got)
+    assert {(r.doc_id, r.item_id) for r in L.found(d, items).collect()} == set(got) and {(r.doc_id, r.item_id) for r in L.leaks(d, items, common=0).collect()} == set(got)
     assert L.leaks(d.limit(0), items).count() == 0 and L.leaks(d, items.limit(0)).count() == 0
 
 
@@ -52,7 +52,46 @@ def test_wording_of_many_items_alone_is_a_leak_of_each(spark):
     want = {(d, i, n) for d, t in texts.items() for i, p in passages.items() if (n := cover(p.split(), t.split())) >= len(p.split()) / 3}
     assert {(d, i) for d, i, _ in want} == {(d, i) for d in (1, 2, 4) for i in range(12)} | {(5, 20)}
     assert {(r.doc_id, r.item_id, r.words_matched) for r in L.leaks(docs, items).collect()} == want
-    assert {(r.doc_id, r.item_id, r.words_matched) for r in L.leaks(docs, items, block=300).collect()} == want
+    assert {(r.doc_id, r.item_id, r.words_matched) for r in L.leaks(docs, items, common=100).collect()} == want
+
+
+def test_ten_items_that_share_most_of_their_words(spark):
+    rng = random.Random(5)
+    word = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    same = word(60)
+    own = {i: word(20) for i in range(10)}
+    items = spark.createDataFrame([(i, " ".join(same + o)) for i, o in own.items()], "item_id long, passage string")
+    docs = spark.createDataFrame([(1, " ".join(word(30) + same + word(9))), (2, " ".join(same + own[3])), (3, " ".join(own[4]))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in L.leaks(docs, items).collect()}
+    assert got == {(d, i) for d in (1, 2) for i in range(10)}
+
+
+def test_edited_copies_are_scored_by_alignment(spark):
+    p = PASSAGES[2].split()
+    docs = [(1, " ".join("new" if i % 5 == 4 else w for i, w in enumerate(p))), (2, " ".join(w for i, w in enumerate(p) if i % 6 != 5)), (3, " ".join(p[i] for i in range(0, 60, 2)))]
+    items = spark.createDataFrame([(2, PASSAGES[2])], "item_id long, passage string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.words_matched, round(r.score, 2)) for r in L.leaks(d, items).collect()}
+    assert got == {1: (0, 0.8), 2: (50, 0.83)}
+    assert {r.doc_id for r in L.found(d, items).collect()} == {2}
+
+
+def test_words_are_folded_one_by_one_only_where_that_is_the_same():
+    import xxhash
+
+    codes = L.Codes()
+    odd = ["Điều 1: Học phí", "e\u0301cole \u00bd kg \u338f", "a\u200bb a\u00adb", "ﬁn ＡＢ ①", "x < y & z", "<b>T\u0323</b> 😊 𝒜b", "Straße İstanbul", "ก่อน", "a_b-c"]
+    for t in odd:
+        assert codes.of(t) == [xxhash.xxh64_intdigest(w) for w in L.words(t)], t
+
+
+def test_long_texts_are_aligned_in_parts(spark):
+    p = PASSAGES[1]
+    long = [f"v{i}" for i in range(5000)]
+    items = spark.createDataFrame([(1, p), (2, " ".join(long)), (3, "w1 w2"), (4, None)], "item_id long, passage string")
+    docs = [(1, f"{p} x " * 300), (2, " ".join(long[:3000])), (3, " ".join(long[:1000])), (4, "w1 w2 and"), (5, "y " * 60000 + p), (None, p)]
+    got = {(r.doc_id, r.item_id): r.words_matched for r in L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {k: v for k, v in got.items() if k[1] != 3} == {(1, 1): 60, (2, 2): 3000, (5, 1): 60} and got[4, 3] == 2
 
 
 def test_alignment_bridges_edits():
@@ -60,5 +99,5 @@ def test_alignment_bridges_edits():
 
     p = np.arange(1, 31, dtype=np.uint64)
     d = np.r_[p[:12], 99, p[13:30]].astype(np.uint64)
-    assert sorted(L.align(p, d, 5)) == [(0, 0, 12), (13, 13, 17)]
-    assert L.align(p, p[::-1].copy(), 5) == []
+    (s, a), (none, _) = L.align([(p, d), (p, p[::-1].copy())], 5)
+    assert s.sum() == a.sum() == 29 and not s[12] and not none.any()

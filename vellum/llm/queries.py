@@ -65,7 +65,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_leaks(spark, d).select("doc_id", "item_id")
+    return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -30,7 +30,7 @@ class _Folds(dict):
 
     def __missing__(self, code: int) -> str:
         t = unicodedata.normalize("NFKD", chr(code).casefold().replace("đ", "d").replace("ð", "d"))
-        out = self[code] = "".join(c for c in t if not unicodedata.combining(c))
+        out = self[code] = "".join(c for c in t if not unicodedata.combining(c)).casefold()  # a styled capital decomposes into a plain one
         return out
 
 
