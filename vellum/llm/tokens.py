@@ -1,14 +1,16 @@
 """Token ids of whole texts by a public byte-level tokenizer.
 
 Overlapping chunk encoding. A text over `chunk` characters is cut into chunks that reach
-`overlap` characters into the next one. Each chunk is pre-tokenised alone. Where a boundary of
-a chunk, well before its end, is also a boundary of the next one, both scans go on alike from
-there: chunks are stitched at the first such place, and the pieces between the places are
-encoded in parallel and put together in order. If a pair of chunks has no common boundary in
-the overlap (one token longer than it), the piece goes on into the next chunk. A scan that
-starts within a token is right from the first place where a letter is followed by another kind
-of character, as no token spans that; without such a place a chunk ends no piece. Texts up to the
-limit are one piece. Decoding concatenates the bytes of the tokens.
+`overlap` characters into both neighbours, and the chunks of one text go to many tasks. Around
+each place where two chunks meet, both have the same overlap; it is pre-tokenised from two
+starts, as the chunk before reads into it and as the chunk after begins. Where the boundaries of
+the two scans resynchronise, both go on alike, and the chunks are stitched there: both sides find
+the same place without asking each other. The pieces between the places are encoded in parallel
+and put together in order. A scan that starts within a token is right from the first place where
+a letter is followed by another kind of character, as no token spans that. If an overlap has no
+common boundary (one token longer than it), its chunks hand on their texts, and these are
+encoded together. Texts up to `chunk` characters are one piece. Decoding concatenates the bytes
+of the tokens.
 
 Defined results: null and empty texts get an empty list; strings that look like special tokens
 are plain text; equal texts get equal ids; an empty table gives no rows.
@@ -20,17 +22,16 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SURE = regex.compile(r"(?<=\p{L})\P{L}")
-CHUNK, OVERLAP, MARGIN = 200_000, 4_000, 64
+CHUNK, OVERLAP, MARGIN = 4_096, 256, 16
 
 
 @lru_cache(maxsize=4)
@@ -48,15 +49,18 @@ def _pattern():
     return regex.compile(PATTERN)
 
 
-def pre_tokens(text: str, first: int, last: int) -> list[int]:
-    """Places in [first, last) where pre-tokens of text begin."""
-    return [m.start() for m in _pattern().finditer(text) if first <= m.start() < last]
+def pre_tokens(text: str, first: int = 0) -> list[int]:
+    """Places of text where pre-tokens begin, scanned from `first` on."""
+    return [m.start() for m in _pattern().finditer(text, first)]
 
 
-def common(tail: list[int], head: list[int]) -> int:
-    """The first place that both lists have, else -1."""
-    seen = set(head)
-    return next((x for x in tail if x in seen), -1)
+def stitch(text: str, at: int, margin: int) -> int:
+    """The place from `at` on where the scans of an overlap from its start and from `at` resynchronise, clear of its end; -1 if there is none."""
+    sure = _SURE.search(text)
+    if not sure:
+        return -1
+    before = {p for p in pre_tokens(text) if p >= at and p > sure.start() and not text[p - 1].isspace()}  # a run of blanks is split by what follows it
+    return next((p for p in pre_tokens(text, at) if p in before and p + margin <= len(text)), -1)
 
 
 def _encode(path: str):
@@ -71,24 +75,6 @@ def _encode(path: str):
     return run
 
 
-def _marks(chunk: int, overlap: int, margin: int) -> Column:
-    """Boundaries of a chunk: head within the overlap, tail within the overlap after its own part, clear of its end."""
-
-    @F.pandas_udf("struct<head:array<int>,tail:array<int>,sure:int>")
-    def run(text: pd.Series) -> pd.DataFrame:
-        heads, tails, sure = [], [], []
-        for t in text:
-            end = len(t) if len(t) < chunk + overlap else chunk + overlap - margin
-            at = pre_tokens(t, 0, len(t))
-            heads.append([p for p in at if p < overlap])
-            tails.append([p - chunk for p in at if chunk <= p < end and not t[p - 1].isspace()])  # a run of blanks is split by what follows it
-            found = _SURE.search(t)
-            sure.append(found.start() if found else len(t))
-        return pd.DataFrame({"head": heads, "tail": tails, "sure": sure})
-
-    return run
-
-
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{FOLDER}/{VOCABULARY}", chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> DataFrame:
     """(key, ids) of every row of docs."""
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -98,36 +84,69 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
     return small.unionByName(long).select(F.col("key").alias(key), "ids")
 
 
+def _pieces(path: str, chunk: int, overlap: int, margin: int):
+    """Of chunks: the ids of the piece between its two stitches, or where one is missing, the text that has to be encoded with a neighbour's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            ids, rest, joined = [], [], []
+            for no, last, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                own = min(no, 1) * overlap  # where the chunk's own part begins
+                a = stitch(t[: 2 * overlap], own, margin) if no else 0
+                z = len(t) if last else stitch(t[own + chunk - overlap :], overlap, margin)
+                z = z if last or z < 0 else z + own + chunk - overlap
+                piece = t[a if a >= 0 else own : z if z >= 0 else own + chunk]
+                whole = a >= 0 and z >= 0
+                ids.append(enc.encode_ordinary(piece) if whole else None)
+                rest.append(None if whole else piece)
+                joined.append(a < 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(rest, pa.string()), pa.array(joined, pa.bool_())], ["key", "row", "no", "ids", "rest", "joined"])
+
+    return run
+
+
+def _together(path: str):
+    """Of texts: the ids of all their pieces in order; neighbouring rests are encoded as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            out = []
+            for parts in b.column(1).to_pylist():
+                ids, held = [], ""
+                for p in parts:
+                    if held and not p["joined"]:
+                        ids += enc.encode_ordinary(held)
+                        held = ""
+                    if p["rest"] is None:
+                        ids += p["ids"]
+                    else:
+                        held += p["rest"]
+                out.append(ids + (enc.encode_ordinary(held) if held else []))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["key", "ids"])
+
+    return run
+
+
 def _long(d: DataFrame, chunk: int, overlap: int, margin: int, path: str, kind: str) -> DataFrame:
-    if not margin < overlap < chunk:
-        raise ValueError("margin < overlap < chunk must hold")
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for k, row, t in zip(f["key"], f["row"], f["text"], strict=True):
-                n = range(0, len(t), chunk)
-                yield pd.DataFrame({"key": [k] * len(n), "row": row, "no": range(len(n)), "text": [t[i : i + chunk + overlap] for i in n]})
-
-    parts = d.withColumn("row", F.monotonically_increasing_id()).mapInPandas(cut, f"key {kind}, row bigint, no int, text string")
-    from vellum.session import checkpointed
-
-    parts = checkpointed(parts.repartition("row", "no"))  # the chunks of one text go to many tasks, and are cut once
-    w = Window.partitionBy("row").orderBy("no")
-    m = parts.select("row", "no", _marks(chunk, overlap, margin)("text").alias("m"))
-    stitch = F.udf(lambda a, b: common(a, b) if b is not None else -1, "int")
-    m = m.select("row", "no", "m.sure", stitch("m.tail", F.lead("m.head").over(w)).alias("to"))
-    m = m.withColumn("to", F.when((F.col("no") == 0) | (F.col("sure") < F.col("to") + chunk), F.col("to")).otherwise(-1))
-    m = m.withColumn("from", F.lag("to").over(w)).select("row", "no", "to", F.when(F.col("no") == 0, 0).otherwise(F.col("from")).alias("from"))
-    # a chunk whose start has no common boundary belongs to the piece before it
-    m = m.withColumn("piece", F.sum((F.col("from") >= 0).cast("int")).over(w))
-    own = F.when(F.col("to") >= 0, F.expr(f"substr(text, 1, {chunk} + to)")).otherwise(F.expr(f"if(last, text, substr(text, 1, {chunk}))"))
-    p = parts.join(m, ["row", "no"]).withColumn("last", F.length("text") <= chunk)
-    p = p.withColumn("last", F.col("last") | (F.max("no").over(Window.partitionBy("row")) == F.col("no")))
-    p = p.withColumn("own", own).select("key", "row", "piece", "no", F.when(F.col("from") > 0, F.expr("substr(own, from + 1)")).otherwise(F.col("own")).alias("text"))
-    p = p.groupBy("key", "row", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "").alias("text"))
-    e = p.repartition("row", "piece").mapInArrow(_encode(path), f"key {kind}, row bigint, piece bigint, ids array<int>")
-    e = e.groupBy("key", "row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return e.select("key", "ids")
+    if not 0 < margin < overlap <= chunk:
+        raise ValueError("0 < margin < overlap <= chunk must hold")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, row, t in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+                for first in range(0, len(t), 256 * chunk):  # a very long text leaves in several batches
+                    at = range(first, min(len(t), first + 256 * chunk), chunk)
+                    texts = pa.array([t[max(0, i - overlap) : i + chunk + overlap] for i in at])
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * n, b.schema.types[0]), pa.array([row.as_py()] * n), pa.array([i // chunk for i in at], pa.int32()), pa.array([i + chunk >= len(t) for i in at]), texts], ["key", "row", "no", "last", "text"])
+
+    parts = d.select("key", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(cut, f"key {kind}, row bigint, no int, last boolean, text string")
+    parts = parts.repartition("row", "no")  # the chunks of one text go to many tasks
+    e = parts.mapInArrow(_pieces(path, chunk, overlap, margin), f"key {kind}, row bigint, no int, ids array<int>, rest string, joined boolean")
+    e = e.groupBy("key", "row").agg(F.array_sort(F.collect_list(F.struct("no", "ids", "rest", "joined"))).alias("parts"))
+    return e.select("key", "parts").mapInArrow(_together(path), f"key {kind}, ids array<int>")
 
 
 def decode(ids: list[int], path: str = f"{FOLDER}/{VOCABULARY}") -> str:
