@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.session import checkpointed, estimated_bytes, small, spread
 
 K1, B = 1.5, 0.75
+#: Bytes of queries up to which their words go to every task.
+SMALL = 1 << 20
 
 
 def ranked(scores: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "doc_id") -> DataFrame:
@@ -33,11 +36,26 @@ def wanted(queries: DataFrame) -> DataFrame:
     return tokens(queries, "query_id", "query").groupBy("query_id", "token").agg(F.count("*").alias("times"))
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, token, tf, len) for the words in terms only: other words never leave the scan's stage."""
-    d = docs.select("doc_id", T.words(F.col("text")).alias("w"))
-    rows = d.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("token"))
-    return rows.join(terms.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token", "len").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """(doc_id, token, len, tf) for the words in terms (token), all words without terms; other words never leave the scan's stage.
+
+    Each document also has a row for the empty word, with its number of words: so the size of the
+    corpus comes out of the same pass. Rows are partitioned by document, so what is summed over
+    the words of a document needs no further shuffle.
+    """
+    d = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", T.words(F.col("text")).alias("w"))
+    rows = d.select("doc_id", F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("token"))
+    if terms is not None:
+        t = terms.select("token").distinct()
+        rows = rows.join(small(t.unionByName(t.sparkSession.range(1).select(F.lit("").alias("token")))), "token", "left_semi")
+    return rows.repartition("doc_id").groupBy("doc_id", "token", "len").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(p: DataFrame) -> DataFrame:
+    """(token, df, n, avgdl) of written postings: in how many documents each word is, and the number of documents and their mean words."""
+    size = p.where("token = ''").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("len")).alias("words")).first()  # one row
+    n = size.n or 0
+    return p.where("token <> ''").groupBy("token").agg(F.count("*").alias("df")).withColumns({"n": F.lit(n).cast("bigint"), "avgdl": F.lit((size.words or 0) / n if n else None).cast("double")})
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -45,31 +63,48 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(T.words(F.col("text")))).alias("avgdl"))
 
 
+def matches(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, bm25, sparse, overlap) of all documents that share a word with a query: all lexical scores by one pass over the corpus and one join.
+
+    bm25 adds up over the query's words, repeated ones as often as they occur; sparse is the dot
+    product of tf-idf weights; overlap counts distinct words that both have. The postings of the
+    queries' words are written once, as both the frequencies of words and the scores need them.
+    The queries' words go to the documents where they are small; then only the best rows of each
+    task are shuffled by ranked().
+    """
+    q = wanted(queries)
+    p = checkpointed(postings(docs, q))
+    v = vocabulary(p)
+    q = q.join(v, "token") if estimated_bytes(queries) > SMALL else F.broadcast(q.join(v, "token"))
+    df, n, tf = F.col("df"), F.col("n"), F.col("tf")
+    idf, plain = F.log((n - df + 0.5) / (df + 0.5) + 1), F.log(n / df) + 1
+    q = q.select("query_id", "token", (F.col("times") * idf * (k1 + 1)).alias("x"), (F.col("times") * plain * plain).alias("y"), "avgdl")
+    part = F.col("x") * tf / (tf + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    s = p.where("token <> ''").join(q, "token").groupBy("query_id", "doc_id")
+    return s.agg(F.round(F.sum(part), 6).alias("bm25"), F.round(F.sum(F.col("y") * tf), 6).alias("sparse"), F.count("*").cast("double").alias("overlap"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a word with a query."""
-    q = wanted(queries)
-    p = postings(docs, q)
-    stats = corpus_stats(docs)
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    df = p.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl))
-    return p.join(df, "token").join(q, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return matches(docs, queries, k1, b).select("query_id", "doc_id", F.col("bm25").alias("score"))
 
 
 def overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): distinct words that both have."""
-    q = wanted(queries)
-    return postings(docs, q).join(q, "token").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    return matches(docs, queries).select("query_id", "doc_id", F.col("overlap").alias("score"))
 
 
 def sparse(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): dot product of tf-idf weights over shared words."""
-    q = wanted(queries)
-    p = postings(docs, q)
-    n = corpus_stats(docs).select("n").scalar()
-    df = p.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log(n / F.col("df")) + 1
-    return p.join(df, "token").join(q, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * F.col("tf") * idf), 6).alias("score"))
+    return matches(docs, queries).select("query_id", "doc_id", F.col("sparse").alias("score"))
+
+
+def lists_of(scored: DataFrame, methods: list[str], k: int) -> DataFrame:
+    """(method, query_id, doc_id, score, rank): the k best of each named score column of matches(); one pass and one shuffle for all of them."""
+    one = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in methods))).alias("x")
+    l = scored.select("query_id", "doc_id", one).select("x.method", "query_id", "doc_id", "x.score")  # noqa: E741
+    w = Window.partitionBy("method", "query_id").orderBy(F.desc("score"), "doc_id")
+    return l.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def rrf(lists: DataFrame, k: float = 60, weights: dict[str, float] | None = None) -> DataFrame:
@@ -80,6 +115,21 @@ def rrf(lists: DataFrame, k: float = 60, weights: dict[str, float] | None = None
     return lists.groupBy("query_id", "doc_id").agg(F.round(F.sum(w / (k + F.col("rank"))), 9).alias("score"))
 
 
+def rrf_grid(lists: DataFrame, grid: list[tuple[float, dict[str, float]]], k: int) -> DataFrame:
+    """(k, weights, query_id, doc_id, score, rank): the k best of rrf() for every constant and weights of the grid, by one pass over the lists."""
+    cells = []
+    for c, weights in grid:
+        w: Column = F.lit(1.0)
+        for m, x in weights.items():
+            w = F.when(F.col("method") == m, F.lit(float(x))).otherwise(w)
+        named = F.create_map(*(v for m, x in weights.items() for v in (F.lit(m), F.lit(float(x))))) if weights else F.create_map().cast("map<string,double>")
+        cells.append(F.struct(F.lit(c).alias("k"), named.alias("weights"), (w / (c + F.col("rank"))).alias("part")))
+    cell = F.posexplode(F.array(*cells)).alias("cell", "x")
+    g = lists.select("method", "query_id", "doc_id", "rank", cell).groupBy("cell", "query_id", "doc_id").agg(F.any_value("x.k").alias("k"), F.any_value("x.weights").alias("weights"), F.round(F.sum("x.part"), 9).alias("score"))
+    w = Window.partitionBy("cell", "query_id").orderBy(F.desc("score"), "doc_id")
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("k", "weights", "query_id", "doc_id", "score", "rank")
+
+
 def score_fusion(lists: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Fused (query_id, doc_id, score): weighted sum of scores, each list scaled to 0..1; a constant list counts 1."""
     g = lists.groupBy("method", "query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
@@ -90,11 +140,11 @@ def score_fusion(lists: DataFrame, weights: dict[str, float]) -> DataFrame:
     return lists.join(g, ["method", "query_id"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(w * s), 6).alias("score"))
 
 
-def rerank_lexical(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
-    """Candidates (query_id, doc_id, rank) anew by the share of the query's distinct words in the document plus 0.1 / rank, at most 1."""
-    c = candidates.join(docs.select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("dw")), "doc_id").join(queries.select("query_id", F.array_distinct(T.words(F.col("query"))).alias("qw")), "query_id")
-    s = F.least(F.lit(1.0), F.size(F.array_intersect("qw", "dw")) / F.greatest(F.size("qw"), F.lit(1)) + 0.1 / F.col("rank"))
-    c = c.select("query_id", "doc_id", F.col("rank").alias("before"), F.round(s, 6).alias("score"))
+def rerank_lexical(candidates: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
+    """Candidates (query_id, doc_id, rank, overlap) anew by the share of the query's distinct words in the document plus 0.1 / rank, at most 1."""
+    q = queries.select("query_id", F.size(F.array_distinct(T.words(F.col("query")))).alias("n"))
+    s = F.least(F.lit(1.0), F.col("overlap") / F.greatest(F.col("n"), F.lit(1)) + 0.1 / F.col("rank"))
+    c = candidates.join(q, "query_id").select("query_id", "doc_id", F.col("rank").alias("before"), F.round(s, 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "before")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -37,12 +37,11 @@ def bm25_top10(spark, d):
     return R.ranked(R.bm25(_docs(spark, d), _questions(spark, d)), 10)
 
 
-@query(_BASE + "select token, df, round(ln(((select n from s) - df + 0.5) / (df + 0.5) + 1), 6) as idf from df where token in (select token from q)")
+@query(_BASE + "select token, df, round(ln(((select n from s) - df + 0.5) / (df + 0.5) + 1), 6) as idf from df")
 def corpus_terms(spark, d):
-    docs = _docs(spark, d)
-    p = R.postings(docs, R.wanted(_questions(spark, d)))
-    n = R.corpus_stats(docs).select("n").scalar()
-    return p.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.round(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6))
+    """All words of the corpus with their weights, as an index holds them."""
+    df, n = F.col("df"), F.col("n")
+    return R.vocabulary(R.checkpointed(R.postings(_docs(spark, d), None))).select("token", "df", F.round(F.log((n - df + 0.5) / (df + 0.5) + 1), 6).alias("idf"))
 
 
 @query(_BASE + "select n, round(avgdl, 6) as avgdl from s")
@@ -69,9 +68,7 @@ _LISTS = (
 
 
 def _lists(spark, d):
-    docs, q = _docs(spark, d), _questions(spark, d)
-    a = R.ranked(R.bm25(docs, q), 100).withColumn("method", F.lit("bm25"))
-    return a.unionByName(R.ranked(R.overlap(docs, q), 100).withColumn("method", F.lit("overlap")))
+    return R.lists_of(R.matches(_docs(spark, d), _questions(spark, d)), ["bm25", "overlap"], 100)
 
 
 @query(_LISTS + f", f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score from lists group by all) select * from (select query_id, doc_id, score, {_RANK} as rank from f) where rank <= 4")
@@ -86,12 +83,7 @@ def _variant(k, w):
 
 @query(_LISTS + ", f as (" + " union all ".join(_variant(k, w) for k in (2, 10, 60) for w in (1.0, 2.0)) + ") select * from (select k, weight, query_id, doc_id, score, row_number() over (partition by k, weight, query_id order by score desc, doc_id) as rank from f) where rank <= 4")
 def rrf_variants(spark, d):
-    lists, out = _lists(spark, d), None
-    for k in (2, 10, 60):
-        for w in (1.0, 2.0):
-            one = R.ranked(R.rrf(lists, k, {"bm25": w}), 4).select(F.lit(k).alias("k"), F.lit(w).alias("weight"), "query_id", "doc_id", "score", "rank")
-            out = one if out is None else out.unionByName(one)
-    return out
+    return R.rrf_grid(_lists(spark, d), [(k, {"bm25": w}) for k in (2, 10, 60) for w in (1.0, 2.0)], 4).select("k", F.col("weights.bm25").alias("weight"), "query_id", "doc_id", "score", "rank")
 
 
 @query(
@@ -115,8 +107,9 @@ rr as (select * from (select *, row_number() over (partition by query_id order b
 
 
 def _reranked(spark, d):
-    docs, q = _docs(spark, d), _questions(spark, d)
-    return R.rerank_lexical(R.ranked(R.bm25(docs, q), 8), docs, q)
+    q = _questions(spark, d)
+    m = R.matches(_docs(spark, d), q).select("query_id", "doc_id", F.col("bm25").alias("score"), "overlap")
+    return R.rerank_lexical(R.ranked(m, 8), q)
 
 
 @query(_RERANK + "select query_id, doc_id, before, score, rank from rr")
@@ -148,8 +141,9 @@ def retrieval_metrics(spark, d):
     w = R.T.words(F.col("passage"))
     inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))  # whole words wherever the passage stands
     items = items.withColumn("token", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"])
-    held = docs.select("doc_id", "text", F.explode(F.array_distinct(R.T.words(F.col("text")))).alias("token"))
-    truth = held.join(items, "token").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")  # equi-join on one word, then the exact test
+    held = R.spread(docs, "doc_id").select("doc_id", F.explode(F.array_distinct(R.T.words(F.col("text")))).alias("token"))
+    pairs = held.join(R.small(items.where("token is not null").select("query_id", "token")), "token").select("query_id", "doc_id")  # ids only, by one word
+    truth = pairs.join(docs, "doc_id").join(items, "query_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")  # then the exact test
     short = docs.select("doc_id", "text").join(items.where("token is null"), F.contains("text", F.col("passage"))).select("query_id", "doc_id")  # passages without an inner word
     truth = truth.unionByName(short)
     return R.metrics(top, truth, by=["method"])

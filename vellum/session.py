@@ -13,6 +13,7 @@ CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # cuts of lineage are deleted when nothing refers to them
 }
 
 
@@ -29,6 +30,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer expects df to hold; far too much where it can't tell."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is expected to stay below the session's broadcast threshold; otherwise Spark joins it as it sees fit."""
+    from pyspark.sql import functions as F
+
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return F.broadcast(df) if estimated_bytes(df) <= most else df
+
+
+def spread(df: DataFrame, *keys: str, most: int = 64 << 20) -> DataFrame:
+    """df over all cores by keys if it is a table of at most `most` bytes, which one file and so one task may hold; larger ones are left as they are read."""
+    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism), *keys) if estimated_bytes(df) <= most else df
+
+
 def _path(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
