@@ -107,6 +107,17 @@ def test_dense_skips_unusable_vectors(spark):
     assert retrieval.dense(v, q.limit(0), 2).count() == 0
 
 
+def test_pipeline_joins_dense_and_sparse_lists(spark):
+    p = spark.createDataFrame([(1, "fees of the course", [1.0, 0.0]), (2, "opening hours", [0.9, 0.1]), (3, None, [0.0, 1.0]), (4, "course", None)], "doc_id int, text string, vector array<double>")
+    q = spark.createDataFrame([(7, "course fees", [1.0, 0.0]), (8, "hours", None), (9, None, None)], "query_id int, query string, vector array<double>")
+    got = [(r.constant, r.query_id, r.doc_id, r.rank) for r in retrieval.pipeline(p, q, (2, 60), dim=2, least=0.5).orderBy("constant", "query_id", "rank").collect()]
+    assert got == [(c, *x) for c in (2, 60) for x in ((7, 1, 1), (7, 4, 2), (8, 2, 1))]
+    assert retrieval.pipeline(p.limit(0), q, dim=2).count() == 0
+    c = spark.createDataFrame([("a", "d", "D.pdf", "fees of the course", False), ("b", "e", None, "library hours", True), ("c", "e", "x.png", " ", None)], "chunk_id string, doc_id string, doc_name string, content string, is_table boolean")
+    out = {r.query_id: (r.context, r.sources, r.has_table) for r in retrieval.answer_context(c, q.select("query_id", "query"), least=0.5).collect()}
+    assert out[7] == ("[D.pdf]\nfees of the course", ["D.pdf"], False) and set(out) == {7, 8}
+
+
 def test_lookup_tiers_and_guards(spark):
     s = spark.createDataFrame([(1, "Học phí kỳ 1 bao nhiêu", [1.0, 0.0], 1.0), (2, "học phí kỳ 2 bao nhiêu", [1.0, 0.0], 1.0)], "entry_id long, query string, vector array<double>, created_at double")
     q = spark.createDataFrame([(1, " HỌC PHÍ kỳ 1  bao nhiêu", None), (2, "cho em hỏi học phí kỳ 2 bao nhiêu ạ", None), (3, "bao nhiêu học phí kỳ 1", [1.0, 0.1]), (4, "bao nhiêu học phí kỳ 3", [1.0, 0.0]), (5, "bao nhiêu học phí kỳ 2", [0.0, 1.0]), (6, None, None)], "query_id long, query string, vector array<double>")

@@ -140,12 +140,12 @@ def score_fusion(lists: DataFrame, weights: dict[str, float]) -> DataFrame:
     return lists.join(g, ["method", "query_id"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(w * s), 6).alias("score"))
 
 
-def rerank_lexical(candidates: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
-    """Candidates (query_id, doc_id, rank, overlap) anew by the share of the query's distinct words in the document plus 0.1 / rank, at most 1."""
+def rerank_lexical(candidates: DataFrame, queries: DataFrame, k: int = 4, by: list[str] | None = None) -> DataFrame:
+    """Candidates (by, query_id, doc_id, rank, overlap) anew by the share of the query's distinct words in the document plus 0.1 / rank, at most 1."""
     q = queries.select("query_id", F.size(F.array_distinct(T.words(F.col("query")))).alias("n"))
     s = F.least(F.lit(1.0), F.col("overlap") / F.greatest(F.col("n"), F.lit(1)) + 0.1 / F.col("rank"))
-    c = candidates.join(q, "query_id").select("query_id", "doc_id", F.col("rank").alias("before"), F.round(s, 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "before")
+    c = candidates.join(q, "query_id").select(*(by or []), "query_id", "doc_id", F.col("rank").alias("before"), F.round(s, 6).alias("score"))
+    w = Window.partitionBy(*(by or []), "query_id").orderBy(F.desc("score"), "before")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -154,9 +154,9 @@ def pass_through(candidates: DataFrame, k: int = 4) -> DataFrame:
     return candidates.where(F.col("rank") <= k).withColumn("score", F.lit(1.0))
 
 
-def threshold(scored: DataFrame, least: float = 0.15) -> DataFrame:
+def threshold(scored: DataFrame, least: float = 0.15, by: list[str] | None = None) -> DataFrame:
     """Rows of at least the score, but all rows of a query that would lose every one."""
-    any_ = F.max(F.col("score") >= least).over(Window.partitionBy("query_id"))
+    any_ = F.max(F.col("score") >= least).over(Window.partitionBy(*(by or []), "query_id"))
     return scored.withColumn("_any", any_).where(~F.col("_any") | (F.col("score") >= least)).drop("_any")
 
 
@@ -175,7 +175,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         q = np.array([r.vector for r in rows], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         types = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["doc_id"].dataType)
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
+        sent = vectors.sparkSession.sparkContext.broadcast((pa.array(ids, types[0]), q))
 
         def score(batches):
             ids, q = sent.value
@@ -191,8 +191,15 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 x, key = x[fine] / norm[fine][:, None], f["doc_id"].to_numpy()[fine]
                 s = np.round(q @ x.T, 6)
                 n = min(k, s.shape[1])
-                top = np.argsort(-s, 1, kind="stable")[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)], types[0]), pa.array(key[top.ravel()], types[1]), pa.array(np.take_along_axis(s, top, 1).ravel())], ["query_id", "doc_id", "score"])
+                if not n:
+                    continue
+                edge = np.partition(s, s.shape[1] - n, 1)[:, s.shape[1] - n]
+                r, c = np.nonzero(s >= edge[:, None])  # the n best and what ties with the last
+                order = np.lexsort((c, -s[r, c], r))
+                r, c = r[order], c[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < n
+                r, c = r[keep], c[keep]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(key[c], types[1]), pa.array(s[r, c])], ["query_id", "doc_id", "score"])
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
         return vectors.select("doc_id", "vector").mapInArrow(score, kinds)
@@ -286,12 +293,46 @@ def variants(lists: DataFrame, dense_name: str = "dense", sparse_name: str = "sp
     return out
 
 
+def usable(v: Column, dim: int) -> Column:
+    """Whether a vector has dim finite numbers, not all zero."""
+    return F.coalesce((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def pipeline(points: DataFrame, queries: DataFrame, constants: tuple[float, ...] = (60,), depth: int = 100, keep: int = 8, k: int = 4, least: float = 0.15, dim: int = 64) -> DataFrame:
+    """(constant, query_id, doc_id, rank, score): points (doc_id, text, vector) for queries (query_id, query, vector).
+
+    Dense and sparse lists of `depth` are fused by rank, once for each constant; the best `keep`
+    are re-ranked by shared words and the best k stay, of these the ones of at least `least`
+    unless none is. A query or point without a usable vector takes part in the sparse list only,
+    one without words in the dense list only; a query with neither has no rows.
+    """
+    a = dense(points.where(usable(F.col("vector"), dim)).select("doc_id", "vector"), queries.where(usable(F.col("vector"), dim)).select("query_id", "vector"), depth)
+    b = lists_of(matches(points, queries), ["sparse"], depth).select("query_id", "doc_id", "rank")
+    both = a.select(F.lit("dense").alias("method"), "query_id", "doc_id", "rank").unionByName(b.select(F.lit("sparse").alias("method"), "*"))
+    near = rrf_grid(both, [(c, {}) for c in constants], keep).select(F.col("k").alias("constant"), "query_id", "doc_id", "rank")
+    w = lambda c: F.array_distinct(T.words(F.col(c)))
+    near = near.join(points.select("doc_id", w("text").alias("_d")), "doc_id").join(queries.select("query_id", w("query").alias("_q")), "query_id")  # `keep` rows a query
+    near = near.select("constant", "query_id", "doc_id", "rank", F.size(F.array_intersect("_d", "_q")).cast("double").alias("overlap"))
+    return threshold(rerank_lexical(near, queries, k, ["constant"]), least, ["constant"]).select("constant", "query_id", "doc_id", "rank", "score")
+
+
+def answer_context(chunks: DataFrame, queries: DataFrame, model=None, k: int = 4, **options) -> DataFrame:
+    """(query_id, context, sources, has_table, articles) for queries (query_id, query) over chunks (chunk_id, doc_id, doc_name, content, is_table): both are embedded by `model`, ranked by pipeline(), rolled up where many hits are records of one document, and put together."""
+    from vellum.operators import models
+
+    p = models.embed(chunks.where(T.squeeze(F.col("content")) != "").select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")), "text", model).withColumnRenamed("dense", "vector")
+    q = models.embed(queries.where(T.squeeze(F.col("query")) != ""), "query", model).withColumnRenamed("dense", "vector")
+    hits = pipeline(p.select("doc_id", "text", "vector"), q.select("query_id", "query", "vector"), k=k, **options)
+    rolled = rollup(hits.select("query_id", F.col("doc_id").alias("chunk_id"), "rank"), chunks.select("chunk_id", "doc_id", "content"), k)
+    return contexts(rolled, chunks.select("chunk_id", "doc_name", "content", "is_table"))
+
+
 def full_pipeline(docs: DataFrame, queries: DataFrame, dense_lists: DataFrame, k: int = 4, bonus: float = 0.05) -> DataFrame:
     """Queries with abbreviations written out, BM25 and dense lists fused by rank, the best 2k with a bonus for each distinct shared word, the best k."""
-    full = queries.withColumn("query", T.expand(F.col("query")))
-    a = ranked(bm25(docs, full), 100).withColumn("method", F.lit("bm25"))
+    m = checkpointed(matches(docs, queries.withColumn("query", T.expand(F.col("query")))))
+    a = lists_of(m, ["bm25"], 100)
     fused = ranked(rrf(a.unionByName(dense_lists.select(*a.columns))), 2 * k).drop("rank")
-    shared = overlap(docs.join(fused.select("doc_id").distinct(), "doc_id", "left_semi"), full).withColumnRenamed("score", "shared")
+    shared = m.select("query_id", "doc_id", F.col("overlap").alias("shared"))
     s = fused.join(shared, ["query_id", "doc_id"], "left").withColumn("score", F.round(F.col("score") + bonus * F.coalesce("shared", F.lit(0.0)), 9)).drop("shared")
     return ranked(s, k)
 

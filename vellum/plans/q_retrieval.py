@@ -187,7 +187,7 @@ b as (select query_id, chunk_id, case when rank = 1 then 0.0 else 2.0 + rank end
 select query_id, chunk_id, row_number() over (partition by query_id order by place, chunk_id) as rank from b qualify rank <= 8"""
 )
 def rollup_summaries(spark, d):
-    """Hits are the longest chunks of each document; one record among them brings in summaries."""
+    """Hits are the eight longest chunks of each document; one record among them brings in summaries, as the tables have few. The operator's own rule is in document_rollup."""
     from pyspark.sql import Window
 
     c = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "doc_id", "content")
@@ -208,3 +208,36 @@ def context_blocks(spark, d):
     w = Window.partitionBy("doc_id").orderBy("chunk_id")
     h = c.where("doc_id is not null and content is not null").select(F.col("doc_id").alias("query_id"), "chunk_id", F.row_number().over(w).alias("rank")).where("rank <= 4")
     return R.contexts(h, c.drop("doc_id")).drop("articles")
+
+
+_PIPELINE = f"""
+with pt as (select entry_id as doc_id, query as text, vector from semantic_cache), qt as (select entry_id as query_id, query, vector from cache_entries),
+d as (select doc_id, {_W.format("text")} as w from pt),
+p as (select doc_id, token, count(*) as tf from (select doc_id, unnest(w) as token from d) group by all),
+q as (select query_id, token, count(*) as times from (select query_id, unnest({_W.format("query")}) as token from qt) group by all),
+df as (select token, ln((select count(*) from d) / count(*)) + 1 as idf from p group by token),
+m as (select query_id, doc_id, round(sum(times * idf * tf * idf), 6) as score, count(*)::double as overlap from p join df using (token) join q using (token) group by all),
+sp as (select 'sparse' as method, query_id, doc_id, {_RANK} as rank from m qualify rank <= 100),
+v as (select doc_id, vector::double[64] as e from pt where {_UNIT}), u as (select query_id, vector::double[64] as e from qt where {_UNIT}),
+de as (select 'dense' as method, query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select query_id, doc_id, round(array_cosine_similarity(u.e, v.e), 6) as score from u, v) qualify rank <= 100),
+f as (select c as constant, query_id, doc_id, round(sum(1.0::double / (c + rank)), 9) as score from (select * from sp union all select * from de), (values (2), (60)) k(c) group by all),
+n as (select constant, query_id, doc_id, row_number() over (partition by constant, query_id order by score desc, doc_id) as before from f qualify before <= 8),
+r as (select constant, n.query_id, n.doc_id, before, round(least(1.0, coalesce(overlap, 0) / greatest(len(list_distinct({_W.format("query")})), 1) + 0.1::double / before), 6) as score from n left join m using (query_id, doc_id) join qt on qt.query_id = n.query_id),
+t as (select *, row_number() over (partition by constant, query_id order by score desc, before) as rank from r qualify rank <= 4)
+select constant, query_id, doc_id, rank, score from (select *, max(score >= 0.6) over (partition by constant, query_id) as ok from t) where not ok or score >= 0.6
+"""
+
+
+@query(_PIPELINE)
+def hybrid_pipeline(spark, d):
+    """Incoming questions against the store by their stored vectors and words: dense and sparse lists, fused with two constants, re-ranked, cut at a threshold."""
+    p = table(spark, d, "semantic_cache").select(F.col("entry_id").alias("doc_id"), F.col("query").alias("text"), "vector")
+    q = table(spark, d, "cache_entries").select(F.col("entry_id").alias("query_id"), "query", "vector")
+    return R.pipeline(p, q, (2, 60), least=0.6)
+
+
+@query()
+def hybrid_context(spark, d):
+    """The whole way from questions to contexts: chunks and questions embedded, ranked, rolled up and put together."""
+    c = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "doc_id", "doc_name", "content", "is_table")
+    return R.answer_context(c, _questions(spark, d))
