@@ -57,4 +57,14 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, "field string, key string, text string").withColumn("form", F.lit("clash"))
     got = sorted((r.key_a, r.key_b) for r in L.same_pairs(df.drop("form")).collect())
     assert got == [("1", "2"), ("1", "3"), ("2", "3"), ("2", "4"), ("3", "4")]
-    assert L.same_pairs(df.drop("form").limit(0)).count() == 0
+    assert L.same_pairs(df.drop("form").limit(0)).count() == 0 and L.classes(df.limit(0)).count() == 0
+    first = min(PLAIN, SAME[0], SAME[1], key=lambda t: t.encode())
+    assert {tuple(r) for r in L.classes(df).collect()} == {("f", k, first, 3, 4) for k in "1234"}
+
+
+def test_many_copies_and_one_key_with_two_texts(spark):
+    rows = [("f", f"c{i}", PLAIN) for i in range(500)] + [("f", "x", SAME[1]), ("f", "y", SAME[1]), ("f", "y", PLAIN), ("g", "1", "a" * 9000), ("g", "2", "a" * 8999 + chr(0x430))]
+    df = spark.createDataFrame(rows, "field string, key string, text string")
+    got = [(r.field, r.key_a, r.key_b) for r in L.same_pairs(df).collect()]
+    want = {("f", *sorted((f"c{i}", k))) for i in range(500) for k in "xy"} | {("f", "x", "y"), ("g", "1", "2")}
+    assert len(got) == len(set(got)) and set(got) == want

@@ -37,9 +37,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
-    """The distinct texts of each field with their form."""
-    t = _texts(spark, d).where("text is not null").groupBy("field", "text").agg(F.count("*").alias("copies"))
-    return t.withColumn("form", lookalikes.form(F.col("text")))
+    """Every record that looks like a differently stored one, with its class."""
+    return lookalikes.classes(_texts(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -51,12 +51,23 @@ def _translate(text: str) -> str:
     return f"translate({text}, '{quote(''.join(pairs))}', '{quote(''.join(pairs.values()))}')"
 
 
-P5_FOUND = rf"""
+_P5 = rf"""
 with t as (select 'semantic_cache.query' as field, entry_id::varchar as key, query as text from semantic_cache union all select 'document_catalog.original_name', id, original_name from document_catalog
   union all select 'chat_messages.content', id::varchar, content from (select distinct on (id) * from chat_messages)),
 f as (select field, key, text, trim(regexp_replace(nfc_normalize({_translate("regexp_replace(text, '[" + chr(0xAD) + chr(0x200B) + "-" + chr(0x200F) + chr(0x2060) + "-" + chr(0x206F) + chr(0xFEFF) + "]', '', 'g')")}), ' +', ' ', 'g')) as form from t where text is not null)
+"""
+P5_FOUND = (
+    _P5
+    + """
 select a.field, least(a.key, b.key) as key_a, greatest(a.key, b.key) as key_b from f a join f b on a.field = b.field and a.form = b.form and a.text < b.text where a.form <> ''
 """
+)
+P5_FORMS = (
+    _P5
+    + """, c as (select field, form, min(text) as first, count(distinct text) as ways, count(*) as records from f where form <> '' group by all having count(distinct text) > 1)
+select field, key, first, ways, records from f join c using (field, form)
+"""
+)
 
 #: Words as they are compared; texts without tags and entities, as in the test tables.
 _WORDS = "regexp_extract_all(regexp_replace(strip_accents(replace(lower({}), 'đ', 'd')), '[\\p{{M}}\\x{{00ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}]', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
@@ -81,4 +92,4 @@ select distinct least(a, b) as entry_a, greatest(a, b) as entry_b from t where s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_turns": P1_TURNS, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
+    return {"p1_found": P1_FOUND, "p1_turns": P1_TURNS, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_forms": P5_FORMS, "p7_found": P7_FOUND}
