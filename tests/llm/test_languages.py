@@ -63,3 +63,25 @@ def test_a_second_language_in_unsure_pieces_is_found():
     assert G.best_path(logp, np.full(18, 20), 0.9).tolist() == [0] * 10 + [2] * 8
     assert G.best_path(logp, np.r_[np.full(10, 200), np.full(8, 10)], 0.9).tolist() == [0] * 18
     assert set(G.best_path(logp[10:], np.full(8, 20), 0.9).tolist()) == {2}
+
+
+def test_segments_are_places_of_the_stored_text(spark, trained):
+    import copy
+    import unicodedata
+
+    random.seed(12)
+    text = lambda lang, n=6: " ".join(sentence(lang) for _ in range(n))
+    one, two = unicodedata.normalize("NFD", text("vi")).replace(" ", chr(0xA0), 3) + "… " + chr(0x200B), text("de").replace("a", chr(0xFF41), 2)
+    df = spark.createDataFrame([(1, f"{one}\n{two}"), (2, text("fr")), (None, text("es"))], "doc_id long, text string")
+    s = G.segments(df, trained).where("doc_id = 1").orderBy("segment").collect()
+    cut = [f"{one}\n{two}"[r.start : r.start + r.length] for r in s]
+    assert "".join(cut) == f"{one}\n{two}" and cut[1].lstrip(f"\n{chr(0x200B)}") == two and [r["lang"] for r in s] == ["vi", "de"]
+    strict = copy.copy(trained)
+    strict.reject = 1.1
+    assert {(r["lang"], r.guess) for r in G.segments(df.where("doc_id = 2"), strict).collect()} == {("unknown", "fr")}
+    assert G.cases(df.withColumn("lang", F.lit(None).cast("string")), strict).count() == 0
+
+
+def test_pieces_end_at_stops_and_lines():
+    t = 'One. "Two" 3.5 x... y\r\n\nZ! \'q\' end; a:b: c'
+    assert [t[a:b] for a, b in G.pieces_of(t)] == ["One. ", '"Two" 3.5 x... ', "y\r\n\n", "Z! ", "'q' end; ", "a:b: ", "c"]

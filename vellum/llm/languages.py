@@ -2,18 +2,21 @@
 
 The model averages hashed subword embeddings of words and puts a linear softmax on the average.
 It is trained by stochastic gradient descent in numpy on sentences of labelled documents, a
-sample of at most PER_LANGUAGE documents of each language, none above TRAIN_CHARS characters.
+sample of at most PER_LANGUAGE documents of each language, the first by a hash of their ids; of
+each at most TRAIN_CHARS characters are learnt from.
 Labels may be wrong: a second training leaves out sentences that a first one, trained on other
 documents, assigns to another language (unless it would leave out more than half of one). Every sentence is also trained without its accents. A
-part that was held back fits the temperature of the probabilities and the confidence under
-which a segment is rejected; a rejected segment takes the language of its surroundings.
+part that was held back fits the temperature of the probabilities and two confidences: under
+`accept` a piece takes the language of its surroundings; under `reject` a guess is more often
+wrong than right, and a segment is `unknown`.
 
 A document is cut at line breaks and sentence ends; the best sequence of languages (Viterbi,
 with a price for each change) joins these to segments. A language counts as present in a
 document from `share` of its letters on.
 
 Defined results: null and empty texts and documents with fewer than `least` letters have no
-language and are no cases; repeated rows are judged alike; an empty table gives no rows.
+language and are no cases; a document most of whose letters are unknown is no case; repeated
+rows are judged alike; an empty table gives no rows. Places count characters of the stored text.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANGS = ("vi", "en", "fr", "de", "es", "pt")
@@ -44,7 +48,7 @@ NAMES = {
 #: Codes and names of other languages.
 FOREIGN = "it ita italian italiano nl nld dut dutch ru rus russian zh zho chi chinese ja jpn japanese ko kor korean th tha thai la lat latin lo lao km khm khmer id ind indonesian ms msa malay tl tgl ar ara arabic hi hin hindi pl pol polish cs ces cze czech sv swe swedish da dan danish no nor nb nn norwegian fi fin finnish tr tur turkish el ell gre greek he heb hebrew hu hun hungarian ro ron rum romanian uk ukr ukrainian ca cat catalan gl glg galician bg bul bulgarian hr hrv sr srp sk slk sl slv et est lv lav lt lit fa fas per persian bn ben ta tam te tel ur urd my mya sw swa eu eus baq"
 _WORD = re.compile(r"\b[^\W\d_]+\b")
-_SPLIT = re.compile(r"[\r\n\f]+|(?<=[.!?…;:])[\"'”’»)\]*_]*\s+")
+_SPLIT = re.compile(r"[\r\n\f.!?…;:](?:(?<=[\r\n\f])[\r\n\f]*|[\"'”’»)\]*_]*\s+)")  # begins with one set, which is searched fast
 _UNSEEN = re.compile("[­​-‏⁠-⁤︀-️﻿]")
 
 
@@ -81,7 +85,7 @@ class Model:
         self.e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
         self.w = np.zeros((DIM, n), np.float32)
         self.b = np.zeros(n, np.float32)
-        self.heat, self.accept = 1.0, 0.5
+        self.heat, self.accept, self.reject = 1.0, 0.5, 0.0
         self.known: dict[str, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
@@ -156,14 +160,12 @@ def pieces_of(text: str) -> list[tuple[int, int]]:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from the labels of docs (text, lang)."""
-    d = docs.select("doc_id", "text", label(F.col("lang")).alias("y")).where(F.col("y").isin(*LANGS) & (F.length("text") <= TRAIN_CHARS) & (F.length("text") >= LEAST))
-    count = {r.y: r.n for r in d.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
-    keep = F.lit(False)
-    for y, n in count.items():
-        keep = keep | ((F.col("y") == y) & (draw < int(1_000_000 * min(1.0, per_language / n))))
-    rows = d.where(keep).select("doc_id", "text", "y").toPandas().sort_values("doc_id", kind="stable")
+    """A model from the labels of docs (doc_id, text, lang): the ids of the sample by one scan of the labels, then its texts."""
+    draw = F.xxhash64(F.col("doc_id"), F.lit(17))
+    first = F.row_number().over(Window.partitionBy("y").orderBy(draw, "doc_id"))  # at most per_language rows of a label leave a task
+    ids = docs.select("doc_id", label(F.col("lang")).alias("y")).where(F.col("y").isin(*LANGS) & F.col("doc_id").isNotNull()).withColumn("n", first).where(F.col("n") <= per_language).select("doc_id", "y").distinct()
+    rows = docs.select("doc_id", "text").where(F.length("text") >= LEAST).join(F.broadcast(ids), "doc_id")  # a bounded number of ids
+    rows = rows.select("doc_id", "y", F.substring("text", 1, TRAIN_CHARS).alias("text")).toPandas().sort_values(["doc_id", "text"], kind="stable")
     x, y, doc = [], [], []
     for k, (t, lang) in enumerate(zip(rows["text"], rows["y"], strict=True)):
         t = clean(t)
@@ -209,6 +211,9 @@ def fit_clean(x: list[list[str]], y: np.ndarray, doc: np.ndarray) -> Model:
         precise = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(precise >= 0.99)
         model.accept = float(min(0.9, max(0.4, conf[order][good[-1]]))) if len(good) else 0.9
+        up = order[::-1]
+        low = np.flatnonzero(np.cumsum(right[up]) <= 0.5 * np.arange(1, len(up) + 1))
+        model.reject = float(conf[up][low[-1]]) if len(low) else 0.0
     return model
 
 
@@ -238,38 +243,78 @@ def best_path(logp: np.ndarray, letters: np.ndarray, accept: float) -> np.ndarra
     return path
 
 
-SEGMENT = "doc_id bigint, segment int, start int, length int, letters int, lang string, confidence double"
+SEGMENT = "doc_id bigint, segment int, start int, length int, letters int, lang string, confidence double, guess string"
+
+
+@lru_cache(maxsize=1)
+def _alphabetic() -> np.ndarray:
+    """Which code points are letters; beyond the table none is."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x33480)), bool, 0x33480)
+
+
+def _pieces(text: str) -> tuple[list[tuple[int, int]], list[list[str]], np.ndarray]:
+    """Spans of the stored text, the words of each as they are scored, and its letters."""
+    spans = pieces_of(text)
+    if text.isascii() or unicodedata.is_normalized("NFKC", text) and not _UNSEEN.search(text):
+        words = [_WORD.findall(text[a:b].lower()) for a, b in spans]
+    else:
+        words = [_WORD.findall(clean(text[a:b]).lower()) for a, b in spans]
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    table = _alphabetic()
+    count = np.r_[0, np.cumsum(table[np.minimum(code, len(table) - 1)])]
+    at = np.array(spans)
+    return spans, words, count[at[:, 1]] - count[at[:, 0]]
+
+
+def judged(model: Model, texts: list[str], least: int = LEAST) -> Iterator[tuple[int, list[tuple[int, int, int, int, int, float]]]]:
+    """Of each text with enough letters: its place in the list, and its segments (segment, start, length, letters, language, confidence)."""
+    spans, words, letters, size = [], [], [], []
+    for t in texts:
+        s, w, n = _pieces(t) if t else ([], [], np.zeros(0, np.int64))
+        spans += s
+        words += w
+        letters.append(n)
+        size.append(len(s))
+    if not spans:
+        return
+    n = np.concatenate(letters)
+    logp = model.scores(words)
+    edge = np.r_[0, np.cumsum(size)]
+    some = np.flatnonzero(size)
+    first = edge[some]
+    top, best = logp.argmax(1), np.exp(logp.max(1))
+    sure = (best >= model.accept) & (n > 0)
+    total = np.add.reduceat(n, first)
+    low, high = np.minimum.reduceat(np.where(sure, top, len(LANGS)), first), np.maximum.reduceat(np.where(sure, top, -1), first)
+    plain = (low == high) & (np.add.reduceat(np.where(sure, 0, n), first) < SHARE * total)  # one language, without a search
+    weight = np.maximum(n, 0.01)
+    of = np.repeat(np.where(plain, high, 0), np.array(size)[some])
+    mean = np.add.reduceat(np.exp(logp[np.arange(len(n)), of]) * weight, first) / np.add.reduceat(weight, first)
+    for j, k in enumerate(some.tolist()):
+        if total[j] < least:
+            continue
+        a, b = edge[k], edge[k + 1]
+        if plain[j]:
+            yield k, [(0, spans[a][0], spans[b - 1][1] - spans[a][0], int(total[j]), int(high[j]), float(mean[j]))]
+            continue
+        path = best_path(logp[a:b], n[a:b], model.accept)
+        cut = np.flatnonzero(np.diff(path)) + 1
+        out = []
+        for s, (i, e) in enumerate(zip([0, *cut], [*cut, b - a])):
+            w = weight[a + i : a + e]
+            out.append((s, spans[a + i][0], spans[a + e - 1][1] - spans[a + i][0], int(n[a + i : a + e].sum()), int(path[i]), float((np.exp(logp[a + i : a + e, path[i]]) * w).sum() / w.sum())))
+        yield k, out
 
 
 def segments(docs: DataFrame, model: Model, least: int = LEAST) -> DataFrame:
-    """The segments of every document with their language and a confidence. start and length count characters of the text after compatibility normalisation."""
+    """The segments of every document with their language, or `unknown`, a confidence and the best guess. start and length count characters of the stored text, so a segment can be cut out of it."""
     bc = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = bc.value
         for f in frames:
-            spans, words, letters, edge, texts = [], [], [], [0], []
-            for t in f["text"]:
-                t = clean(t)
-                texts.append(t)
-                for a, b in pieces_of(t):
-                    spans.append((a, b))
-                    words.append(_WORD.findall(t[a:b].lower()))
-                    letters.append(sum(map(str.isalpha, t[a:b])))
-                edge.append(len(spans))
-            n = np.array(letters)
-            logp = m.scores(words)
-            out = []
-            for k, doc in enumerate(f["doc_id"]):
-                a, b = edge[k], edge[k + 1]
-                if a == b or n[a:b].sum() < least:
-                    continue
-                path = best_path(logp[a:b], n[a:b], m.accept)
-                cut = np.flatnonzero(np.diff(path)) + 1
-                for s, (i, j) in enumerate(zip([0, *cut], [*cut, b - a])):
-                    w = np.maximum(n[a + i : a + j], 0.01)
-                    conf = float((np.exp(logp[a + i : a + j, path[i]]) * w).sum() / w.sum())
-                    out.append((doc, s, spans[a + i][0], spans[a + j - 1][1] - spans[a + i][0], int(n[a + i : a + j].sum()), LANGS[path[i]], conf))
+            ids = f["doc_id"].to_numpy(object)
+            out = [(ids[k], *x[:4], LANGS[x[4]] if x[5] >= m.reject else "unknown", x[5], LANGS[x[4]]) for k, segs in judged(m, f["text"].tolist(), least) for x in segs]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENT.split(", ")])
 
     return docs.select("doc_id", "text").where(F.length("text") >= least).mapInPandas(run, SEGMENT)
@@ -283,10 +328,10 @@ def shares(segs: DataFrame) -> DataFrame:
 
 
 def cases(docs: DataFrame, model: Model, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(doc_id, issue, lang): mixed for each language of a document in several, else missing or wrong with the true language."""
+    """(doc_id, issue, lang): mixed for each language of a document in several, else missing or wrong with the true language; no row where the language is unknown."""
     s = segments(docs, model, least).groupBy("doc_id", "lang").agg(F.sum("letters").alias("letters"))
     s = s.groupBy("doc_id").agg(F.collect_list(F.struct("letters", "lang")).alias("l"), F.sum("letters").alias("all"))  # at most one entry per language
-    s = s.withColumn("big", F.filter("l", lambda x: x["letters"] >= share * F.col("all"))).withColumn("first", F.array_max("l")["lang"])
-    j = s.join(docs.select("doc_id", label(F.col("lang")).alias("named")), "doc_id")
+    s = s.withColumn("big", F.filter("l", lambda x: (x["letters"] >= share * F.col("all")) & (x["lang"] != "unknown"))).withColumn("first", F.array_max("l")["lang"])
+    j = s.where("first <> 'unknown'").join(docs.select("doc_id", label(F.col("lang")).alias("named")), "doc_id")
     j = j.select("doc_id", F.when(F.size("big") > 1, "mixed").when(F.col("named").isNull(), "missing").when(F.col("named") != F.col("first"), "wrong").alias("issue"), F.when(F.size("big") > 1, F.col("big.lang")).otherwise(F.array("first")).alias("langs"))
     return j.where("issue is not null").select("doc_id", "issue", F.explode("langs").alias("lang")).distinct()
