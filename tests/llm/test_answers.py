@@ -1,10 +1,20 @@
+import os
+
 import pytest
 
 from vellum.llm import answers as A
+from vellum.llm import languages
 
 Q = "Học phí học phần MA101 là bao nhiêu?"
 
 
+@pytest.fixture(scope="module")
+def model(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no tables here")
+    return languages.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
 @pytest.mark.parametrize(
     ("query", "answer", "want"),
     [
@@ -15,10 +25,13 @@ Q = "Học phí học phần MA101 là bao nhiêu?"
         (Q, Q, "copy"), (Q, f"“{Q}”", "copy"), (Q, f"Câu hỏi: {Q}", "copy"), (Q, f"{Q} {Q}", "copy"), (Q, f"{Q}\nHọc phí là 500.000 đồng.", None),
         (Q, "The fee for the course is 500 and must be paid before the end of May.", "other_language"), ("Answer in English: " + Q, "The fee for the course is 500 and must be paid before May.", None), ("Hoc phi hoc phan la bao nhieu?", "Học phí của học phần là 500.000 đồng.", None),
         ("Chuẩn tiếng Anh của ngành Luật ra sao?", "The language requirement of the course applies from May onwards.", "other_language"), (None, "Text.", None),
+        ("When does the office open?", "Le secrétariat ouvre lundi matin.", "other_language"), ("Cost of the HP-Ơ-00118 laboratory kit, per month?", "The fee for the course must be paid before May.", None), (Q, "La carrera de logística admite a 13 personas.", "other_language"),
+        ("Can I hand it in later?", "We cannot extend the deadline.", None), ("Where can I read it?", "Students may not enter; no information is available online.", None), ("Soll ich warten?", "Ich empfehle das nicht, keine Anmeldung nach Mai.", None),
+        ("What is the fee?", "I'm afraid that lies past my remit.", "refusal"), ("What is the fee?", "That is something I'd rather leave to the registry.", "refusal"),
     ],
 )
-def test_what_a_row_shows(query, answer, want):
-    assert A.plain_defect(query, answer) == want
+def test_what_a_row_shows(model, query, answer, want):
+    assert A.plain_defects([(query, answer), (Q, None)], model) == [want, "empty"]
 
 
 @pytest.mark.parametrize(
@@ -39,14 +52,14 @@ def test_endings(text, state):
     assert A.ending(text)[0] == state
 
 
-def test_truncation_needs_the_other_answers(spark):
+def test_truncation_needs_the_other_answers(spark, model):
     full = [f"Students of cohort K{i} must bring a copy of the transcript to the registry." for i in range(30)] + [f"The library lends up to {i} books at a time and renews each loan twice." for i in range(30)]
     rows = [(i, "Which room is it?", t) for i, t in enumerate(full)]
     rows += [(100, "q", "The library lends up to 5 books at a time and renews each loan twice"), (101, "q", "The library lends up to 7 books at a"), (102, "q", "Students of cohort K7 must bring a copy of the trans"), (103, "q", full[0] + " The library lends"), (104, "q", "Please bring the following:"), (101, "q", "The library lends up to 7 books at a"), (None, "q", "x y")]
     df = spark.createDataFrame(rows, "entry_id long, query string, answer string")
     df = df.withColumn("size", df.entry_id).withColumn("last", df.answer)
-    assert {(r.entry_id, r.defect) for r in A.defects(df).collect()} == {(101, "truncated"), (102, "truncated"), (103, "truncated"), (104, "truncated")}
-    assert A.defects(df.limit(0)).count() == 0
+    assert {(r.entry_id, r.defect) for r in A.defects(df, model).collect()} == {(101, "truncated"), (102, "truncated"), (103, "truncated"), (104, "truncated")}
+    assert A.defects(df.limit(0), model).count() == 0
 
 
 def test_neighbours_see_past_the_end_of_a_range(spark):
@@ -62,4 +75,6 @@ def test_neighbours_see_past_the_end_of_a_range(spark):
 
 def test_spikes(spark):
     df = spark.createDataFrame([(s, 10) for s in range(90, 110) if s != 100] + [(100, 200), (500, 19)], "size int, n long")
-    assert {r.size for r in A.spikes(df).collect()} == {100}
+    assert {r.size for r in A.spikes(df).collect()} == {100, 500}
+    few = spark.createDataFrame([(s, 1) for s in range(90, 110)] + [(200, 5)], "size int, n long")
+    assert A.spikes(few).count() == 0

@@ -10,8 +10,10 @@ the start of a longer sentence. How sentences end is counted over all answers: f
 words of an open ending, how often they close a sentence and how often they are followed by
 another word. Only the first sentence of each range has to meet the last of the one before.
 
-Length limits. Answers cut at a limit pile up at one length: lengths that are far more frequent
-than those around them are spikes, and an open ending at a spike counts as cut.
+Length limits. Answers cut at a limit pile up at one length: lengths at which far more different
+open endings stand than around them are spikes, and an open ending at a spike counts as cut.
+
+Languages of query and answer are told by the model of `languages`, trained on labelled documents.
 
 Everything is aggregated by distinct text before it is compared, so repeated answers cost
 nothing. Defined results: a null answer is empty; a null query can only give empty, refusal or
@@ -21,48 +23,22 @@ truncated; repeated entries are judged once for each entry id; extra columns are
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm import languages
 from vellum.llm.text import fold
 
 #: Fillers that stand for nothing, folded and without marks.
 _FILLER = {"null", "none", "nil", "n/a", "na", "n.a", "nan", "undefined", "empty", "blank", "trong", "rong", "khong co", "chua co", "vide", "neant", "sans objet", "leer", "vacio", "vazio", "nada", "tbd", "todo", "no answer", "no data", "no content", "not available", "khong co du lieu", "khong co cau tra loi", "missing"}
-#: Signs of a refusal or of not knowing, in folded text, by language.
-REFUSAL = re.compile(
-    "|".join(
-        (
-            # Vietnamese
-            r"(?:khong the|khong du kha nang|chua the|khong co kha nang) (?:\w+ ){0,3}?(?:tra loi|ho tro|giup|cung cap|tu van|dap ung|giai dap|thuc hien yeu cau|khang dinh|xac nhan)",
-            r"tu choi (?:tra loi|ho tro|cung cap|tu van|giai dap)|xin phep (?:khong|tu choi)",
-            r"(?:khong|chua) (?:co|tim thay|tim duoc|nam duoc|ghi nhan|thay) (?:\w+ ){0,3}?(?:thong tin|noi dung|du lieu|tai lieu|cau tra loi|ket qua)",
-            r"ngoai (?:pham vi|kha nang)|(?:khong|chua) (?:thuoc|nam trong) pham vi",
-            r"\b(?:minh|toi|em|tro ly|he thong|chung toi) (?:\w+ ){0,2}?(?:khong duoc phep|khong biet|khong ro|chua ro|khong chac|khong dam|chua biet|khong hieu)",
-            r"khong dam khang dinh|khong (?:duoc phep|the) tu van",
-            # English
-            r"\b(?:i|we|it|the assistant|the system)(?:'m| am| are|'re| is)? (?:\w+ ){0,3}?(?:unable|not able|not allowed|not permitted|not in a position)\b",
-            r"\b(?:i|we) (?:\w+ ){0,2}?(?:can ?not|can't|could not|couldn't|won't|will not|must decline|do not know|don't know|have no|do not have|don't have|did not find|didn't find|found no|would rather not|prefer not|refuse|decline|am not sure|cannot)\b",
-            r"\b(?:outside|beyond|not within) (?:of )?(?:what i|my|the|our) (?:\w+ ){0,2}?(?:scope|can|able|support|remit|knowledge)",
-            r"(?:says nothing|no information|no details|nothing) (?:on|about|regarding|is available|was found|found)",
-            r"\b(?:cannot|can't|can not) (?:\w+ ){0,2}?(?:answer|help|assist|give you an answer|provide|support|comment)",
-            # French
-            r"je (?:ne )?(?:\w+ ){0,2}?(?:peux|sais|suis|puis|trouve|dispose|connais)(?: malheureusement)? pas\b|je n'ai (?:\w+ )?(?:trouve|aucune|pas)|je (?:refuse|prefere ne pas)|(?:depasse|hors de|en dehors de) (?:ce que|mon|mes|notre|nos|le|la)|aucune information|(?:ne peut|ne pouvons|ne pouvez) (?:pas )?(?:repondre|traiter|aider|etre traitee)",
-            # German
-            r"\bich (?:\w+ ){0,4}?(?:nicht|keine|nichts)\b|\b(?:kann|konnen|darf|mochte|weiss) (?:ich|wir) (?:\w+ ){0,5}?(?:nicht|keine|nichts)\b|ausserhalb (?:meines|meiner|dessen|des|unseres)|keine (?:informationen|angaben|auskunft)\b|liegen mir (?:\w+ )?keine",
-            # Spanish and Portuguese
-            r"\bno (?:puedo|podemos|se|dispongo|tengo|encontre|he encontrado|hallo|encuentro|me es posible|estoy autorizad[oa]|esta permitido responder)\b|\bfuera de (?:mi|lo que|mis|nuestro|el alcance)|ninguna informacion|prefiero no\b|me niego",
-            r"\b(?:eu )?nao (?:posso|podemos|sei|tenho|encontrei|disponho|consigo|estou autorizad[oa]|me e possivel|ha informac)|\bfora (?:do|da|de) (?:meu|minha|que|escopo|alcance|ambito)|nenhuma informacao|prefiro nao\b|recuso",
-        )
-    )
-)
 _ME = r"\b(?:minh|toi|em|tro ly|he thong|chung toi|chung minh) (?:\w+ ){0,4}?"
 _VERB = r"(?:tra loi|giai dap|tu van|ho tro|giup|cung cap|dap ung|thuc hien yeu cau|khang dinh|xac nhan|dua ra)"
 _TOPIC = r"(?:about|on|for|regarding|concerning|of)"
-#: Of those, signs that the one who answers refuses or doesn't know; numbers in such a sentence belong to what was asked. Folded, codes and numbers as 0.
+#: Signs that the one who answers refuses or doesn't know, by language; what anybody may not do, or what is not available, is an answer. Folded, codes and numbers as 0.
 OWN = re.compile(
     "|".join(
         (
@@ -74,13 +50,13 @@ OWN = re.compile(
             r"(?:ngoai|khong thuoc|khong nam trong|chua thuoc) (?:pham vi|kha nang) (?:\w+ ){0,3}?(?:cua (?:minh|toi|em|tro ly|he thong|chung toi)|ma (?:minh|toi|em)|tra loi|giai dap)",
             # English
             r"\b(?:i|the assistant)(?:'m| am| is)? (?:\w+ ){0,3}?(?:unable|not able|not allowed|not permitted|not in a position)\b",
-            r"\bi (?:\w+ ){0,2}?(?:can ?not|can't|could not|couldn't|won't|will not|must decline|do not know|don't know|have no|do not have|don't have|did not find|didn't find|found no|would rather not|prefer not|refuse|decline|am not sure)\b",
+            r"\bi (?:\w+ ){0,2}?(?:can ?not|can't|could not|couldn't|won't|will not|must decline|do not know|don't know|have no|do not have|don't have|did not find|didn't find|found no|would rather (?:not|leave)|prefer not|refuse|decline|am not sure)\b|\bi'd (?:prefer not|rather (?:not|leave))\b",
             r"\bwe (?:\w+ ){0,3}?(?:unable to|not able to|can ?not|can't|could not|couldn't) (?:answer|help|assist|find|comment)\b|\bwe (?:have no|do not have|don't have|found no|did not find|didn't find) (?:\w+ )?(?:information|details|answer|data) " + _TOPIC,
-            r"\b(?:outside|beyond|not within) (?:of )?(?:what i|my) (?:\w+ ){0,2}?(?:scope|can|able|support|remit|knowledge)|\b(?:says nothing|(?:there is|found) no information) " + _TOPIC,
+            r"\b(?:outside|beyond|past|not within) (?:of )?(?:what i|my) (?:\w+ ){0,2}?(?:scope|can|able|support|remit|knowledge)|\b(?:says nothing|(?:there is|found) no information) " + _TOPIC,
             # French
             r"je (?:ne )?(?:\w+ ){0,2}?(?:peux|sais|suis|puis|trouve|dispose|connais)(?: malheureusement)? pas\b|je n'ai (?:\w+ )?(?:trouve|aucune|pas)|je (?:refuse|prefere ne pas)|(?:depasse|hors de|en dehors de) (?:ce que je|mon|mes)\b|aucune information (?:sur|concernant|a propos|au sujet)",
             # German
-            r"\bich (?:\w+ ){0,4}?(?:nicht|keine|nichts)\b|\b(?:kann|darf|mochte|weiss) ich (?:\w+ ){0,5}?(?:nicht|keine|nichts)\b|ausserhalb (?:meines|meiner)\b|liegen mir (?:\w+ )?keine|keine (?:informationen|angaben) (?:zu|zum|zur|uber)\b",
+            r"\bich (?:kann|konnte|darf|mochte|weiss|habe|finde|bin) (?:\w+ ){0,5}?(?:nicht|keine|nichts)\b|\b(?:kann|darf|mochte|weiss|habe) ich (?:\w+ ){0,5}?(?:nicht|keine|nichts)\b|ausserhalb (?:meines|meiner)\b|liegen mir (?:\w+ )?keine|keine (?:informationen|angaben) (?:zu|zum|zur|uber)\b",
             # Spanish and Portuguese
             r"\bno (?:puedo|dispongo|tengo|encontre|he encontrado|hallo|encuentro|me es posible|estoy autorizad[oa])\b|\bno se (?:nada|cual|cuales|cuando|cuanto|cuanta|donde|como es|la respuesta)\b|\bfuera de (?:mi|mis|lo que puedo)\b|ninguna informacion (?:sobre|de|acerca)|prefiero no\b|me niego",
             r"\bnao (?:posso|sei|tenho|encontrei|disponho|consigo|estou autorizad[oa]|me e possivel)\b|\bfora (?:do|da|de) (?:meu|minha)\b|nenhuma informacao (?:sobre|de|acerca)|prefiro nao\b|recuso",
@@ -100,17 +76,6 @@ COURTESY = re.compile(
     _SORRY.pattern
     + r"|(?:vui long|hay|nen|mong ban|xin) (?:\w+ ){0,4}?(?:lien he|hoi|thong cam|truy cap|quay lai|den)|please (?:\w+ ){0,3}?(?:ask|contact|reach|visit|try|call|check|consult|speak|turn)|(?:veuillez|adressez|contactez)|(?:bitte wenden|wenden sie sich|bitte fragen)|(?:consulte|contacte|dirijase|dirija-se|pregunte|pergunte|por favor)"
 )
-#: Frequent words of each language, folded; Vietnamese also without accents.
-COMMON = {
-    "vi": "la cua va cho khong duoc nganh hoc phan sinh vien khoa phong khi nao bao nhieu mot cac trong tu den ngay thi lam the nao nhu ky truoc sau dang ky voi o dau may gio duoc nop co de can nam lich trung tam truong hop ho so mat theo thang phi dong gom ban giay kem lop uu tien nguoi mang xin thac mac trang han ket thuc luc bat dau keo dai tuan nhan du to viec muc bong khuyen khich phi thu vien muon toi da cuon sach gia hai lan hanh chinh lien he giang nhap diem cham nhat chuan ra ngoai ngu ap dung doi nghi qua buoi se cham tin chi tich luy toi thieu tra loi bang tieng anh tre",
-    "en": "the of and to in is for on at by with from must be when which what how does do it that this are was or an as not no you your before after than more room fee course student students each will has have can may please hand lends file consists answer",
-    "fr": "le la les de des du et en est un une pour dans sur avec au aux ce qui que quel quelle combien quand ou je vous il se sont par plus ne pas avant apres cours dossier jusqu a sera ete etait doivent toute",
-    "de": "der die das und ist in den von zu mit fur auf im dem des ein eine nicht sich bei nach wann wie wo was wird werden sind vor am bis uber oder als muss mussen kurs jahrgang fallig zum zur studierende",
-    "es": "el la los las de del y en es un una para por con que se al lo como cuando donde cual cuanto su sus son antes despues hay debe deben curso carrera hasta mas no si ante tasa",
-    "pt": "o a os as de do da dos das e em um uma para por com que se ao no na nos nas como quando onde qual quanto sao antes depois ha deve devem disciplina ate mais nao sua seu taxa pelo pela",
-}
-#: Letters that only some of the languages use.
-LETTERS = {"vi": "ăđơưảạấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ", "de": "ßäöü", "es": "ñ¿¡", "pt": "ãõ", "fr": "çèêëîïûùœ"}
 #: Requests for a language, folded.
 ASKED = re.compile(
     r"(?:tra loi|viet|noi|dich|giai thich|huong dan|answer|reply|respond|write|explain|translate|repon\w*|ecri\w*|traduis\w*|antwort\w*|schreib\w*|ubersetz\w*|respond\w*|contest\w*|escrib\w*|traduc\w*|escrev\w*|traduz\w*)(?: \w+){0,4}? (?:bang|sang|in|into|en|auf|ins|em|para o|al) (?:tieng |the |la |el |o )?"
@@ -139,9 +104,7 @@ _HELLO = re.compile(r"^(?:chao ban|xin chao|da|hello|hi|hey|bonjour|salut|hallo|
 
 
 def _declines(s: str) -> bool:
-    """Whether a folded sentence refuses: as a rule with next to no digits; with any if it speaks of the one who answers, and no other clause states a number."""
-    if REFUSAL.search(s) and len(re.findall(r"\d", s)) < 2:
-        return True
+    """Whether in a folded sentence the one who answers refuses, and no other clause states a number."""
     if not OWN.search(_NUMBER.sub("0", s)):
         return False
     own = False
@@ -153,6 +116,10 @@ def _declines(s: str) -> bool:
     return True
 
 
+#: Characters up to which a sentence beside a refusal can be mere courtesy.
+COURTESY_CHARS = 200
+
+
 def refuses(text: str) -> bool:
     """Whether an answer declines or doesn't know, and says nothing else: a sentence that refuses, all others courtesy."""
     found = False
@@ -162,7 +129,7 @@ def refuses(text: str) -> bool:
             continue
         if _declines(s):
             found = True
-        elif not COURTESY.search(s) or len(s) > 200 or _SORRY.search(s) and re.search(r"\d", _LABEL.sub("", s)):
+        elif not COURTESY.search(s) or len(s) > COURTESY_CHARS or _SORRY.search(s) and re.search(r"\d", _LABEL.sub("", s)):
             return False
     return found
 
@@ -191,47 +158,27 @@ def copies(query: str, answer: str) -> bool:
     return len(core_a) >= 3 and core_a == core_q[: len(core_a)] and len(core_a) >= 0.8 * len(core_q)
 
 
-_SETS = {k: set(v.split()) for k, v in COMMON.items()}
-
+def foreign(pairs: list[tuple[str, str]], model: languages.Model) -> list[bool]:
+    """Of pairs of query and answer: whether both are rather in one language than in any other, these are more likely two than one, and the query doesn't ask for that."""
+    out = [False] * len(pairs)
+    ask = [k for k, (q, _) in enumerate(pairs) if not ASKED.search(" ".join(fold(q).replace(":", " ").split()))]
+    said = model.scores([languages.words_of(pairs[k][i]) for i in (0, 1) for k in ask])
+    n = len(ask)
+    known = said.max(1) > np.log(0.5)
+    two = known[:n] & known[n:] & (np.exp(said[:n] + said[n:]).sum(1) < 0.5)
+    for j, k in enumerate(ask):
+        out[k] = bool(two[j])
+    return out
 
-def language(text: str) -> tuple[str | None, float]:
-    """The language of a text by its frequent words and letters, and its lead over the next; names in capitals and codes don't count."""
-    t = unicodedata.normalize("NFC", text)
-    low = t.lower()
-    score = dict.fromkeys(COMMON, 0.0)
-    words = [w for w in _WORD.findall(fold(low)) if not any(c.isdigit() for c in w)]
-    for w in words:
-        for k, s in _SETS.items():
-            if w in s:
-                score[k] += 1
-    for w in re.findall(r"\b\w'\w", fold(low)):
-        score["fr"] += 1
-    for k, letters in LETTERS.items():
-        score[k] += (1.5 if k == "vi" else 0.7) * sum(low.count(c) for c in letters)
-    a, b = sorted(score.values())[-1:-3:-1]
-    best = max(score, key=score.get)
-    return (best if a >= 1.5 and a > 1.25 * b else None), a / max(1, len(words))
-
-
-def foreign(query: str, answer: str) -> bool:
-    """Whether the answer is in another language than the query, and the query doesn't ask for one."""
-    if ASKED.search(" ".join(fold(query).replace(":", " ").split())):
-        return False
-    q, a = language(query)[0], language(answer)[0]
-    return q is not None and a is not None and q != a
 
-
-def plain_defect(query: str | None, answer: str | None) -> str | None:
-    """The defect that one row shows by itself; None leaves truncation open."""
-    if not shows(answer):
-        return "empty"
-    if refuses(answer):
-        return "refusal"
-    if query is not None and copies(query, answer):
-        return "copy"
-    if query is not None and foreign(query, answer):
-        return "other_language"
-    return None
+def plain_defects(rows: list[tuple[str | None, str | None]], model: languages.Model) -> list[str | None]:
+    """The defect that each row (query, answer) shows by itself; None leaves truncation open."""
+    out = ["empty" if not shows(a) else "refusal" if refuses(a) else "copy" if q is not None and copies(q, a) else None for q, a in rows]
+    open_ = [k for k, d in enumerate(out) if d is None and rows[k][0] is not None]
+    for k, other in zip(open_, foreign([rows[k] for k in open_], model), strict=True):
+        if other:
+            out[k] = "other_language"
+    return out
 
 
 _OPEN = re.compile(r"(?:^|\n)\s*(?:\d{1,2}[.)]|[-*+•])\s*(?:\*\*?)?\s*$|[:;,(\[{=+/&–—-]\s*$|(?:^|\s)[\"“«]\s*$")
@@ -266,24 +213,29 @@ PASS = "entry_id bigint, defect string, state string, last string, size int, sen
 _COLS = [c.split()[0] for c in PASS.split(", ")]
 
 
-def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(sent):
     """One pass over the answers: a row for each entry, and one for each distinct sentence of a batch with how often it was seen and whether closed."""
-    for f in frames:
-        out, seen = [], {}
-        for e, q, a in zip(f["entry_id"], f["query"], f["answer"], strict=True):
-            d = plain_defect(q, a)
-            state, last = ("", "") if d else ending(a)
-            out.append((e, d, state, masked(last) if state == "open" else None, len(a) if a else 0, None, None, None))
-            if d:
-                continue
-            parts = sentences(a)
-            for k, s in enumerate(parts):
-                done = bool(_CLOSED.search(s)) and s.count("(") <= s.count(")")
-                if done or k < len(parts) - 1:  # whether an open last one is complete is the question
-                    m = masked(s)
-                    if m:
-                        seen[m, done] = seen.get((m, done), 0) + 1
-        yield pd.DataFrame(out + [(None, None, None, None, None, m, done, n) for (m, done), n in seen.items()], columns=_COLS).astype({"entry_id": "Int64", "size": "Int32", "n": "Int64", "done": "boolean"})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = sent.value
+        for f in frames:
+            out, seen = [], {}
+            rows = list(zip(f["query"], f["answer"], strict=True))
+            for e, (_, a), d in zip(f["entry_id"], rows, plain_defects(rows, model), strict=True):
+                state, last = ("", "") if d else ending(a)
+                out.append((e, d, state, masked(last) if state == "open" else None, len(a) if a else 0, None, None, None))
+                if d:
+                    continue
+                parts = sentences(a)
+                for k, s in enumerate(parts):
+                    done = bool(_CLOSED.search(s)) and s.count("(") <= s.count(")")
+                    if done or k < len(parts) - 1:  # whether an open last one is complete is the question
+                        m = masked(s)
+                        if m:
+                            seen[m, done] = seen.get((m, done), 0) + 1
+            yield pd.DataFrame(out + [(None, None, None, None, None, m, done, n) for (m, done), n in seen.items()], columns=_COLS).astype({"entry_id": "Int64", "size": "Int32", "n": "Int64", "done": "boolean"})
+
+    return run
 
 
 def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,19 +263,18 @@ def shortened(texts: DataFrame) -> DataFrame:
 
     got = checkpointed(texts.repartitionByRange("sentence").sortWithinPartitions("sentence").mapInPandas(_neighbours, "part int, text string, longer boolean, first boolean"))
     firsts = sorted((r.part, r.text) for r in got.where("first").select("part", "text").collect())  # one a task
-
-    @F.udf("boolean")
-    def meets(part: int, text: str) -> bool:
-        return next((t.startswith(text) for p, t in firsts if p > part), False)
-
-    return got.where("not first").select(F.col("text").alias("last"), F.when(F.col("longer").isNull(), meets("part", "text")).otherwise(F.col("longer")).alias("longer"))
+    ends = [(r.text, any(t.startswith(r.text) for p, t in firsts if p > r.part)) for r in got.where("not first and longer is null").select("part", "text").collect()]  # at most one a task
+    rest = texts.sparkSession.createDataFrame(ends, "last string, longer boolean")
+    return got.where("not first and longer is not null").select(F.col("text").alias("last"), "longer").unionByName(rest)
 
 
-def spikes(sizes: DataFrame, reach: int = 6, times: float = 8.0, least: int = 20) -> DataFrame:
-    """Lengths (size) that are far more frequent than those around them. sizes has size and n."""
+def spikes(sizes: DataFrame, reach: int = 6, times: float = 8.0, evidence: float = 20.0) -> DataFrame:
+    """Lengths (size) that are far more frequent than those around them: `times` as many, and too many for chance by a likelihood ratio of exp(evidence), with half a row as the least that is usual. sizes has size and n."""
     near = sizes.select(F.explode(F.array(*(F.col("size") + k for k in range(-reach, reach + 1) if k))).alias("size"), F.col("n").alias("m"))
     near = near.groupBy("size").agg((F.sum("m") / (2 * reach)).alias("usual"))
-    return sizes.where(F.col("n") >= least).join(near, "size", "left").where(F.col("n") > times * F.coalesce("usual", F.lit(0.0))).select("size")
+    usual = F.greatest(F.coalesce("usual", F.lit(0.0)), F.lit(0.5))
+    ratio = F.col("n") * F.log(F.col("n") / usual) - F.col("n") + usual
+    return sizes.join(near, "size", "left").where((F.col("n") > times * usual) & (ratio > evidence)).select("size")
 
 
 def _grams(told: DataFrame) -> DataFrame:
@@ -335,12 +286,12 @@ def _grams(told: DataFrame) -> DataFrame:
     return g.groupBy("gram").agg(F.sum(F.when(F.col("at_end") & F.col("done"), F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(~F.col("at_end"), F.col("n")).otherwise(0)).alias("goes"))
 
 
-def defects(cache: DataFrame) -> DataFrame:
-    """(entry_id, defect) of every entry of cache (entry_id, query, answer) whose answer has one."""
+def defects(cache: DataFrame, model: languages.Model) -> DataFrame:
+    """(entry_id, defect) of every entry of cache (entry_id, query, answer) whose answer has one; languages are told by a trained model."""
     from vellum.session import checkpointed
 
     rows = cache.select(F.col("entry_id").cast("bigint"), "query", "answer").where("entry_id is not null")
-    seen = checkpointed(rows.mapInPandas(_read, PASS))
+    seen = checkpointed(rows.mapInPandas(_read(cache.sparkSession.sparkContext.broadcast(model)), PASS))
     judged = seen.where("entry_id is not null")
     told = seen.where("sentence is not null").groupBy("sentence", "done").agg(F.sum("n").alias("n"))
     told = checkpointed(told)
@@ -358,7 +309,7 @@ def defects(cache: DataFrame) -> DataFrame:
     by_one = (n("e1") > 0) & (n("e1") >= 0.1 * n("c1"))
     whole = F.when(F.col("closed"), True).when(F.col("longer"), False).when(n("e2") + n("c2") > 0, (n("e2") > 0) & by_two).otherwise(by_one)
     a = a.select("last", whole.alias("whole"), F.coalesce("closed", F.lit(False)).alias("closed"))
-    high = spikes(judged.groupBy("size").agg(F.count("*").alias("n")).where("size > 24")).withColumn("high", F.lit(True))
+    high = spikes(judged.where("state = 'open'").groupBy("size").agg(F.count_distinct("last").alias("n"))).withColumn("high", F.lit(True))  # stock endings count once
     j = judged.select("entry_id", "defect", "state", "last", "size").join(a, "last", "left").join(high, "size", "left")
     cut = (F.col("state") == "cut") | ((F.col("state") == "open") & (~F.col("whole") | (F.coalesce("high", F.lit(False)) & ~F.col("closed"))))
     return j.select("entry_id", F.coalesce("defect", F.when(cut, "truncated")).alias("defect")).where("defect is not null").distinct()

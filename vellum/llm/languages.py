@@ -66,6 +66,11 @@ def clean(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text as they are scored."""
+    return _WORD.findall(clean(text).lower())
+
+
 def bare(word: str) -> str:
     """A word without accents."""
     return "".join([c for c in unicodedata.normalize("NFD", word.replace("đ", "d")) if not unicodedata.combining(c)])

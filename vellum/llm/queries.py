@@ -42,7 +42,7 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return answers.defects(table(spark, d, "semantic_cache"))
+    return answers.defects(table(spark, d, "semantic_cache"), languages.train(table(spark, d, "documents")))
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
