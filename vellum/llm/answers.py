@@ -158,13 +158,18 @@ def copies(query: str, answer: str) -> bool:
     return len(core_a) >= 3 and core_a == core_q[: len(core_a)] and len(core_a) >= 0.8 * len(core_q)
 
 
+#: Letters under which a text has no language.
+LETTERS = 8
+
+
 def foreign(pairs: list[tuple[str, str]], model: languages.Model) -> list[bool]:
     """Of pairs of query and answer: whether both are rather in one language than in any other, these are more likely two than one, and the query doesn't ask for that."""
     out = [False] * len(pairs)
     ask = [k for k, (q, _) in enumerate(pairs) if not ASKED.search(" ".join(fold(q).replace(":", " ").split()))]
-    said = model.scores([languages.words_of(pairs[k][i]) for i in (0, 1) for k in ask])
+    words = [languages.words_of(pairs[k][i]) for i in (0, 1) for k in ask]
+    said = model.scores(words)
     n = len(ask)
-    known = said.max(1) > np.log(0.5)
+    known = (said.max(1) > np.log(0.5)) & np.array([sum(map(len, w)) >= LETTERS for w in words], bool)
     two = known[:n] & known[n:] & (np.exp(said[:n] + said[n:]).sum(1) < 0.5)
     for j, k in enumerate(ask):
         out[k] = bool(two[j])
