@@ -62,3 +62,17 @@ def test_best_bin_first_ends_with_every_leaf():
     order = t.visit(x[:50], t.leaves)
     assert all(sorted(r.tolist()) == list(range(t.leaves)) for r in order)
     assert N.Tree(x[:1], 20, 6, 1000).visit(x[:3], 4).tolist() == [[0]] * 3
+
+
+def test_cells_give_what_whole_buckets_give(spark, monkeypatch):
+    x = data(900, 4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entry_id long, vector array<double>")
+    ix = N.Index(N.units(df, "entry_id", "vector"), leaf=100)
+    rows = lambda d: {(r.query, r.id) for r in d.collect()}
+    some = ix.classes.where("id % 7 = 0")
+    whole, few = rows(ix.search()), rows(ix.search(some))
+    monkeypatch.setattr(N, "CELL", 40)
+    monkeypatch.setattr(N, "TASK_ROWS", 50)
+    slices, parts = ix._cells(ix.visits, 1.0)
+    assert slices.max() > 1 and parts.max() > 1
+    assert rows(ix.search()) == whole and rows(ix.search(some)) == few

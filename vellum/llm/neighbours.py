@@ -4,8 +4,15 @@ A tree of spherical k-means is fitted on a bounded sample (SAMPLE rows, chosen b
 rows are put into its leaves. Each vector then visits leaves best bin first: a priority queue
 holds the open nodes of the tree by their cosine to the vector; the best is taken, an inner node
 is replaced by its children, a leaf is visited. How many leaves are visited is calibrated: the
-true neighbours of CALIBRATION sampled vectors are found by brute force against all rows, and
-the visits are widened until the neighbours found reach the wanted recall.
+true neighbours of CALIBRATION vectors, none of them in the sample where there are others, are
+found by brute force against all rows, and the visits are widened until the neighbours found
+reach the wanted recall.
+
+A subtree of a few leaves is a bucket, where vectors meet. From the sample it is known how many
+rows live in each bucket and how many visit it; where these are more than CELL, the bucket's own
+rows are dealt into slices and its visitors into parts, and each slice meets each part in a cell
+of its own. So no task holds more than two CELLs of vectors, however many rows there are, and
+the number of tasks follows the number of rows.
 
 Exact copies (equal directions after rounding) are one class: classes are searched, then opened
 into their entries, so that a hot group of copies costs no more than one vector.
@@ -27,6 +34,8 @@ from pyspark.sql import functions as F
 DIM, K, FLOOR, RECALL = 64, 5, 0.85, 0.975
 SAMPLE, CALIBRATION, LEAF, BRANCH, MAX_LEAVES, BUCKET, LEAST = 24_000, 1_200, 1_024, 12, 16_384, 8, 3
 SALTS = 16
+#: Rows of a bucket, and visitors, that are held at once; rows that one task of the search takes.
+CELL, TASK_ROWS = 200_000, 400_000
 
 
 class Tree:
@@ -199,17 +208,20 @@ class Index:
         self.classes = checkpointed(head.groupBy("unit").agg(F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("firsts")))
         n = self.classes.count()
         self.rows = n
-        part = self.classes.select("id", "unit")
-        if n > sample:
-            part = part.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-        got = part.toArrow()
+        rows = self.classes.select("id", "unit")
+        draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40))
+        edge = (1 << 40) if n <= sample else int((1 << 40) * sample / n)
+        got = rows.where(draw < edge).toArrow()  # a bounded sample
         x = _matrix(got["unit"], dim)
+        if n > sample:  # asked are others than those the tree was fitted on
+            got = rows.where((draw >= edge) & (draw < edge + max(1, int((1 << 40) * 1.2 * calibration / n)))).toArrow()
+        asked = (got["id"].to_numpy(), _matrix(got["unit"], dim))
         self.tree = Tree(x, max(1, round(leaf * len(x) / max(1, n))), BRANCH, MAX_LEAVES) if n else None
-        self.visits, self.recall = self._calibrate(got, x, recall, calibration) if n else (0, 1.0)
+        self.sample = x
+        self.visits, self.recall = self._calibrate(*asked, recall, calibration) if n else (0, 1.0)
 
-    def _calibrate(self, got: pa.Table, x: np.ndarray, recall: float, calibration: int) -> tuple[int, float]:
-        """The least number of visits that finds the wanted share of the true neighbours of the sampled vectors."""
-        ids = got["id"].to_numpy()
+    def _calibrate(self, ids: np.ndarray, x: np.ndarray, recall: float, calibration: int) -> tuple[int, float]:
+        """The least number of visits that finds the wanted share of the true neighbours of the given vectors."""
         pick = np.random.default_rng(3).permutation(len(ids))[:calibration]
         q, own, k, floor, dim = x[pick], ids[pick], self.k, self.floor, self.dim
         tree = self.spark.sparkContext.broadcast((self.tree, q, own))
@@ -239,14 +251,28 @@ class Index:
         m = max(min(LEAST, self.tree.leaves), int(need[at]))
         return m, float((need <= m).mean())
 
+    def _cells(self, visits: int, asked: float) -> tuple[np.ndarray, np.ndarray]:
+        """Slices and parts of each bucket, as the sample has it; `asked` is the share of the rows that ask."""
+        t, times = self.tree, self.rows / max(1, len(self.sample))
+        to = t.visit(self.sample, visits)
+        n = t.bucket.max() + 1
+        home = np.bincount(t.bucket[to[:, 0]], minlength=n) * times
+        r, c = np.nonzero(to >= 0)
+        pair = np.unique(np.stack([r, t.bucket[to[r, c]]]), axis=1)
+        come = np.bincount(pair[1], minlength=n) * times * asked
+        return np.maximum(1, np.ceil(home / CELL)).astype(np.int64), np.maximum(1, np.ceil(come / CELL)).astype(np.int64)
+
     def search(self, queries: DataFrame | None = None, visits: int | None = None) -> DataFrame:
         """(query, id, cosine): the best k other classes of each class, or of the given classes only."""
-        tree, dim, k, floor, m = self.spark.sparkContext.broadcast(self.tree), self.dim, self.k, self.floor, visits or self.visits
+        dim, k, floor, m = self.dim, self.k, self.floor, visits or self.visits
         everyone = queries is None
+        slices, pieces = self._cells(m, 1.0 if everyone else queries.count() / self.rows)
+        tree = self.spark.sparkContext.broadcast((self.tree, slices, pieces))
 
         def spread(visits: int, home: bool, asks: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                t = tree.value
+                t, slices, pieces = tree.value
+                width = int(slices.max() * pieces.max())
                 for b in batches:
                     x = _matrix(b.column(1), dim)
                     if not len(x):
@@ -258,16 +284,40 @@ class Index:
                     order = np.lexsort((place, bucket, r))
                     r, to, bucket, place = r[order], to[order], bucket[order], place[order]
                     at = np.flatnonzero(np.r_[True, (np.diff(r) != 0) | (np.diff(bucket) != 0)])
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(to)], pa.int32()), pa.array(to if asks else np.zeros(len(to)), pa.int32()))
+                    end = np.r_[at[1:], len(to)]
+                    ids = b.column(0).to_numpy()[r[at]]
+                    deal = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                     own = np.where(place[at] == 0, to[at], -1) if home else np.full(len(at), -1)
-                    rows = pa.array(r[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), b.column(0).take(rows), b.column(1).take(rows), pa.array(own, pa.int32()), lists if asks else pa.array([[]] * len(at), pa.list_(pa.int32()))], ["bucket", "id", "unit", "home", "visits"])
+                    s, p = slices[bucket[at]], pieces[bucket[at]]
+                    mine, part = (deal % s.astype(np.uint64)).astype(np.int64), (deal // np.uint64(1009) % p.astype(np.uint64)).astype(np.int64)
+                    # as a visitor a row goes to every slice of its part, as a resident to every part of its slice
+                    out = [(np.zeros(0, np.int64),) * 4]
+                    if asks:
+                        e = np.repeat(np.arange(len(at)), s)
+                        sl = np.arange(len(e)) - np.repeat(np.cumsum(s) - s, s)
+                        out.append((e, sl, part[e], np.ones(len(e), np.int64)))
+                    h = np.flatnonzero(own >= 0)
+                    e = np.repeat(h, p[h])
+                    pt = np.arange(len(e)) - np.repeat(np.cumsum(p[h]) - p[h], p[h])
+                    keep = pt != part[e] if asks else np.ones(len(e), bool)  # there it is a visitor already
+                    out.append((e[keep], mine[e[keep]], pt[keep], np.zeros(int(keep.sum()), np.int64)))
+                    e, sl, pt, asking = (np.concatenate(z) for z in zip(*out))
+                    size = np.where(asking > 0, end[e] - at[e], 0)
+                    flat = np.repeat(at[e], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(to[flat], pa.int32()))
+                    lives = np.where(sl == mine[e], own[e], -1)
+                    rows = pa.array(r[at][e])
+                    cell = bucket[at][e].astype(np.int64) * width + sl * int(pieces.max()) + pt
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), b.column(0).take(rows), b.column(1).take(rows), pa.array(lives, pa.int32()), lists], ["bucket", "id", "unit", "home", "visits"])
 
             return run
 
-        schema = "bucket int, id bigint, unit binary, home int, visits array<int>"
+        schema = "bucket bigint, id bigint, unit binary, home int, visits array<int>"
         rows = self.classes.select("id", "unit")
         sent = rows.mapInArrow(spread(m, True, True), schema) if everyone else rows.mapInArrow(spread(1, True, False), schema).unionByName(queries.select("id", "unit").mapInArrow(spread(m, False, True), schema))
+        most = int(self.rows * (min(m, 3) if everyone else 1) / TASK_ROWS)
+        if most > self.spark.sparkContext.defaultParallelism:
+            sent = sent.repartition(most, "bucket")
 
         def look(t: pa.Table) -> pa.Table:
             ids, x, home = t["id"].to_numpy(), _matrix(t["unit"], dim), t["home"].to_numpy()
