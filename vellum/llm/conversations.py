@@ -1,9 +1,10 @@
 """Conversations from message rows.
 
-The reply graph of a session has its turns as nodes and an edge from each turn to the one that
-follows it in time. Kahn's algorithm orders it with (created_at, id) as priority; a turn
-without a time has no place in the order, hangs in a loop and is left over. Messages carry no
-pointer to the message they answer, so explicit reply edges don't occur.
+The reply graph of a session: messages carry no pointer to the message they answer, so a turn
+answers what was said at the last time before its own. The turns of one time are tied: edges go
+from them to a node of their time, and from there to all turns of the next time. Kahn's algorithm
+takes the free turns in order of (created_at, id), which settles the ties; a turn without a time
+has nothing to answer to but itself, and is left over as a cycle.
 
 A session may hold any share of all rows. Rows are therefore range-partitioned by (session,
 time, id), which cuts a large session into segments in several tasks; each segment is ordered
@@ -70,7 +71,7 @@ def turns_of(messages: DataFrame) -> DataFrame:
     """Rows (sid, id, who, said, at, turn) of all distinct messages of a conversation; who is 1 for user, 2 for model, 0 for unknown."""
     who = speaker(F.col("role"))
     m = messages.select(session_key(F.col("session_id")).alias("sid"), "id", who.alias("w"), "content", F.col("created_at").cast("timestamp").alias("at")).where("sid is not null")
-    m = m.withColumn("_own", F.when(F.col("id").isNull(), F.xxhash64("sid", "content", "at", "w"))).dropDuplicates(["id", "_own"]).drop("_own")
+    m = m.withColumn("_own", F.when(F.col("id").isNull(), F.sha2(F.to_json(F.struct("sid", "content", "at", "w")), 256))).dropDuplicates(["id", "_own"]).drop("_own")
     turn = visible(F.col("content")) & ~F.coalesce(F.col("w") == "system", F.lit(False))
     return m.select("sid", "id", F.when(F.col("w") == "user", 1).when(F.col("w") == "model", 2).otherwise(0).cast("tinyint").alias("who"), F.when(turn, F.col("content")).alias("content"), "at", turn.alias("turn"))
 
@@ -84,14 +85,23 @@ def _cut(t: DataFrame, parts: int | None) -> DataFrame:
 def _order(at: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
     """Kahn's order of one segment: at in microseconds, the least integer for no time."""
     none = np.iinfo(np.int64).min
-    keys = list(zip(at.tolist(), ids.tolist(), strict=True))
-    timed = sorted((k, i) for i, k in enumerate(keys) if k[0] != none)
-    edges = [(a[1], b[1]) for a, b in zip(timed, timed[1:])]
-    return kahn(keys, edges + [(i, i) for i, k in enumerate(keys) if k[0] == none])
+    n, times = len(at), np.unique(at[at != none])
+    group = np.searchsorted(times, at)
+    keys = [*zip(at.tolist(), ids.tolist(), range(n)), *((t, np.inf, n + g) for g, t in enumerate(times.tolist()))]
+    edges = []
+    for i, g in enumerate(group.tolist()):
+        if at[i] == none:
+            edges.append((i, i))
+        else:
+            edges.append((i, n + g))  # all turns of a time come before its node
+            if g:
+                edges.append((n + g - 1, i))
+    order, left = kahn(keys, edges)
+    return [i for i in order if i < n], [i for i in left if i < n]
 
 
 SEGMENT = "sid string, part int, n bigint, has_turn boolean, bad boolean, model_twice boolean, unanswered boolean, first_who int, last_who int, first_said bigint, last_said bigint, first_at bigint, last_at bigint, kept bigint"
-TURN = "sid string, part int, pos bigint, who int, id bigint, content string, at timestamp, repeat boolean"
+TURN = "sid string, part int, pos bigint, who int, id bigint, content string, at timestamp, said bigint, repeat boolean, bad boolean, twice boolean, unanswered boolean"
 
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,9 +154,14 @@ def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENT.split(", ")]).astype({c: "Int64" for c in ("first_who", "last_who", "first_said", "last_said", "first_at", "last_at")})
 
 
+def said(c: Column) -> Column:
+    """What makes a message a repetition of the one before: the same content, character by character."""
+    return F.when(c.isNotNull(), F.xxhash64(c))
+
+
 def segments(messages: DataFrame, parts: int | None = None) -> DataFrame:
-    """One row per session and task; contents travel as hashes."""
-    t = turns_of(messages).withColumn("said", F.when(F.col("turn"), F.xxhash64(F.regexp_replace(trimmed(F.col("content")), r"[\s\p{Z}]+", " ")))).drop("content")
+    """One row per session and task; contents travel as hashes, of which only neighbours in a session are compared."""
+    t = turns_of(messages).withColumn("said", said(F.col("content"))).drop("content")
     return _cut(t, parts).mapInPandas(_segments, SEGMENT)
 
 
@@ -164,40 +179,48 @@ def judge(segs: DataFrame) -> DataFrame:
 
 
 def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The turns of each segment with their place in it; turns that are left over have none."""
     from pyspark import TaskContext
 
     part, gap = TaskContext.get().partitionId(), int(REPEAT_SECONDS * 1e6)
     for block in _blocks(frames):
-        rows, size, f = [], [], block
-        for _, f, order, _ in _ordered(block):
+        rows, over, size, f = [], [], [], block
+        for _, f, order, left in _ordered(block):
             rows += order
+            over += left
             size.append(len(order))
-        x, size = f.iloc[rows], np.array(size)
-        if not len(x):
-            continue
-        first = np.zeros(len(x), bool)
-        first[np.cumsum(np.r_[0, size])[:-1][size > 0]] = True
-        said = x["content"].map(lambda t: " ".join(t.split())).to_numpy(object)
-        who, us = x["who"].to_numpy(), x["us"].to_numpy()
-        again = ~first & np.r_[False, (who[1:] == who[:-1]) & (said[1:] == said[:-1]) & (us[1:] - us[:-1] <= gap)]
-        pos = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
-        yield pd.DataFrame({"sid": x["sid"].to_numpy(object), "part": part, "pos": pos, "who": who.astype("int32"), "id": x["id"].to_numpy(), "content": x["content"].to_numpy(object), "at": x["at"].to_numpy(), "repeat": again})
+        x, y, size = f.iloc[rows], f.iloc[over], np.array(size, np.int64)
+        n = len(x)
+        start, end = np.zeros(n, bool), np.zeros(n, bool)
+        start[np.cumsum(np.r_[0, size])[:-1][size > 0]] = True
+        end[np.cumsum(size)[size > 0] - 1] = True
+        who, us, hashes = x["who"].to_numpy(np.int64), x["us"].to_numpy(), x["said"].to_numpy()
+        same = lambda a: np.r_[False, a[1:] == a[:-1]] if n else np.zeros(0, bool)
+        again = ~start & same(who) & same(hashes) & (np.diff(us, prepend=us[:1]) <= gap)
+        twice = ~start & same(who) & (who == 2) & ~again
+        unanswered = np.r_[(who[:-1] == 1) & (who[1:] != 2) & ~again[1:], [False]] if n else np.zeros(0, bool)
+        pos = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+        out = pd.DataFrame({"sid": x["sid"].to_numpy(object), "part": part, "pos": pos, "who": who, "id": x["id"].to_numpy(), "content": x["content"].to_numpy(object), "at": x["at"].to_numpy(), "said": hashes, "repeat": again, "bad": who == 0, "twice": twice, "unanswered": unanswered & ~end})
+        rest = pd.DataFrame({"sid": y["sid"].to_numpy(object), "part": part, "pos": None, "who": y["who"].to_numpy(np.int64), "id": y["id"].to_numpy(), "content": y["content"].to_numpy(object), "at": y["at"].to_numpy(), "said": y["said"].to_numpy(), "repeat": False, "bad": True, "twice": False, "unanswered": False})
+        yield (pd.concat([out, rest]) if len(y) else out).astype({"pos": "Int64", "who": "int32"})
 
 
 def conversations(messages: DataFrame, parts: int | None = None) -> DataFrame:
-    """The turns (session_id, turn, speaker, content, created_at) of every whole conversation, turn from 1."""
+    """The turns (session_id, turn, speaker, content, created_at) of every whole conversation, turn from 1. Turns are ordered and written once; conversations are judged from what was written."""
     from pyspark.sql import Window as W
 
     from vellum.session import checkpointed
 
-    rows = checkpointed(_cut(turns_of(messages).where("turn"), parts).mapInPandas(_rows, TURN))
-    fine = judge(segments(messages, parts)).where("defect is null").select(F.col("session_id").alias("sid"))
-    edge = rows.groupBy("sid", "part").agg(F.min_by(F.struct("who", "content", "at"), "pos").alias("a"), F.max_by(F.struct("who", "content", "at"), "pos").alias("b"), F.count_if(~F.col("repeat")).alias("n"))
+    rows = checkpointed(_cut(turns_of(messages).where("turn").withColumn("said", said(F.col("content"))), parts).mapInPandas(_rows, TURN))
+    one = F.when(F.col("pos").isNotNull(), F.struct("who", "said", F.unix_micros("at").alias("at")))
+    g = rows.groupBy("sid", "part").agg(F.min_by(one, "pos").alias("a"), F.max_by(one, "pos").alias("b"), F.count("pos").alias("n"), F.max("bad").alias("bad"), F.max("twice").alias("model_twice"), F.max("unanswered").alias("unanswered"), F.count_if(~F.col("repeat") & F.col("pos").isNotNull()).alias("kept"))
+    ends = [F.col(f"{x}.{c}").alias(f"{y}_{c}") for c in ("who", "said", "at") for x, y in (("a", "first"), ("b", "last"))]
+    segs = g.select("sid", "part", "n", F.lit(True).alias("has_turn"), "bad", "model_twice", "unanswered", *ends, "kept")
+    fine = judge(segs).where("defect is null").select(F.col("session_id").alias("sid"))
     w = W.partitionBy("sid").orderBy("part")  # at most one row per task
-    said = lambda c: F.regexp_replace(trimmed(c), r"[\s\p{Z}]+", " ")
     before = F.lag("b").over(w)
-    again = F.coalesce((before.who == F.col("a.who")) & (said(before.content) == said(F.col("a.content"))) & (F.col("a.at").cast("double") - before.at.cast("double") <= REPEAT_SECONDS), F.lit(False))
-    edge = edge.withColumn("again", again).select("sid", "part", "again", (F.sum(F.col("n") - F.col("again").cast("int")).over(w) - F.col("n") + F.col("again").cast("int")).alias("base"))
+    again = F.coalesce((before.who == F.col("a.who")) & (before.said == F.col("a.said")) & (F.col("a.at") - before.at <= int(REPEAT_SECONDS * 1e6)), F.lit(False))
+    edge = g.withColumn("again", again).select("sid", "part", "again", (F.sum(F.col("kept") - F.col("again").cast("int")).over(w) - F.col("kept") + F.col("again").cast("int")).alias("base"))
     rows = rows.join(fine, "sid", "left_semi").join(edge, ["sid", "part"])
     rows = rows.where(~F.col("repeat") & ~(F.col("again") & (F.col("pos") == 0)))
     within = W.partitionBy("sid", "part").orderBy("pos")
