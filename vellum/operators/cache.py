@@ -198,3 +198,49 @@ def keep_newest(files: DataFrame, most: int) -> DataFrame:
     x = files.withColumn("day", day).join(d, "day")
     run = F.sum("size").over(Window.partitionBy("day").orderBy(F.desc("changed"), "name"))
     return x.withColumn("run", F.col("before") + run).where(F.col("run") <= most).select("name", "size", "changed")
+
+
+def touched(store: DataFrame, served: DataFrame) -> DataFrame:
+    """The store after it served (entry_id, at): hits grow by the number of times, last_accessed is the latest; counted before the join, so a hot entry costs one row a task."""
+    g = served.where("entry_id is not null").groupBy("entry_id").agg(F.count("*").alias("_n"), F.max("at").alias("_at"))
+    j = store.join(g, "entry_id", "left").withColumns({"hits": F.coalesce("hits", F.lit(0)) + F.coalesce("_n", F.lit(0)), "last_accessed": F.greatest("last_accessed", "_at")})
+    return j.select(*store.columns)
+
+
+def without(store: DataFrame, gone: DataFrame, key: str = "entry_id") -> DataFrame:
+    """The store without the entries named."""
+    return store.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def put_bounded(store: DataFrame, entries: DataFrame, size: int) -> DataFrame:
+    """put(), then the least used are evicted until at most `size` entries are left."""
+    from vellum.session import checkpointed
+
+    merged = checkpointed(put(store, entries))
+    return without(merged, victims(merged, size))
+
+
+def canonical_index(store: DataFrame) -> DataFrame:
+    """(canonical, entry_id): of the entries with one canonical key the last created."""
+    s = store.withColumn("canonical", T.canonical(F.col("query"))).where("canonical <> ''")
+    return s.groupBy("canonical").agg(F.max_by("entry_id", F.struct("created_at", "entry_id")).alias("entry_id"))
+
+
+def matrix(store: DataFrame) -> DataFrame:
+    """(entry_id, vector): unit vectors of the dimension that the first entry with a usable vector has; the others are left out."""
+    u = store.select("entry_id", unit(F.col("vector")).alias("vector")).where("vector is not null and size(vector) > 0")
+    return u.where(F.size("vector") == u.agg(F.min_by(F.size("vector"), "entry_id").alias("d")).scalar())
+
+
+def with_meta(meta: DataFrame, changes: DataFrame) -> DataFrame:
+    """Pairs (key, value) with changes (key, value) put over them; a null value deletes the key, of several changes of one key the largest value stays."""
+    c = changes.groupBy("key").agg(F.max("value").alias("_new"))
+    j = meta.select("key", "value").join(c.withColumn("_set", F.lit(True)), "key", "full")
+    return j.select("key", F.when(F.col("_set"), F.col("_new")).otherwise(F.col("value")).alias("value")).where("value is not null")
+
+
+def int8(v: Column) -> Column:
+    """struct of scale and values of a vector as 8-bit integers, the largest component at 127; null for null, zero and non-finite ones."""
+    big = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    ok = (big > 0) & ~F.isnan(big) & (big < float("inf"))
+    return F.when(ok, F.struct((big / 127).alias("scale"), F.transform(v, lambda x: F.round(x.cast("double") * 127 / big).cast("tinyint")).alias("values")))

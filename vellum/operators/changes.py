@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 
 
+# Signs of errors that may pass.
+TRANSIENT = ["429", "500", "502", "503", "504", "timeout", "timed out", "rate limit", "overloaded", "unavailable", "connection"]
+
+
 def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
@@ -94,3 +98,56 @@ def rewrite(df: DataFrame, path: str, partition: str, touched: DataFrame) -> Non
     write_keyed(df, path, partition)
     for r in touched.join(df.select(partition).distinct(), partition, "left_anti").toLocalIterator():
         remove(df.sparkSession, f"{path}/{partition}={r[0]}")
+
+
+def without_prefix(current: DataFrame, name: str, prefix: str) -> DataFrame:
+    """Rows whose name doesn't start with a prefix; rows without a name stay."""
+    return current.where(~F.coalesce(F.col(name).startswith(prefix), F.lit(False)))
+
+
+def prefix_status(catalog: DataFrame, prefix: str, latest: int = 5) -> DataFrame:
+    """One row: how many entries of a prefix there are, how many are ready, their chunks, and the names of the latest; a bounded list."""
+    c = catalog.where(F.col("filename").startswith(prefix))
+    new = c.orderBy(F.desc_nulls_last("created_at"), "id").limit(latest).agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.coalesce(F.col("created_at").cast("timestamp"), F.timestamp_seconds(F.lit(0))))).alias("t"), "id", "filename"))).alias("l"))
+    g = c.agg(F.count("*").alias("documents"), F.count_if(F.col("status") == "ready").alias("ready"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))
+    return g.withColumn("newest", F.coalesce(new.select(F.transform("l", lambda x: x["filename"])).scalar(), F.array().cast("array<string>")))
+
+
+def candidate_names(catalog: DataFrame) -> DataFrame:
+    """(id, names): the distinct names a catalog entry goes by, in order: file name, original name, and the original name with the ending of the file."""
+    with_ending = F.when(F.col("original_name").isNotNull(), F.concat(T.file_stem(F.col("original_name")), T.file_ending(F.col("filename"))))
+    return catalog.select("id", F.array_distinct(F.array_compact(F.array("filename", "original_name", with_ending))).alias("names"))
+
+
+def resolve_requested(names: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(name, id, tier): resolve() for names as they were sent, and for what isn't found, with URL escapes read."""
+    from vellum.session import checkpointed
+
+    asked = names.select("name").where("name is not null").distinct()
+    first = checkpointed(resolve(asked, catalog))
+    rest = asked.join(first.select("name"), "name", "left_anti").withColumn("raw", F.col("name")).withColumn("name", F.try_url_decode("raw")).where("name <> raw")
+    again = rest.join(resolve(rest.select("name"), catalog), "name").select(F.col("raw").alias("name"), "id", "tier")
+    return first.unionByName(again)
+
+
+def inside(path: Column, root: str) -> Column:
+    """Whether a path, with its . and .. resolved, lies below root."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    step = lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    clean = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.coalesce(clean.startswith(root.rstrip("/") + "/"), F.lit(False))
+
+
+def todo(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """What is left of resumable work: rows whose keys aren't done; done rows of other keys don't matter."""
+    return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def retryable(error: Column, tokens: list[str] | None = None) -> Column:
+    """Whether an error may pass: its text names a limit, a time-out or a server's trouble."""
+    return T.contains_any(F.lower(error), TRANSIENT if tokens is None else tokens)
+
+
+def run_page(runs: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest runs; the limit is kept between 1 and 100."""
+    return runs.orderBy(F.desc_nulls_last("finished_at"), "run_id").limit(min(max(limit, 1), 100))

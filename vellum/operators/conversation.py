@@ -143,3 +143,45 @@ def recency(ts: Column, now: Column) -> Column:
 def without_session(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     """Rows whose session isn't deleted."""
     return rows.join(sessions.select("session_id"), "session_id", "left_anti")
+
+
+def delete_sessions(sessions: DataFrame, m: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sessions, messages) without the sessions named (id), whatever the case of their ids; feedback is left as it is."""
+    g = gone.select(F.lower(F.trim("id")).alias("sid")).distinct()
+    s = sessions.withColumn("sid", F.lower(F.trim("id"))).join(g, "sid", "left_anti").drop("sid")
+    return s.select(*sessions.columns), m.join(g, "sid", "left_anti").select(*m.columns)
+
+
+def renamed(sessions: DataFrame, changes: DataFrame, most: int = 100) -> DataFrame:
+    """Sessions with the titles of changes (id, title, at): trimmed, at most `most` characters; blank ones change nothing, the latest of a session counts."""
+    c = changes.withColumn("title", F.substring(T.squeeze(F.col("title")), 1, most)).where("title <> ''").groupBy("id").agg(F.max_by("title", F.struct("at", "title")).alias("_title"), F.max("at").alias("_at"))
+    j = sessions.join(c, "id", "left").withColumns({"title": F.coalesce("_title", "title"), "updated_at": F.greatest("updated_at", "_at")})
+    return j.select(*sessions.columns)
+
+
+def reassigned(sessions: DataFrame, owner: str, to: str) -> DataFrame:
+    """Sessions of one owner given to another."""
+    return sessions.withColumn("user_id", F.when(F.col("user_id") == owner, to).otherwise(F.col("user_id")))
+
+
+def owned_by(sessions: DataFrame, user: Column) -> DataFrame:
+    """Sessions that a user may see; a session without an owner is nobody's."""
+    return sessions.where(F.coalesce(F.col("user_id") == user, F.lit(False)))
+
+
+def last_image(m: DataFrame) -> DataFrame:
+    """(sid, id, images): the newest message of each session whose JSON meta is of kind user_image and names images; an aggregate, so a session of any size is reduced in every task."""
+    j = F.when(F.trim("source_docs").startswith("{"), F.from_json("source_docs", "struct<kind:string,images:array<string>>"))
+    x = m.where("sid is not null").withColumn("_j", j).where((F.col("_j.kind") == "user_image") & (F.size("_j.images") > 0))
+    return x.groupBy("sid").agg(F.max_by(F.struct("id", F.col("_j.images").alias("images")), F.struct("created_at", "id")).alias("x")).select("sid", "x.*")
+
+
+def utc(ts: Column) -> Column:
+    """A time without zone, which means UTC, in ISO 8601."""
+    return F.date_format(ts.cast("timestamp_ntz").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def clean_title(c: Column, most: int = 80) -> Column:
+    """A title a model gave, without quotes and stops at its ends; null if nothing or more than `most` characters are left."""
+    t = F.regexp_replace(T.squeeze(c), r"^[\s\"'“”‘’.]+|[\s\"'“”‘’.]+$", "")
+    return F.when((t != "") & (F.length(t) <= most), t)

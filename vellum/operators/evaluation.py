@@ -119,21 +119,34 @@ def percentiles(values: DataFrame, by: list[str], value: str, ranks: dict[str, f
     """(by, n, max, each percentile): the value at index round(p * (n - 1)), half to even, of the sorted values.
 
     Equal values are counted first; the ranks run over counts, so a group of any size is reduced
-    to its distinct values, which are spread over buckets of the value range.
+    to its distinct values, which are spread over buckets.
     """
-    c = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    n = c.groupBy(*by).agg(F.sum("_c").alias("n"), F.max("_v").alias("max"), F.min("_v").alias("_lo"))
-    c = c.join(n, by) if by else c.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k")
-    width = (F.col("max") - F.col("_lo")) / 256
-    c = c.withColumn("_b", F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width)).otherwise(0))
-    keys = [*by, "_b"]
-    base = c.groupBy(*keys).agg(F.sum("_c").alias("_t")).withColumn("_base", F.sum("_t").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_t"))
-    run = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
-    c = c.withColumn("_run", run).join(base.drop("_t"), keys).withColumn("_to", F.col("_run") + F.col("_base"))
+    c, _ = _runs(values, by, value)
     at = lambda p: F.bround(F.lit(p) * (F.col("n") - 1))
     return c.groupBy(*by).agg(F.first("n").alias("n"), F.first("max").alias("max"), *(F.min(F.when(F.col("_to") > at(p), F.col("_v"))).alias(k) for k, p in ranks.items()))
 
 
+def _runs(values: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(by, _v, _c, n, max, _to): the distinct values of each group with how often they occur and how many rows are not above them.
+
+    The sum over the order runs in buckets. Buckets are cut at quantiles that a sketch of the
+    group gives, not at equal widths, so a long tail doesn't put all values into one; any cuts
+    give the same sums.
+    """
+    from vellum.session import checkpointed
+
+    c = checkpointed(values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c")))
+    k = [F.lit(1).alias("_k")] if not by else []
+    on = by or ["_k"]
+    c = c.select("*", *k)
+    n = c.groupBy(*on).agg(F.sum("_c").alias("n"), F.max("_v").alias("max"), F.approx_percentile("_v", [i / 128 for i in range(1, 128)], 512).alias("_cuts"))
+    c = c.join(n, on).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    keys = [*on, "_b"]
+    base = c.groupBy(*keys).agg(F.sum("_c").alias("_t")).withColumn("_base", F.sum("_t").over(Window.partitionBy(*on).orderBy("_b")) - F.col("_t"))
+    run = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
+    return c.withColumn("_run", run).join(base.drop("_t"), keys).withColumn("_to", F.col("_run") + F.col("_base")), n
+
+
 def before_after(rows: DataFrame, group: str, before: str, after: str) -> DataFrame:
     """(group, n, before, after): means per group and in all, the latter under a null group."""
     return rows.rollup(group).agg(F.count("*").alias("n"), F.round(F.avg(F.col(before).cast("double")), 6).alias("before"), F.round(F.avg(F.col(after).cast("double")), 6).alias("after"))
@@ -154,3 +167,55 @@ def clean_set(items: DataFrame) -> DataFrame:
 def worst(scores: DataFrame, k: int = 10) -> DataFrame:
     """The k items of the lowest faithfulness, then relevance; missing values count 1."""
     return scores.orderBy(F.coalesce("faithfulness", F.lit(1.0)), F.coalesce("answer_relevance", F.lit(1.0)), "id").limit(k)
+
+
+def with_facts(items: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items (…, key_facts), orphans): items (id, …) with the facts (id, fact) known of them, in order, none as an empty list; and the ids of facts that belong to no item."""
+    g = facts.groupBy("id").agg(F.array_sort(F.collect_set("fact")).alias("key_facts"))
+    j = items.join(g, "id", "left").withColumn("key_facts", F.coalesce("key_facts", F.array().cast("array<string>")))
+    return j, g.join(items.select("id"), "id", "left_anti").select("id")
+
+
+def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, side): keys that only a or only b has; no rows when both decide about the same."""
+    x, y = a.select(key).distinct().withColumn("_a", F.lit(1)), b.select(key).distinct().withColumn("_b", F.lit(1))
+    j = x.join(y, key, "full").where("_a is null or _b is null")
+    return j.select(key, F.when(F.col("_b").isNull(), "left").otherwise("right").alias("side"))
+
+
+def united(answerable: DataFrame, unanswerable: DataFrame) -> DataFrame:
+    """Both sets as one with expect_refusal; columns that one lacks are null there."""
+    return answerable.withColumn("expect_refusal", F.lit(False)).unionByName(unanswerable.withColumn("expect_refusal", F.lit(True)), allowMissingColumns=True)
+
+
+def score_table(items: DataFrame, answers: DataFrame, judgments: DataFrame, contexts: DataFrame) -> DataFrame:
+    """item_scores() of items (id, expect_refusal, has_facts), answers (id, config, answer), judgments (id, config, raw) and contexts (id, contexts): items without an answer of a configuration have no row, ones without a judgment have nulls."""
+    a = items.join(answers.select("id", "config", "answer"), "id").join(judgments.select("id", "config", judgment(F.col("raw")).alias("judgment")), ["id", "config"], "left").join(contexts, "id", "left")
+    return item_scores(a)
+
+
+def overlap_at(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """One row: the mean share of the k best of b that are among the k best of a, over b's queries; ranked lists (query_id, doc_id, rank)."""
+    x, y = (d.where(F.col("rank") <= k).select("query_id", "doc_id").distinct() for d in (a, b))
+    hit = x.join(y, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("hit"))
+    g = y.groupBy("query_id").agg(F.count("*").alias("size")).join(hit, "query_id", "left")
+    return g.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce("hit", F.lit(0)) / F.col("size")), 6).alias("overlap"))
+
+
+def median_and_floor(values: DataFrame, by: list[str], value: str, p: float = 0.95) -> DataFrame:
+    """(by, n, median, floor_rank): the median, between the middle two of an even number, and the value at index floor(p * (n - 1))."""
+    c, n = _runs(values, by, value)
+    at = lambda i: F.min(F.when(F.col("_to") > i, F.col("_v")))
+    low, high = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
+    return c.groupBy(*by).agg(F.first("n").alias("n"), ((low + high) / 2).alias("median"), at(F.floor(F.lit(p) * (F.col("n") - 1))).alias("floor_rank"))
+
+
+def calibration_sample(rows: DataFrame, key: str, n: int = 30, seed: int = 42) -> DataFrame:
+    """n rows for people to judge, the first by a seeded hash of their key; the same on every run."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def shown_mean(mean: Column, low: Column, high: Column, n: Column, percent: bool = False) -> Column:
+    """A mean with its interval and number as text; a dash where there is none."""
+    f = (lambda c: F.format_string("%.1f%%", c * 100)) if percent else (lambda c: F.format_string("%.2f", c))
+    return F.when(mean.isNull(), "-").otherwise(F.concat(f(mean), F.lit(" ["), f(low), F.lit("-"), f(high), F.lit("] (n="), n.cast("string"), F.lit(")")))
