@@ -52,22 +52,6 @@ def events_by_day(spark, d):
     return table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query(
-    """with p as (select coalesce(vector is not null, false)::double as a, (hits > 1)::double as b from semantic_cache where hits is not null),
-g as (select count(*) as n, avg((a = b)::double) as po, avg(a) as pa, avg(b) as pb from p), k as (select *, pa * pb + (1 - pa) * (1 - pb) as pe from g)
-select n, round(po, 6) as agreement, round(case when pe = 1 then (po = 1)::double else (po - pe) / (1 - pe) end, 6) as kappa from k"""
-)
-def kappa_agreement(spark, d):
-    p = table(spark, d, "semantic_cache").select(F.col("vector").isNotNull().alias("a"), (F.col("hits") > 1).alias("b"))
-    return evaluation.agreement(p, "a", "b")
-
-
-@query("select doc_kind, count(*) as n, round(avg((n_chars > 500)::double), 6) as before, round(avg((n_chars > 300)::double), 6) as after from documents group by rollup (doc_kind)")
-def grouped_before_after(spark, d):
-    x = table(spark, d, "documents").select("doc_kind", (F.col("n_chars") > 500).alias("before"), (F.col("n_chars") > 300).alias("after"))
-    return evaluation.before_after(x, "doc_kind", "before", "after")
-
-
 @query()
 def bootstrap_interval(spark, d):
     """Mean length of answers with a confidence interval."""
