@@ -105,10 +105,14 @@ def cache_fingerprint(spark, d):
 
 
 @query(
-    "with p as (select a.entry_id, list_cosine_similarity(a.vector::double[], b.vector::double[]) as c, a.normalized_query = b.normalized_query as same from semantic_cache a join semantic_cache b on a.entry_id = b.entry_id + 1 where len(a.vector) = 64 and len(b.vector) = 64), k as (select case when isnan(c) or c is null then 0.0 else c end as c, same from p) select t as threshold, 'next' as kind, count(*) as n, count(*) filter (c >= t) as hits, count(*) filter (c >= t and same) as guarded_hits from k, (values (0.5::double), (0.7), (0.9)) v(t) group by t"
+    f"""with v as (select entry_id, vector::double[64] as e from semantic_cache where len(vector) = 64 and list_bool_and(list_transform(vector, lambda x: isfinite(x))) and list_max(list_transform(vector, lambda x: abs(x))) > 0),
+c as (select a.entry_id, b.entry_id as other_id, array_cosine_similarity(a.e, b.e) as c from v a join v b on a.entry_id <> b.entry_id), n as (select entry_id, min(other_id) as other_id, max(c) as cosine from (select *, max(c) over (partition by entry_id) as best from c) where c >= best - 1e-6 group by 1),
+e as (select entry_id, {_NORM.format("coalesce(query, '')")} as t, list_sort(list_distinct({_CONTENT.format("coalesce(query, '')")})) as w, case when json_valid(sources) then from_json(sources, '["VARCHAR"]') else [] end as r from semantic_cache),
+p as (select case when a.t = b.t then 'same_text' when len(list_intersect(coalesce(a.r, []), coalesce(b.r, []))) > 0 then 'common_sources' else 'other_sources' end as kind, cosine, a.t = b.t or (len(a.w) > 0 and a.w = b.w) as same from n join e a using (entry_id) join e b on b.entry_id = other_id)
+select t as threshold, kind, count(*) as n, count(*) filter (cosine >= t) as hits, count(*) filter (cosine >= t and same) as guarded_hits from p, (values (0.5::double), (0.7), (0.9)) v(t) group by all"""
 )
 def threshold_sweep(spark, d):
-    """Hits of each entry with its nearest other, by kind: the same text, else common sources or other ones, where a hit is wrong. Guarded hits have equal content words, as lookups ask. The SQL has pairs of successive ids instead."""
+    """Hits of each entry with its nearest other, by kind: the same text, else common sources or other ones, where a hit is wrong. Guarded hits have equal content words, as lookups ask."""
     s = _store(spark, d)
     sources = F.coalesce(F.from_json("sources", "array<string>"), F.array().cast("array<string>"))
     words = F.array_sort(F.array_distinct(T.content_words(F.coalesce("query", F.lit("")))))

@@ -56,12 +56,13 @@ def sessions_to_name(spark, d):
     return _m(spark, d).where("sid is not null").groupBy("sid").agg(F.count_if(F.col("who") == "user").alias("n")).where("n = 1").select("sid")
 
 
-@query("select s.id, s.user_id, s.title from chat_sessions s where user_id = (select user_id from chat_sessions group by 1 order by count(*) desc, user_id limit 1) order by updated_at desc nulls last, id limit 50")
+@query("select id, user_id, title, row_number() over (partition by user_id order by updated_at desc nulls last, id) as place from chat_sessions")
 def sessions_of_owner(spark, d):
-    """The 50 latest sessions of the owner with the most; a top-k report."""
-    s = table(spark, d, "chat_sessions")
-    top = s.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").limit(1).select("user_id")
-    return s.join(top, "user_id", "left_semi").orderBy(F.desc_nulls_last("updated_at"), "id").limit(50).select("id", "user_id", "title")
+    """All sessions with their place among their owner's, the latest first; places run over months, so an owner of any size is spread."""
+    from vellum.operators.segments import positions
+
+    s = table(spark, d, "chat_sessions").withColumn("_o", -F.unix_micros(F.coalesce(F.col("updated_at").cast("timestamp"), F.timestamp_seconds(F.lit(-(1 << 33))))))
+    return positions(s.fillna("", ["user_id"]), ["user_id"], "_o", "place", 30 * 86400e6, ["id"]).select("id", F.nullif("user_id", F.lit("")).alias("user_id"), "title", "place")
 
 
 @query("select id, coalesce(title, 'New conversation') as title from chat_sessions where contains(lower(coalesce(title, 'New conversation')), 'h')")
@@ -165,13 +166,21 @@ def sessions_without_messages(spark, d):
     return table(spark, d, "chat_sessions").withColumn("sid", F.lower(F.trim("id"))).join(m, "sid", "left_anti").select("id")
 
 
-@query()
+@query(
+    _M
+    + """, t as (select id, sid, who, case when who = 'user' then case when id % 5 = 0 then 'Giải thích thêm mục 2' else 'Học phí môn ' || id || ' là bao nhiêu' end when who = 'model' and id % 4 > 0 then 'Trả lời ' || id end as said from m where sid is not null),
+w as (select *, last_value(case when who = 'user' then said end ignore nulls) over o as q, last_value(case when who = 'model' then said end ignore nulls) over o as a from t window o as (partition by sid order by id rows between unbounded preceding and 1 preceding))
+select id, case when q is null and a is null then said else 'Question: ' || said || coalesce(chr(10) || 'Earlier question: ' || q, '') || coalesce(chr(10) || 'Earlier answer: ' || a, '') end as question from w where who = 'user' and id % 5 = 0"""
+)
 def followup_questions(spark, d):
-    """User messages that refer back, rewritten with the exchange before them."""
-    m = _m(spark, d).where("sid is not null")
+    """Questions that refer back, rewritten with the exchange before them. What is said is written by rule, as the tables have no such questions; sessions, speakers and order are those of the tables."""
     from vellum.operators.segments import last_before
 
-    x = last_before(m.select("id", "sid", "who", "content"), ["sid"], "id", F.when(F.col("who") == "user", F.col("content")), "before")
+    m = _m(spark, d).where("sid is not null")
+    asked = F.when(F.col("id") % 5 == 0, "Giải thích thêm mục 2").otherwise(F.format_string("Học phí môn %d là bao nhiêu", "id"))
+    said = F.when(F.col("who") == "user", asked).when((F.col("who") == "model") & (F.col("id") % 4 > 0), F.format_string("Trả lời %d", "id"))
+    m = m.select("id", "sid", "who", said.alias("content"))
+    x = last_before(m, ["sid"], "id", F.when(F.col("who") == "user", F.col("content")), "before")
     x = last_before(x, ["sid"], "id", F.when((F.col("who") == "model") & (F.trim("content") != ""), F.col("content")), "answer")
     x = x.where("who = 'user' and content is not null")
     return x.where(C.refers_back(F.col("content"))).select("id", C.rewritten(F.col("content"), F.col("answer"), F.col("before")).alias("question"))
@@ -183,8 +192,11 @@ def owner_load(spark, d):
     return g.agg(F.sum("n").alias("sessions"), F.count("user_id").alias("owners"), F.max("n").alias("most"))
 
 
-@query("select id, case when length(trim(regexp_replace(content, '\\s+', ' ', 'g'))) > 60 then substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 60) || '...' else trim(regexp_replace(content, '\\s+', ' ', 'g')) end as title from (select distinct on (id) * from chat_messages) where lower(trim(role)) in ('user', 'human') and content is not null and not regexp_matches(content, '[^\\x00-\\x{024f}\\x{1e00}-\\x{1eff}]|\\x{00a0}')")
+_ONE = "trim(regexp_replace(content, '[\\x{09}-\\x{0d}\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'), ' ')"
+
+
+@query(f"select id, case when length({_ONE}) > 60 then substring({_ONE}, 1, 60) || '...' else {_ONE} end as title from (select distinct on (id) * from chat_messages) where lower(trim(role)) in ('user', 'human') and content is not null")
 def fallback_titles(spark, d):
-    """Titles of user messages from their first 60 characters, in any script; the SQL covers plain Latin ones only."""
+    """Titles of user messages from their first 60 characters, in any script."""
     m = _m(spark, d).where("who = 'user' and content is not null")
     return m.select("id", T.short_title(F.col("content")).alias("title"))

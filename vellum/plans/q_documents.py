@@ -59,7 +59,15 @@ def word_windows(spark, d):
     return S.word_windows(_docs(spark, d))
 
 
-@query()
+_WS = "[ \\t\\n\\x{0b}\\f\\r]"
+
+
+@query(
+    f"""with m as (select doc_id, regexp_replace(trim(text, ' '), '([.!?])({_WS}+)', '\\1' || chr(31) || '\\2', 'g') as t from documents where text is not null),
+u as (select doc_id, regexp_replace(regexp_replace(t, '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])(\\d{{1,2}}|[a-zA-Z])[.]' || chr(31), '\\1\\2.', 'g'), '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])(\\d{{1,2}}|[a-zA-Z])[.]' || chr(31), '\\1\\2.', 'g') as t from m),
+l as (select doc_id, list_filter(list_transform(regexp_split_to_array(t, chr(31) || '{_WS}+'), lambda x: trim(x, ' ')), lambda x: x <> '') as s from u)
+select doc_id, unnest(range(0, len(s)))::int as pos, unnest(s) as sentence from l"""
+)
 def document_sentences(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(S.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -69,7 +77,17 @@ def packed_chunks(spark, d):
     return S.chunks(_docs(spark, d))
 
 
-@query()
+@query(
+    _LINES
+    + f""", s as (select *, regexp_replace(line, '[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+', ' ', 'g') as t from n), w as (select *, lower(t) as low from s), v as (select *, {_LEVEL} as lv, regexp_matches(t, '\\p{{L}}') and upper(t) = t and lower(t) <> t as caps from w),
+h as (select doc_id, pos, line, case when length(t) <= 180 and (lv is not null or (caps and length(t) <= 120) or regexp_matches(low, '^(điều|khoản|mục|phần|chương)([^\\p{{L}}\\p{{N}}_]|$)')) then coalesce(lv, case when caps and length(t) <= 120 then 1 when regexp_matches(low, '^điều([^\\p{{L}}\\p{{N}}_]|$)') then 2 else 3 end) end as level from v),
+k as (select *, last_value(case when level is not null then pos end ignore nulls) over (partition by doc_id order by pos) as node from h),
+body as (select doc_id, node, min(pos) as pos, string_agg(line, chr(10) order by pos) as content from k where level is null group by all),
+heads as (select doc_id, pos, level, line from h where level is not null),
+up as (select b.doc_id, b.pos, list(a.line order by a.pos) as path from heads b join heads a on a.doc_id = b.doc_id and a.pos <= b.pos where a.pos = b.pos or not exists (select 1 from heads c where c.doc_id = a.doc_id and c.pos > a.pos and c.pos <= b.pos and c.level <= a.level) group by all)
+select heads.doc_id, heads.pos::int as pos, level::int as level, path, coalesce(content, '') as content from heads join up on up.doc_id = heads.doc_id and up.pos = heads.pos left join body on body.doc_id = heads.doc_id and body.node = heads.pos
+union all select doc_id, pos::int, 0, [], content from body where node is null"""
+)
 def document_outline(spark, d):
     return S.outline(_docs(spark, d))
 
@@ -117,10 +135,13 @@ def catalog_stats(spark, d):
     return table(spark, d, "document_catalog").agg(F.count("*").alias("documents"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"), F.count_if(F.col("status") == "ready").alias("ready"))
 
 
-@query("select id, original_name, coalesce(chunk_count, 0) as chunk_count from document_catalog order by created_at desc nulls last, id limit 100")
+@query("select id, original_name, coalesce(chunk_count, 0) as chunk_count, row_number() over (order by created_at desc nulls last, id) as place from document_catalog")
 def newest_documents(spark, d):
-    """The 100 newest entries; a top-k report."""
-    return table(spark, d, "document_catalog").orderBy(F.desc_nulls_last("created_at"), "id").limit(100).select("id", "original_name", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    """All entries with their place from the newest; places run over days, so no task has to order all rows."""
+    from vellum.operators.segments import positions
+
+    c = table(spark, d, "document_catalog").withColumn("_o", -F.unix_micros(F.coalesce(F.col("created_at").cast("timestamp"), F.timestamp_seconds(F.lit(-(1 << 33))))))
+    return positions(c.withColumn("_all", F.lit(1)), ["_all"], "_o", "place", 86400e6, ["id"]).select("id", "original_name", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "place")
 
 
 @query(

@@ -122,6 +122,18 @@ def relevance_threshold(spark, d):
     return R.threshold(_reranked(spark, d), 0.6).select("query_id", "doc_id", "score", "rank")
 
 
+def _truth(docs, items):
+    """(query_id, doc_id): which documents hold the passage of items (query_id, passage) word for word."""
+    w = R.T.words(F.col("passage"))
+    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))  # whole words wherever the passage stands
+    items = items.select("query_id", "passage").withColumn("token", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"])
+    held = R.spread(docs, "doc_id").select("doc_id", F.explode(F.array_distinct(R.T.words(F.col("text")))).alias("token"))
+    pairs = held.join(R.small(items.where("token is not null").select("query_id", "token")), "token").select("query_id", "doc_id")  # ids only, by one word
+    truth = pairs.join(docs, "doc_id").join(items, "query_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")  # then the exact test
+    short = docs.select("doc_id", "text").join(items.where("token is null"), F.contains("text", F.col("passage"))).select("query_id", "doc_id")  # passages without an inner word
+    return truth.unionByName(short)
+
+
 @query(
     _LISTS
     + """, top as (select method, query_id, doc_id, rank from lists where rank <= 10),
@@ -138,14 +150,7 @@ def retrieval_metrics(spark, d):
     docs = _docs(spark, d)
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "passage")
     top = _lists(spark, d).where("rank <= 10").select("method", "query_id", "doc_id", "rank")
-    w = R.T.words(F.col("passage"))
-    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))  # whole words wherever the passage stands
-    items = items.withColumn("token", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"])
-    held = R.spread(docs, "doc_id").select("doc_id", F.explode(F.array_distinct(R.T.words(F.col("text")))).alias("token"))
-    pairs = held.join(R.small(items.where("token is not null").select("query_id", "token")), "token").select("query_id", "doc_id")  # ids only, by one word
-    truth = pairs.join(docs, "doc_id").join(items, "query_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")  # then the exact test
-    short = docs.select("doc_id", "text").join(items.where("token is null"), F.contains("text", F.col("passage"))).select("query_id", "doc_id")  # passages without an inner word
-    truth = truth.unionByName(short)
+    truth = _truth(docs, items)
     return R.metrics(top, truth, by=["method"])
 
 
@@ -241,3 +246,49 @@ def hybrid_context(spark, d):
     """The whole way from questions to contexts: chunks and questions embedded, ranked, rolled up and put together."""
     c = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "doc_id", "doc_name", "content", "is_table")
     return R.answer_context(c, _questions(spark, d))
+
+
+_TRUTH = """, t as (select e.item_id as query_id, doc_id from documents join eval_items e on contains(text, e.passage))
+"""
+
+
+@query(_LISTS + _TRUTH + """, hit as (select item_id, lang, bool_or(coalesce(method = 'overlap' and rank <= 4, false)) as before, bool_or(coalesce(method = 'bm25' and rank <= 4, false)) as after from eval_items join (select distinct query_id from t) k on k.query_id = item_id left join (select method, query_id, rank from lists join t using (query_id, doc_id)) h on h.query_id = item_id group by all)
+select lang, count(*) as n, round(avg(before::int), 6) as before, round(avg(after::int), 6) as after from hit group by rollup (lang)""")
+def grouped_before_after(spark, d):
+    """Questions answered by the best four documents, by language: ranked by shared words before, by BM25 after."""
+    from vellum.operators import evaluation
+
+    items = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "lang", "passage")
+    docs = _docs(spark, d)
+    truth = _truth(docs, items)
+    hit = _lists(spark, d).where("rank <= 4").join(truth, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.bool_or(F.col("method") == "overlap").alias("before"), F.bool_or(F.col("method") == "bm25").alias("after"))
+    x = items.select("query_id", "lang").join(truth.select("query_id").distinct(), "query_id").join(hit, "query_id", "left").fillna(False, ["before", "after"])
+    return evaluation.before_after(x, "lang", "before", "after")
+
+
+@query(_LISTS + """, a as (select query_id, doc_id from lists where method = 'bm25' and rank <= 4), b as (select query_id, doc_id from lists where method = 'overlap' and rank <= 4), g as (select b.query_id, count(*) as size, count(a.doc_id) as hit from b left join a using (query_id, doc_id) group by 1)
+select count(*) as queries, round(avg(hit / size), 6) as overlap from g""")
+def overlap_of_lists(spark, d):
+    """How much of the four best by shared words BM25 has among its four best."""
+    from vellum.operators import evaluation
+
+    l = _lists(spark, d)  # noqa: E741
+    return evaluation.overlap_at(l.where("method = 'bm25'"), l.where("method = 'overlap'"), 4)
+
+
+@query(
+    """with c as (select id as chunk_id, doc_id, case when length(content) % 5 < 4 then 'T > ' || length(content) % 90 || '. r' || chr(10) || content else content end as content from chunks), k as (select *, length(content) as size, coalesce(regexp_matches(split_part(content, chr(10), 1), ' > [0-9]+[.] .*$'), false) as record from c),
+h as (select doc_id as query_id, chunk_id, row_number() over (partition by doc_id order by chunk_id) as rank from k where doc_id is not null and content is not null qualify rank <= 6),
+per as (select query_id, k.doc_id, count(*) as n, min(rank) as first from h join k using (chunk_id) where record group by all having count(*) >= 3), dd as (select query_id, arg_max(doc_id, n * 1000 - first) as doc_id from per group by 1),
+s as (select query_id, k.chunk_id, row_number() over (partition by query_id order by size desc nulls last, k.chunk_id) as n from dd join k using (doc_id) where not record and not exists (select 1 from h where h.query_id = dd.query_id and h.chunk_id = k.chunk_id) and content is not null qualify n <= 2),
+b as (select query_id, chunk_id, case when rank = 1 then 0.0 else 2.0 + rank end as place from h union all select query_id, chunk_id, 1.0 + n / 10.0 from s)
+select query_id, chunk_id, row_number() over (partition by query_id order by place, chunk_id) as rank from b qualify rank <= 4"""
+)
+def document_rollup(spark, d):
+    """The operator's own rule, three records of six hits and four places; four fifths of the chunks are made records by rule."""
+    from pyspark.sql import Window
+
+    n = F.length("content")
+    c = table(spark, d, "chunks").where("content is not null").select(F.col("id").alias("chunk_id"), "doc_id", F.when(n % 5 < 4, F.concat(F.lit("T > "), (n % 90).cast("string"), F.lit(". r\n"), "content")).otherwise(F.col("content")).alias("content"))
+    h = c.where("doc_id is not null").select(F.col("doc_id").alias("query_id"), "chunk_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id")).alias("rank")).where("rank <= 6")
+    return R.rollup(h, c)
