@@ -115,3 +115,82 @@ def test_stream_windows_and_frames(spark, tmp_path):
 def test_watcher_sees_edits_of_equal_size(spark):
     w, a = limits.Watcher(), spark.createDataFrame([(1, "a")], "id int, t string")
     assert [w.changed(a), w.changed(a), w.changed(a.withColumn("t", F.lit("b")))] == [False, False, True]
+
+
+def _zip(path, parts):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+
+
+def test_word_and_excel_files(spark, tmp_path):
+    from vellum.operators import structure
+    from vellum.sources import office
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t, s="": f'<w:p><w:pPr>{s}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    cell = lambda t, s="": f"<w:tc><w:tcPr>{s}</w:tcPr>{p(t)}</w:tc>"
+    table = f"<w:tbl><w:tr>{cell('Course')}{cell('Fee')}</w:tr><w:tr>{cell('A|B')}{cell('5', '<w:vMerge w:val=\"restart\"/>')}</w:tr><w:tr>{cell('C')}{cell('x', '<w:vMerge/>')}</w:tr></w:tbl>"
+    page = '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
+    _zip(tmp_path / "a.docx", {"word/document.xml": f"<w:document {w}><w:body>{p('Lead in.')}{p('Fees', '<w:pStyle w:val=\"Heading1\"/>')}{p('They are due.')}{page}{table}{p('1.1 More')}{p('End.')}</w:body></w:document>"})
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    rows = '<row r="1"><c r="A1" t="inlineStr"><is><t>Fees of 2024</t></is></c></row><row r="3"><c r="A3" t="s" s="1"><v>0</v></c><c r="B3" t="s" s="1"><v>1</v></c></row>' + "".join(f'<row r="{i}"><c r="A{i}" t="inlineStr"><is><t>c,{i}</t></is></c><c r="B{i}"><v>{i}.0</v></c></row>' for i in range(4, 12))
+    _zip(tmp_path / "b.xlsx", {"xl/workbook.xml": f'<workbook {s}><sheets><sheet name="S1" sheetId="1" r:id="rId1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>', "xl/sharedStrings.xml": f"<sst {s}><si><t>Course</t></si><si><r><t>Fee</t></r></si></sst>", "xl/styles.xml": f'<styleSheet {s}><fonts><font/><font><b/></font></fonts><cellXfs><xf fontId="0"/><xf fontId="1"/></cellXfs></styleSheet>', "xl/worksheets/sheet1.xml": f"<worksheet {s}><sheetData>{rows}</sheetData></worksheet>"})
+    (tmp_path / "c.docx").write_bytes(b"no zip")
+    found = files.scan(spark, str(tmp_path))
+    e = {}
+    for r in files.elements(found).orderBy("doc", "pos").collect():
+        e.setdefault(r.doc, []).append((r.text, r.category, r.page))
+    assert e["a.docx"] == [("Lead in.", "Text", 1), ("Fees", "Title", 1), ("They are due.", "Text", 1), ("| Course | Fee |\n|---|---|\n| A/B | 5 |\n| C |  |", "Table", 2), ("1.1 More", "Text", 2), ("End.", "Text", 2)]
+    assert e["b.xlsx"][0][0].startswith("### S1\n\n| Fees of 2024 |  |") and e["c.docx"][0][1] == "Broken"
+    n = [(r.level, r.path, r.pages, r.has_table) for r in structure.element_outline(files.elements(found)).where("doc = 'a.docx'").orderBy("pos").collect()]
+    assert n == [(0, [], [1], False), (2, ["Fees"], [1, 2], True), (2, ["1.1 More"], [2], False)]
+    c = [(r.content, r.pages, r.has_table) for r in structure.element_chunks(files.elements(found)).where("doc = 'a.docx'").orderBy("chunk").collect()]
+    assert c[0] == ("Lead in.", [1], False) and c[1][1:] == ([1, 2], True) and "| A/B | 5 |" in c[1][0] and c[2][1:] == ([2], False)
+    got = [r.content for r in office.sheet_chunks(found, 14).orderBy("chunk").collect()]
+    assert got[0] == "b - S1:\nFees of 2024," and got[1].startswith("(") and all("Course,Fee" in x for x in got[1:]) and sum(int(x[1 : x.index(" of")]) for x in got[1:]) == 8
+    assert office.csv_files((tmp_path / "b.xlsx").read_bytes())[0][1].startswith(b"\xef\xbb\xbfFees of 2024")
+    assert office.is_noise([["Bộ Giáo dục", "Cộng hoà xã hội"], ["x", "y"], ["1", "2"], ["3", "4"]]) and office.is_noise([["a"], ["b"]]) and not office.is_noise([["a", "b"], ["c", "d"]])
+
+
+def test_one_job_of_a_name_and_models_in_turn(spark, tmp_path):
+    import time
+
+    from vellum.streaming import jobs
+
+    seen = []
+    q, new = jobs.every(spark, 1, seen.append, str(tmp_path / "ticks"), "ticks")
+    again, second = jobs.every(spark, 1, seen.append, str(tmp_path / "other"), "ticks")
+    try:
+        assert new and not second and again.id == q.id
+        end = time.time() + 60
+        while len(seen) < 2 and time.time() < end:
+            time.sleep(0.2)
+        assert seen[:2] == [0, 1]
+    finally:
+        q.stop()
+    waits, calls = [], []
+
+    def busy(x):
+        calls.append(x)
+        raise RuntimeError("503 overloaded")
+
+    def broken(x):
+        raise ValueError("no such model")
+
+    assert jobs.failover([busy, broken, lambda x: x + 1], 3, 10, 15, waits.append)(1) == 2
+    assert waits == [10, 15] and calls == [1, 1, 1]
+
+
+def test_token_counts(spark):
+    import pytest
+
+    from vellum.operators import models
+
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    texts = ["Học phí là 5.000 đồng", "", None, "don't  stop\n\n1"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    assert [r.n for r in df.select("i", models.counted(F.col("t")).alias("n")).orderBy("i").collect()] == [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]

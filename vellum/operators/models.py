@@ -68,3 +68,36 @@ def sparse_search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def judge_prompt(question, answer, contexts):
     """What a judge is asked, as a column."""
     return F.format_string("Question:\n%s\n\nAnswer:\n%s\n\nSources:\n%s\n\nList the claims of the answer and whether the sources support each. Reply in JSON.", question, answer, F.array_join(contexts, "\n---\n"))
+
+
+#: Fixed value: the pre-token pattern of the byte-level vocabularies.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_ENCODERS: dict[str, object] = {}
+
+
+def counted(c, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"):
+    """The number of tokens of a text by a vocabulary file, 0 for null; distinct texts of a batch are counted once, without the tokenizer's library by 1.3 a word."""
+
+    @F.pandas_udf("int")
+    def run(s: pd.Series) -> pd.Series:
+        enc = _encoder(vocabulary)
+        codes, values = pd.factorize(s)
+        n = [len(enc.encode_ordinary(x)) if enc else max(1, int(len(x.split()) * 1.3)) for x in values]
+        return pd.Series(np.array([*n, 0])[codes], index=s.index)
+
+    return run(c)
+
+
+def _encoder(path: str):
+    """The encoder of a vocabulary file, once a worker; None where its library is missing."""
+    if path not in _ENCODERS:
+        try:
+            import base64
+
+            import tiktoken
+        except ImportError:
+            return None
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _ENCODERS[path] = tiktoken.Encoding("counted", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[path]

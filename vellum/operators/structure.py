@@ -6,8 +6,10 @@ its task; nothing here shuffles unless a result is aggregated.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -253,3 +255,100 @@ def pairs_table(c: Column, left: str = "Item", right: str = "Content") -> Column
     ok = (F.size(ls) >= 2) & F.forall(kv, lambda p: p.isNotNull() & (F.length(p["key"]) <= 60) & (F.length(p["value"]) <= 120))
     rows = F.concat(F.array(F.array(F.lit(left), F.lit(right))), F.transform(kv, lambda p: F.array(p["key"], p["value"])))
     return F.when(ok, to_markdown(rows))
+
+
+NODE = "pos int, level int, title_id string, path array<string>, content string, pages array<int>, has_table boolean"
+
+
+def page_number(c: Column) -> Column:
+    """A page number of at least 1; 1 for what is none."""
+    return F.greatest(F.coalesce(c.try_cast("int") if hasattr(c, "try_cast") else c.cast("int"), F.lit(1)), F.lit(1))
+
+
+def element_outline(elements: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, pos, level, title_id, path, content, pages, has_table): the heading tree of elements (key, pos, text, category, page), a row per node.
+
+    Titles and lines that look like headings open nodes; other elements are added to the open one
+    with their pages, tables with their lines kept. What comes before the first heading belongs
+    to a node of level 0 with an empty path. Elements without text and repeated rows are left out.
+    """
+    e = elements.withColumn("_table", F.col("category") == "Table").withColumn("text", F.when(F.col("_table"), T.clean_lines(F.col("text"))).otherwise(T.squeeze(F.col("text")))).where("text <> ''")
+    low = F.lower("text")
+    is_, level = _heading(F.col("text"), low, _level(F.col("text"), low), F.col("category"))
+    one = F.struct("pos", F.when(is_ & ~F.col("_table"), level).alias("level"), F.col("text").alias("line"), page_number(F.col("page")).alias("page"), F.col("_table").alias("table"))
+    g = e.groupBy(key).agg(F.array_sort(F.array_distinct(F.collect_list(one))).alias("ls"))  # one document
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k, ls in zip(f[key], f["ls"], strict=True):
+                nodes: list[list] = []
+                open_: list[tuple[int, str]] = []
+                for x in ls:
+                    level = x["level"]
+                    if level is not None and level == level:
+                        open_ = [h for h in open_ if h[0] < level] + [(int(level), x["line"])]
+                        nodes.append([x["pos"], int(level), [t for _, t in open_], [], [x["page"]], False])
+                        continue
+                    if not nodes:
+                        nodes.append([x["pos"], 0, [], [], [], False])
+                    nodes[-1][3].append(x["line"])
+                    if x["page"] not in nodes[-1][4]:
+                        nodes[-1][4].append(x["page"])
+                    nodes[-1][5] |= bool(x["table"])
+                for pos, level, path, body, pages, table in nodes:
+                    title = f"{path[-1] if path else k}|{pages[0] if pages else -1}"
+                    out.append((k, pos, level, hashlib.md5(title.encode()).hexdigest()[:16], path, "\n\n".join(body), pages, table))
+            yield pd.DataFrame(out, columns=[key, *(c.split()[0] for c in NODE.split(", "))])
+
+    return g.mapInPandas(run, f"{key} {elements.schema[key].dataType.simpleString()}, {NODE}")
+
+
+def element_chunks(elements: DataFrame, key: str = "doc", most: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """(key, chunk, content, pages, has_table): the tree of elements packed into chunks with the pages they come from; tables are chunks of their own and are flagged."""
+    kind = elements.schema[key].dataType.simpleString()
+    g = element_outline(elements, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "path", "content", "pages", "has_table"))).alias("n"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k, n in zip(f[key], f["n"], strict=True):
+                got = pack_pages([(list(x["path"]), x["content"], list(x["pages"]), bool(x["has_table"])) for x in n], most, overlap)
+                out += [(k, i, *c) for i, c in enumerate(got)]
+            yield pd.DataFrame(out, columns=[key, "chunk", "content", "pages", "has_table"])
+
+    return g.mapInPandas(run, f"{key} {kind}, chunk int, content string, pages array<int>, has_table boolean")
+
+
+def pack_pages(nodes: list[tuple[list[str], str, list[int], bool]], most: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> list[tuple[str, list[int], bool]]:
+    """pack() of nodes (path, content, pages, has_table) with the sorted pages of each chunk. Runs of nodes without tables are packed together; a node with a table is packed alone."""
+    out: list[tuple[str, list[int], bool]] = []
+    for table, run in groupby(enumerate(nodes), key=lambda x: (x[1][3], x[0] if x[1][3] else -1)):
+        part = [n for _, n in run]
+        at = 0
+        for text in pack([(p, c) for p, c, _, _ in part], most, overlap):
+            held = set()
+            for k in range(at, len(part)):  # the nodes whose title or first words the chunk holds
+                path, content, pages, _ = part[k]
+                words = content.split()[:8]
+                if (path and path[-1] in text) or (words and " ".join(words) in " ".join(text.split())) or k == at:
+                    held |= set(pages)
+                    at = k
+                else:
+                    break
+            out.append((text, sorted(held), bool(table[0])))
+    return out
+
+
+def by_title(items: DataFrame) -> DataFrame:
+    """(title_id, content, pages) of items (title_id, pos, text, page): texts in order, a page once; items without text are left out."""
+    i = items.where("text is not null and trim(text) <> '' and title_id is not null").withColumn("page", F.when(F.col("page") > 0, F.col("page")))
+    g = i.groupBy("title_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("l"), F.array_sort(F.collect_set("page")).alias("pages"))  # one node
+    return g.select("title_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("content"), "pages")
+
+
+def filled(nodes: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Nodes (title_id, …) with the content and pages of by_title(); what has none keeps its own."""
+    g = grouped.select("title_id", F.col("content").alias("_c"), F.col("pages").alias("_p"))
+    j = nodes.join(g, "title_id", "left").withColumns({"content": F.coalesce("_c", "content"), "pages": F.coalesce("_p", "pages")})
+    return j.select(*nodes.columns)

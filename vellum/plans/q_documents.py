@@ -214,3 +214,52 @@ def answer_tables(spark, d):
     """Answers whose lines are all pairs, as tables."""
     a = table(spark, d, "semantic_cache").select("entry_id", S.pairs_table(F.col("answer")).alias("answer"))
     return a.where("answer is not null")
+
+
+@query(
+    _LINES
+    + f""", s as (select *, regexp_replace(line, '[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+', ' ', 'g') as t, pos // 10 + 1 as page from n), w as (select *, lower(t) as low from s), v as (select *, {_LEVEL} as lv, regexp_matches(t, '\\p{{L}}') and upper(t) = t and lower(t) <> t as caps from w),
+h as (select doc_id, pos, t as line, page, case when length(t) <= 180 and (lv is not null or (caps and length(t) <= 120) or regexp_matches(low, '^(điều|khoản|mục|phần|chương)([^\\p{{L}}\\p{{N}}_]|$)')) then coalesce(lv, case when caps and length(t) <= 120 then 1 when regexp_matches(low, '^điều([^\\p{{L}}\\p{{N}}_]|$)') then 2 else 3 end) end as level from v),
+k as (select *, last_value(case when level is not null then pos end ignore nulls) over (partition by doc_id order by pos) as node from h)
+select doc_id as doc, min(pos)::int as pos, coalesce(max(level), 0)::int as level, coalesce(string_agg(line, chr(10) || chr(10) order by pos) filter (level is null), '') as content, list_sort(list_distinct(list(page::int))) as pages from k group by doc_id, node"""
+)
+def element_tree(spark, d):
+    """Documents as elements, ten lines a page, put into their heading trees with pages."""
+    e = S.lines(_docs(spark, d)).select(F.col("doc_id").alias("doc"), "pos", F.col("line").alias("text"), F.lit("Text").alias("category"), (F.floor(F.col("pos") / 10) + 1).alias("page"))
+    return S.element_outline(e).select("doc", "pos", "level", "content", "pages")
+
+
+@query()
+def element_chunks(spark, d):
+    """The trees of element_tree packed into chunks with their pages."""
+    e = S.lines(_docs(spark, d)).select(F.col("doc_id").alias("doc"), "pos", F.col("line").alias("text"), F.lit("Text").alias("category"), (F.floor(F.col("pos") / 10) + 1).alias("page"))
+    return S.element_chunks(e)
+
+
+@query("select doc_id as title_id, string_agg(content, chr(10) order by id) as content, coalesce(list_sort(list_distinct(list(pages[1]) filter (pages[1] > 0))), []) as pages from chunks where doc_id is not null and trim(content, ' ') <> '' group by 1")
+def titled_chunks(spark, d):
+    """Chunks put together by their document, with the first page of each."""
+    c = table(spark, d, "chunks").select(F.col("doc_id").alias("title_id"), F.col("id").alias("pos"), F.col("content").alias("text"), F.try_element_at("pages", F.lit(1)).alias("page"))
+    return S.by_title(c)
+
+
+@query("select c.id as title_id, coalesce(k.content, c.original_name) as content from document_catalog c left join (select doc_id, string_agg(content, chr(10) order by id) as content from chunks where doc_id is not null and trim(content, ' ') <> '' group by 1) k on k.doc_id = c.id")
+def filled_catalog(spark, d):
+    """Catalog entries with the text of their chunks; those without chunks keep their name."""
+    n = table(spark, d, "document_catalog").select(F.col("id").alias("title_id"), F.col("original_name").alias("content"), F.array().cast("array<int>").alias("pages"))
+    return S.filled(n, titled_chunks(spark, d)).select("title_id", "content")
+
+
+@query()
+def question_tokens(spark, d):
+    """Tokens of the store's questions by a public vocabulary."""
+    from vellum.operators import models
+
+    return table(spark, d, "semantic_cache").select("entry_id", models.counted(F.col("query")).alias("tokens"))
+
+
+@query("select id, greatest(1, coalesce(try_cast(case when file_size % 3 = 0 then 'x' else (file_size % 7 - 2)::varchar end as int), 1)) as page from document_catalog")
+def safe_pages(spark, d):
+    """Page numbers as files give them, some of them none."""
+    n = F.when(F.col("file_size") % 3 == 0, "x").otherwise((F.col("file_size") % 7 - 2).cast("string"))
+    return table(spark, d, "document_catalog").select("id", S.page_number(n).alias("page"))

@@ -1,7 +1,8 @@
 """Files as tables: scans with hashes, text as elements, CSV tables, JSON lines; formats without a reader here are named, not dropped.
 
 Readers are chosen by ending from READERS; register() adds one. Text formats are read by Spark;
-formats in OFFICE need a library that turns bytes into elements, given to register().
+Word and Excel files in their zipped form are read by `office`; formats in OFFICE need a
+library that turns bytes into elements, given to register().
 """
 
 from __future__ import annotations
@@ -17,11 +18,18 @@ from vellum.functions import text as T
 
 ENDINGS = [".pdf", ".docx", ".doc", ".xlsx", ".xls", ".csv", ".txt", ".md", ".html", ".htm"]
 TEXT = [".txt", ".md"]
-OFFICE = [".pdf", ".docx", ".doc", ".xlsx", ".xls"]
+OFFICE = [".pdf", ".doc", ".xls"]
 #: Readers for bytes: ending -> function(bytes) giving (text, category, page) in order.
 READERS: dict[str, Callable[[bytes], Iterator[tuple[str, str, int]]]] = {}
 
 
+def _own() -> dict[str, Callable]:
+    """Readers that come with the engine."""
+    from vellum.sources import office
+
+    return {".docx": office.safe(office.docx), ".xlsx": office.safe(office.xlsx)}
+
+
 def register(ending: str, reader: Callable[[bytes], Iterator[tuple[str, str, int]]]) -> None:
     READERS[ending.lower()] = reader
 
@@ -48,7 +56,7 @@ def decoded(c):
 
 def elements(files: DataFrame) -> DataFrame:
     """(doc, pos, text, category, page) of scanned files: text line by line, HTML as Markdown lines, other formats by their registered reader; a file without a reader gives one element of category Unsupported."""
-    readers = dict(READERS)
+    readers = _own() | READERS
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from vellum.operators import html
