@@ -1,10 +1,11 @@
-"""Column functions on text. All stay in the JVM; null gives null unless said otherwise."""
+"""Column functions on text; null gives null unless said otherwise. All stay in the JVM but nfc(), which leaves it for texts that may not be composed."""
 
 from __future__ import annotations
 
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -258,3 +259,46 @@ def audio_format(c: Column) -> Column:
     k = F.when(h.startswith("1A45DFA3"), "webm").when(h.startswith("4F676753"), "ogg").when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57415645"), "wav")
     k = k.when(h.startswith("494433") | h.rlike("^FF(?:FB|F3|F2)"), "mp3").when(F.substring(h, 9, 8) == "66747970", "m4a").when(h.startswith("664C6143"), "flac")
     return F.when(F.length(c) >= 12, k)
+
+
+def nfc(c: Column) -> Column:
+    """Text in composed form; only texts with combining characters or singletons leave the JVM, once per distinct value of a batch."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    odd = c.rlike(r"[\p{M}\x{0340}-\x{0387}\x{1100}-\x{11FF}\x{2000}-\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{0958}-\x{0A5E}\x{0B5C}-\x{0B5D}\x{0F43}-\x{0FB9}\x{1F71}-\x{1FFD}\x{2ADC}\x{F900}-\x{FB4E}\x{11099}-\x{2FA1D}]")
+    return F.when(~odd, c).otherwise(run(F.when(odd, c)))
+
+
+def question_norm(c: Column) -> Column:
+    """Questions as a cache compares them: composed, lower case, single blanks."""
+    return F.lower(squeeze(nfc(c)))
+
+
+def escaped_cell(c: Column) -> Column:
+    """A text as a cell of a Markdown table."""
+    return F.replace(squeeze(c), F.lit("|"), F.lit("\\|"))
+
+
+def tagless(c: Column) -> Column:
+    """Breaks as blanks and angle brackets of tags as square ones."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", " "), r"<([^<>]+)>", "[$1]")
+
+
+def said_text(parts: Column, text: Column) -> Column:
+    """The text of a streamed piece: its parts together, else its own text; '' without either."""
+    whole = F.array_join(F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda x: x.isNotNull()), "")
+    return F.coalesce(F.nullif(whole, F.lit("")), text, F.lit(""))
+
+
+def unique_lines(c: Column) -> Column:
+    """A text without lines that stood before, whatever their case and blanks; blank lines stay."""
+    ls = F.split(c, "\n")
+    key = lambda x: F.lower(squeeze(x))
+    step = lambda a, x: F.when((key(x) != "") & F.array_contains(a["seen"], key(x)), a).otherwise(F.struct(F.concat(a["seen"], F.array(key(x))).alias("seen"), F.concat(a["kept"], F.array(x)).alias("kept")))
+    none = F.array().cast("array<string>")
+    return F.aggregate(ls, F.struct(none.alias("seen"), none.alias("kept")), step, lambda a: F.array_join(a["kept"], "\n"))

@@ -16,7 +16,8 @@ LEAST_ANSWER, PARTS = 10, 8
 
 
 def normalized(c: Column) -> Column:
-    return F.lower(T.squeeze(c))
+    """Questions as they are compared: composed, lower case, single blanks."""
+    return T.question_norm(c)
 
 
 def expired(created: Column, now: Column | float, ttl: float | None = TTL) -> Column:
@@ -244,3 +245,8 @@ def int8(v: Column) -> Column:
     big = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
     ok = (big > 0) & ~F.isnan(big) & (big < float("inf"))
     return F.when(ok, F.struct((big / 127).alias("scale"), F.transform(v, lambda x: F.round(x.cast("double") * 127 / big).cast("tinyint")).alias("values")))
+
+
+def current(store: DataFrame, before: str | None, now: str | None) -> DataFrame:
+    """The store while what it was made from has the fingerprint it had; nothing of it once that changed. Without an earlier fingerprint it stays."""
+    return store if before is None or before == now else store.limit(0)

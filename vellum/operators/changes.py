@@ -151,3 +151,21 @@ def retryable(error: Column, tokens: list[str] | None = None) -> Column:
 def run_page(runs: DataFrame, limit: int = 20) -> DataFrame:
     """The newest runs; the limit is kept between 1 and 100."""
     return runs.orderBy(F.desc_nulls_last("finished_at"), "run_id").limit(min(max(limit, 1), 100))
+
+
+def stored_article(catalog: DataFrame, wanted: DataFrame, prefix: str = "ART") -> DataFrame:
+    """(post_id, id): the newest catalog entry of an article (post_id, stem), by its stem or by the id in its file name; two equi-joins instead of a pattern."""
+    c = catalog.select("id", T.file_stem(F.col("filename")).alias("stem"), F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0)).alias("t"))
+    own = F.regexp_extract("stem", rf"^{prefix}_(\d+)_", 1)
+    by_stem = wanted.select("post_id", "stem").join(c, "stem").select("post_id", "id", "t")
+    by_id = wanted.select("post_id", F.col("post_id").cast("string").alias("own")).join(c.withColumn("own", own).where("own <> ''"), "own").select("post_id", "id", "t")
+    return by_stem.unionByName(by_id).groupBy("post_id").agg(F.max_by("id", F.struct("t", "id")).alias("id"))
+
+
+def located(paths: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """(path, found): where a path lies among files (name): as it is, or below root, or by its last part below root."""
+    p = paths.select("path").where("path is not null").distinct()
+    f = files.select("name").distinct()
+    tries = [F.col("path"), F.concat(F.lit(root.rstrip("/") + "/"), "path"), F.concat(F.lit(root.rstrip("/") + "/"), T.base_name(F.col("path")))]
+    t = p.select("path", F.posexplode(F.array(*tries)).alias("n", "name")).join(f, "name")
+    return t.groupBy("path").agg(F.min_by("name", "n").alias("found"))

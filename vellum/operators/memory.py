@@ -68,3 +68,17 @@ def followups(answers: DataFrame, topics: DataFrame, limit: int = 2) -> DataFram
 
     q = q.groupBy("id", "next").agg(F.min(F.struct((-F.col("score")).alias("s"), "topic", "pos")).alias("k"))
     return q.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("k"))).where(F.col("place") <= limit).select("id", F.col("next").alias("question"), "place")
+
+
+def of_user(memories: DataFrame, nobody: str = "default_user") -> DataFrame:
+    """Memories with their place from the newest of their user; the user who stands for nobody has none."""
+    from pyspark.sql import Window
+
+    m = memories.where(F.col("user_id") != nobody)
+    return m.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last("updated_at"), "key")))  # a row per kind
+
+
+def hits(text: Column, needles: list[str]) -> Column:
+    """How many of the needles a text holds, whatever the case."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.size(F.filter(F.array(*map(F.lit, (n.lower() for n in needles))), lambda n: F.contains(low, n)))

@@ -76,3 +76,49 @@ def rate_limited(hits: DataFrame, limit: int, seconds: int, key: str = "user_id"
 def healthy(checks: DataFrame) -> DataFrame:
     """One row: whether all components are well, and which aren't."""
     return checks.agg(F.bool_and("ok").alias("ok"), F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("component")))).alias("failing"))
+
+
+class Stages:
+    """Times of the stages of one request, in milliseconds: a stage marked several times adds up, offsets from the start are kept once."""
+
+    def __init__(self, request: str, clock=None):
+        import time
+
+        self.request, self.clock = request, clock or time.perf_counter
+        self.began, self.times, self.offsets = self.clock(), {}, {}
+
+    def mark(self, stage: str, ms: float) -> None:
+        self.times[stage] = self.times.get(stage, 0.0) + ms
+
+    def since_start(self, stage: str) -> None:
+        self.offsets.setdefault(stage, (self.clock() - self.began) * 1000)
+
+    def stage(self, name: str):
+        """A block whose time counts, also if it fails."""
+        from contextlib import contextmanager
+
+        @contextmanager
+        def timed():
+            a = self.clock()
+            try:
+                yield self
+            finally:
+                self.mark(name, (self.clock() - a) * 1000)
+
+        return timed()
+
+    def finish(self) -> list[tuple[str, str, float]]:
+        """Rows (request, stage, ms) with the total, for a table of times."""
+        return [(self.request, k, round(v, 1)) for k, v in {**self.times, **self.offsets, "total": (self.clock() - self.began) * 1000}.items()]
+
+
+def latency(times: DataFrame, first: str = "first", total: str = "total") -> DataFrame:
+    """One row: median and 95 % of the time to the first piece and of the whole, by nearest rank, of (request, stage, ms)."""
+    p = evaluation.percentiles(times.where(F.col("stage").isin(first, total)), ["stage"], "ms", {"p50": 0.5, "p95": 0.95})
+    one = lambda s, c: F.max(F.when(F.col("stage") == s, F.round(c, 1)))
+    return p.agg(*(one(s, c).alias(f"{n}_{c}") for n, s in (("first", first), ("total", total)) for c in ("p50", "p95")))
+
+
+def first_marks(marks: DataFrame) -> DataFrame:
+    """(request, stage, ms): of offsets that were marked several times the first."""
+    return marks.groupBy("request", "stage").agg(F.min("ms").alias("ms"))
