@@ -218,7 +218,7 @@ def fit_clean(x: list[list[str]], y: np.ndarray, doc: np.ndarray) -> Model:
         model.accept = float(min(0.9, max(0.4, conf[order][good[-1]]))) if len(good) else 0.9
         up = order[::-1]
         low = np.flatnonzero(np.cumsum(right[up]) <= 0.5 * np.arange(1, len(up) + 1))
-        model.reject = float(conf[up][low[-1]]) if len(low) else 0.0
+        model.reject = min(model.accept, float(conf[up][low[-1]])) if len(low) else 0.0
     return model
 
 
