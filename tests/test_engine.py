@@ -68,6 +68,23 @@ def test_bm25_by_hand(spark):
     assert (r.query_id, r.doc_id) == (9, 1) and r.score == pytest.approx(want, abs=1e-5) and n == 4
 
 
+def test_lists_equal_all_pairs_ranked(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(n))
+    docs = spark.createDataFrame([(f"d{i:03}", text(rng.randrange(0, 30))) for i in range(200)] + [("x", None), ("y", "")], "doc_id string, text string")
+    q = spark.createDataFrame([(i, text(4)) for i in range(25)] + [(3, "w2 w2"), (90, None), (91, "unseen"), (92, "")], "query_id int, query string")
+    want = {}
+    for m in ("bm25", "sparse", "overlap"):
+        s = retrieval.matches(docs, q).select("query_id", "doc_id", F.col(m).alias("score"))
+        want[m] = {(m, r.query_id, r["rank"], r.doc_id, r.score) for r in retrieval.ranked(s, 7).collect()}
+    for terms, cells in ((200_000, 4_000_000), (11, 90)):
+        monkeypatch.setattr(retrieval, "TERMS", terms)
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        got = retrieval.lists_of(docs, q, ["bm25", "sparse", "overlap"], 7)
+        assert {(r.method, r.query_id, r["rank"], r.doc_id, r.score) for r in got.collect()} == set.union(*want.values())
+    assert retrieval.lists_of(docs.limit(0), q, ["bm25"], 3).count() == 0 and retrieval.lists_of(docs, q.limit(0), ["bm25"], 3).count() == 0
+
+
 def test_fusion_ignores_order_and_needs_no_common_list(spark):
     lists = [("a", 1, 10, 3.0, 1), ("a", 1, 11, 2.0, 2), ("b", 1, 11, 5.0, 1), ("b", 1, 12, 5.0, 2)]
     schema = "method string, query_id long, doc_id long, score double, rank int"

@@ -18,6 +18,8 @@ from vellum.session import checkpointed, estimated_bytes, small, spread
 K1, B = 1.5, 0.75
 #: Bytes of queries up to which their words go to every task.
 SMALL = 1 << 20
+#: Words of the queries that are sent together, and cells of a matrix of scores.
+TERMS, CELLS = 200_000, 4_000_000
 
 
 def ranked(scores: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "doc_id") -> DataFrame:
@@ -99,12 +101,109 @@ def sparse(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return matches(docs, queries).select("query_id", "doc_id", F.col("sparse").alias("score"))
 
 
-def lists_of(scored: DataFrame, methods: list[str], k: int) -> DataFrame:
-    """(method, query_id, doc_id, score, rank): the k best of each named score column of matches(); one pass and one shuffle for all of them."""
-    one = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in methods))).alias("x")
-    l = scored.select("query_id", "doc_id", one).select("x.method", "query_id", "doc_id", "x.score")  # noqa: E741
+def lists_of(docs: DataFrame, queries: DataFrame, methods: list[str], k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(method, query_id, doc_id, score, rank): the k best documents by bm25, sparse or overlap, as matches() scores them, without making all pairs.
+
+    Queries go to the tasks in blocks of at most TERMS words. Words of documents that no query of
+    the block has stay in the scan's task; the others are written once, as the frequencies of
+    words have to be known before any score. A task scores its documents word by word in
+    matrices of bounded size and answers with its own k best of each query and method, so what is
+    shuffled is k rows a task, method and query, however frequent a word is. A document is a row;
+    rows of one query id are one query.
+    """
+    d = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", T.words(F.col("text")).alias("w"))
+    q = queries.select("query_id", T.words(F.col("query")).alias("w")).where(F.size("w") > 0).groupBy("query_id").agg(F.flatten(F.collect_list("w")).alias("w"))
+    out, held, n = None, [], 0
+    for r in q.toLocalIterator():
+        held.append((r.query_id, r.w))
+        n += len(r.w)
+        if n >= TERMS:
+            got = _scored(d, held, q.schema["query_id"].dataType, methods, k, k1, b)
+            out, held, n = got if out is None else out.unionByName(got), [], 0
+    if held or out is None:
+        got = _scored(d, held, q.schema["query_id"].dataType, methods, k, k1, b)
+        out = got if out is None else out.unionByName(got)
     w = Window.partitionBy("method", "query_id").orderBy(F.desc("score"), "doc_id")
-    return l.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _scored(d: DataFrame, asked: list, kind, methods: list[str], k: int, k1: float, b: float) -> DataFrame:
+    """The k best of each task for one block of queries, given as (id, words)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark, doc = d.sparkSession, d.schema["doc_id"].dataType
+    types = to_arrow_type(kind), to_arrow_type(doc)
+    owner, word = np.repeat(np.arange(len(asked)), [len(w) for _, w in asked]), [x for _, w in asked for x in w]
+    vocabulary = pa.array(sorted(set(word)), pa.string())
+    term = pc.index_in(pa.array(word, pa.string()), value_set=vocabulary).to_numpy(zero_copy_only=False)
+    pairs, times = np.unique(np.stack([term, owner]).astype(np.int64), axis=1, return_counts=True)  # by word, then query
+    names = spark.sparkContext.broadcast(vocabulary)
+
+    def known(batches):
+        words = names.value
+        for x in batches:
+            lists = x.column(1)
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = pc.index_in(lists.flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            row, ids = row[ids >= 0], ids[ids >= 0].astype(np.int64)
+            code, tf = np.unique(row * max(1, len(words)) + ids, return_counts=True)
+            row, ids = code // max(1, len(words)), code % max(1, len(words))
+            ends = pa.array(np.searchsorted(row, np.arange(len(size) + 1)), pa.int32())
+            parts = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (ids, tf)]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size.astype(np.int32)), *parts], ["doc_id", "len", "ids", "tf"])
+
+    p = checkpointed(d.mapInArrow(known, f"doc_id {doc.simpleString()}, len int, ids array<int>, tf array<int>"))
+    size = p.agg(F.count("*").alias("n"), F.sum("len").alias("words")).first()
+    df = np.ones(len(vocabulary))
+    for r in p.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("df")).toLocalIterator():  # at most the block's words
+        df[r.id] = r.df
+    n, mean = max(1, size.n or 0), max((size.words or 0) / max(1, size.n or 0), 1e-9)
+    idf, plain = np.log((n - df + 0.5) / (df + 0.5) + 1), np.log(n / df) + 1
+    weight = {"bm25": times * idf[pairs[0]] * (k1 + 1), "sparse": times * plain[pairs[0]] ** 2, "overlap": np.ones(len(times))}
+    sent = spark.sparkContext.broadcast((pa.array([i for i, _ in asked], types[0]), np.searchsorted(pairs[0], np.arange(len(vocabulary) + 1)), pairs[1], {m: weight[m] for m in methods}))
+
+    def score(batches):
+        queries, edge, who, weight = sent.value
+        step = max(1, CELLS // max(1, len(queries)))
+        for x in batches:
+            for a in range(0, x.num_rows, step):
+                part = x.slice(a, step)
+                size = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                ids, tf = part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy().astype(float)
+                length = part.column(1).to_numpy()
+                row = np.repeat(np.arange(len(size)), size)
+                value = {"bm25": tf / (tf + k1 * (1 - b + b * length[row] / mean)), "sparse": tf, "overlap": np.ones(len(tf))}
+                by = np.argsort(ids, kind="stable")
+                cut = np.r_[np.flatnonzero(np.r_[True, np.diff(ids[by]) != 0]), len(by)] if len(by) else np.zeros(1, int)
+                groups = [(by[s:e], slice(edge[ids[by[s]]], edge[ids[by[s]] + 1])) for s, e in zip(cut, cut[1:])]
+                for m, w in weight.items():
+                    total = np.zeros((len(queries), len(size)))
+                    for at, span in groups:
+                        total[who[span, None], row[at]] += w[span, None] * value[m][at]
+                    yield _best(total, queries, part.column(0), k, m)
+
+    def _best(total, queries, docs, k, method):
+        few = min(k, total.shape[1])
+        least = np.partition(total, total.shape[1] - few, 1)[:, total.shape[1] - few]
+        r, c = np.nonzero((total >= least[:, None] - 2e-6) & (total > 0))  # rounding may make others equal to the last
+        v = np.round(total[r, c], 6)
+        order = np.lexsort((pc.rank(docs, "ascending").to_numpy()[c], -v, r))
+        r, c, v = r[order], c[order], v[order]
+        keep = np.flatnonzero(np.arange(len(r)) - np.searchsorted(r, r) < few)
+        return pa.RecordBatch.from_arrays([pa.array([method] * len(keep), pa.string()), queries.take(pa.array(r[keep])), docs.take(pa.array(c[keep])), pa.array(v[keep])], ["method", "query_id", "doc_id", "score"])
+
+    return p.where(F.size("ids") > 0).mapInArrow(score, f"method string, query_id {kind.simpleString()}, doc_id {doc.simpleString()}, score double")
+
+
+def with_overlap(near: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Candidates (query_id, doc_id, …) with the number of distinct words that both have; few a query, so only their texts are read again."""
+    w = lambda c: F.array_distinct(T.words(F.col(c)))
+    j = near.join(docs.select("doc_id", w("text").alias("_d")), "doc_id").join(queries.select("query_id", w("query").alias("_q")), "query_id")
+    return j.select(*near.columns, F.size(F.array_intersect("_d", "_q")).cast("double").alias("overlap"))
 
 
 def rrf(lists: DataFrame, k: float = 60, weights: dict[str, float] | None = None) -> DataFrame:
@@ -307,12 +406,10 @@ def pipeline(points: DataFrame, queries: DataFrame, constants: tuple[float, ...]
     one without words in the dense list only; a query with neither has no rows.
     """
     a = dense(points.where(usable(F.col("vector"), dim)).select("doc_id", "vector"), queries.where(usable(F.col("vector"), dim)).select("query_id", "vector"), depth)
-    b = lists_of(matches(points, queries), ["sparse"], depth).select("query_id", "doc_id", "rank")
+    b = lists_of(points, queries, ["sparse"], depth).select("query_id", "doc_id", "rank")
     both = a.select(F.lit("dense").alias("method"), "query_id", "doc_id", "rank").unionByName(b.select(F.lit("sparse").alias("method"), "*"))
     near = rrf_grid(both, [(c, {}) for c in constants], keep).select(F.col("k").alias("constant"), "query_id", "doc_id", "rank")
-    w = lambda c: F.array_distinct(T.words(F.col(c)))
-    near = near.join(points.select("doc_id", w("text").alias("_d")), "doc_id").join(queries.select("query_id", w("query").alias("_q")), "query_id")  # `keep` rows a query
-    near = near.select("constant", "query_id", "doc_id", "rank", F.size(F.array_intersect("_d", "_q")).cast("double").alias("overlap"))
+    near = with_overlap(near, points, queries)
     return threshold(rerank_lexical(near, queries, k, ["constant"]), least, ["constant"]).select("constant", "query_id", "doc_id", "rank", "score")
 
 
@@ -329,10 +426,10 @@ def answer_context(chunks: DataFrame, queries: DataFrame, model=None, k: int = 4
 
 def full_pipeline(docs: DataFrame, queries: DataFrame, dense_lists: DataFrame, k: int = 4, bonus: float = 0.05) -> DataFrame:
     """Queries with abbreviations written out, BM25 and dense lists fused by rank, the best 2k with a bonus for each distinct shared word, the best k."""
-    m = checkpointed(matches(docs, queries.withColumn("query", T.expand(F.col("query")))))
-    a = lists_of(m, ["bm25"], 100)
+    full = queries.withColumn("query", T.expand(F.col("query")))
+    a = lists_of(docs, full, ["bm25"], 100)
     fused = ranked(rrf(a.unionByName(dense_lists.select(*a.columns))), 2 * k).drop("rank")
-    shared = m.select("query_id", "doc_id", F.col("overlap").alias("shared"))
+    shared = with_overlap(fused.select("query_id", "doc_id"), docs, full).withColumnRenamed("overlap", "shared")
     s = fused.join(shared, ["query_id", "doc_id"], "left").withColumn("score", F.round(F.col("score") + bonus * F.coalesce("shared", F.lit(0.0)), 9)).drop("shared")
     return ranked(s, k)
 

@@ -34,7 +34,7 @@ _RANK = "row_number() over (partition by query_id order by score desc, doc_id)"
 
 @query(_BASE + f"select * from (select query_id, doc_id, score, {_RANK} as rank from bm) where rank <= 10")
 def bm25_top10(spark, d):
-    return R.ranked(R.bm25(_docs(spark, d), _questions(spark, d)), 10)
+    return R.lists_of(_docs(spark, d), _questions(spark, d), ["bm25"], 10).drop("method")
 
 
 @query(_BASE + "select token, df, round(ln(((select n from s) - df + 0.5) / (df + 0.5) + 1), 6) as idf from df")
@@ -51,12 +51,12 @@ def corpus_size(spark, d):
 
 @query(_BASE + f"select * from (select query_id, doc_id, score, {_RANK} as rank from ov) where rank <= 10")
 def overlap_top10(spark, d):
-    return R.ranked(R.overlap(_docs(spark, d), _questions(spark, d)), 10)
+    return R.lists_of(_docs(spark, d), _questions(spark, d), ["overlap"], 10).drop("method")
 
 
 @query(_BASE + f"select * from (select query_id, doc_id, score, {_RANK} as rank from sp) where rank <= 10")
 def sparse_top10(spark, d):
-    return R.ranked(R.sparse(_docs(spark, d), _questions(spark, d)), 10)
+    return R.lists_of(_docs(spark, d), _questions(spark, d), ["sparse"], 10).drop("method")
 
 
 _LISTS = (
@@ -68,7 +68,7 @@ _LISTS = (
 
 
 def _lists(spark, d):
-    return R.lists_of(R.matches(_docs(spark, d), _questions(spark, d)), ["bm25", "overlap"], 100)
+    return R.lists_of(_docs(spark, d), _questions(spark, d), ["bm25", "overlap"], 100)
 
 
 @query(_LISTS + f", f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score from lists group by all) select * from (select query_id, doc_id, score, {_RANK} as rank from f) where rank <= 4")
@@ -108,8 +108,8 @@ rr as (select * from (select *, row_number() over (partition by query_id order b
 
 def _reranked(spark, d):
     q = _questions(spark, d)
-    m = R.matches(_docs(spark, d), q).select("query_id", "doc_id", F.col("bm25").alias("score"), "overlap")
-    return R.rerank_lexical(R.ranked(m, 8), q)
+    near = R.lists_of(_docs(spark, d), q, ["bm25"], 8).select("query_id", "doc_id", "rank")
+    return R.rerank_lexical(R.with_overlap(near, _docs(spark, d), q), q)
 
 
 @query(_RERANK + "select query_id, doc_id, before, score, rank from rr")
