@@ -97,20 +97,29 @@ class Model:
         return self.__dict__ | {"known": {}}
 
     def fit(self, x: list[list[str]], y: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS, batch: int = 128) -> Model:
-        subs: dict[str, list[int]] = {}
-        flat = [np.array([i for w in s for i in (subs.get(w) or subs.setdefault(w, subwords(w)))], np.int64) for s in x]
-        epochs = max(epochs, -(-STEPS * batch // max(1, len(flat))))  # a small sample is read more often
+        # a batch works on its distinct words: their subwords are summed once, and gradients go back by word
+        code, uniq = pd.factorize(np.array([w for p in x for w in p], object))
+        subs = [subwords(w) for w in uniq]
+        many = np.array([len(i) for i in subs])
+        flat, begin = np.array([i for w in subs for i in w], np.int64), np.r_[0, np.cumsum(many)]
+        length = np.array([len(p) for p in x])
+        first = np.r_[0, np.cumsum(length)]
+        epochs = max(epochs, -(-STEPS * batch // max(1, len(x))))  # a small sample is read more often
         weight = 1 / np.maximum(np.bincount(y, minlength=len(self.b)), 1)
         weight = weight / weight[y].mean()
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
-            order = rng.permutation(len(flat))
+            order = rng.permutation(len(x))
             for a in range(0, len(order), batch):
                 rows = order[a : a + batch]
-                size = np.array([len(flat[r]) for r in rows])
-                idx = np.concatenate([flat[r] for r in rows])
-                at = np.r_[0, np.cumsum(size)[:-1]]
-                h = np.add.reduceat(self.e[idx], at, axis=0) / size[:, None]
+                n = length[rows]
+                at = np.r_[0, np.cumsum(n)[:-1]]
+                words, of = np.unique(code[np.repeat(first[rows] - at, n) + np.arange(n.sum())], return_inverse=True)
+                k = many[words]
+                start = np.r_[0, np.cumsum(k)[:-1]]
+                idx = flat[np.repeat(begin[words] - start, k) + np.arange(k.sum())]
+                size = np.add.reduceat(k[of], at)
+                h = np.add.reduceat(np.add.reduceat(self.e[idx], start, axis=0)[of], at, axis=0) / size[:, None]
                 z = h @ self.w + self.b
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
@@ -119,10 +128,12 @@ class Model:
                 gh = (g @ self.w.T) / size[:, None]
                 self.w -= rate * (h.T @ g) / len(rows) * 8
                 self.b -= rate * g.mean(0)
+                by = np.argsort(of, kind="stable")
+                back = np.add.reduceat(np.repeat(gh, n, axis=0)[by], np.searchsorted(of[by], np.arange(len(words))), axis=0)
                 by = np.argsort(idx)  # sums of equal rows; far cheaper than an unbuffered add
-                at_, step = idx[by], np.repeat(gh, size, axis=0)[by]
-                first = np.flatnonzero(np.r_[True, at_[1:] != at_[:-1]])
-                self.e[at_[first]] -= rate * np.add.reduceat(step, first, axis=0)
+                at_, step = idx[by], np.repeat(back, k, axis=0)[by]
+                edge = np.flatnonzero(np.r_[True, at_[1:] != at_[:-1]])
+                self.e[at_[edge]] -= rate * np.add.reduceat(step, edge, axis=0)
         return self
 
     def vectors(self, words: list[str]) -> np.ndarray:
