@@ -43,7 +43,7 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= most else df
 
 
-def spread(df: DataFrame, *keys: str, most: int = 64 << 20) -> DataFrame:
+def spread(df: DataFrame, *keys: str, most: int = 16 << 20) -> DataFrame:
     """df over all cores by keys if it is a table of at most `most` bytes, which one file and so one task may hold; larger ones are left as they are read."""
     return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism), *keys) if estimated_bytes(df) <= most else df
 
