@@ -293,9 +293,9 @@ def _grams(told: DataFrame) -> DataFrame:
 
 def defects(cache: DataFrame, model: languages.Model) -> DataFrame:
     """(entry_id, defect) of every entry of cache (entry_id, query, answer) whose answer has one; languages are told by a trained model."""
-    from vellum.session import checkpointed
+    from vellum.session import checkpointed, spread
 
-    rows = cache.select(F.col("entry_id").cast("bigint"), "query", "answer").where("entry_id is not null")
+    rows = spread(cache.select(F.col("entry_id").cast("bigint"), "query", "answer"), "entry_id").where("entry_id is not null")
     seen = checkpointed(rows.mapInPandas(_read(cache.sparkSession.sparkContext.broadcast(model)), PASS))
     judged = seen.where("entry_id is not null")
     told = seen.where("sentence is not null").groupBy("sentence", "done").agg(F.sum("n").alias("n"))

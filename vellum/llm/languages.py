@@ -324,6 +324,8 @@ def judged(model: Model, texts: list[str], least: int = LEAST) -> Iterator[tuple
 
 def segments(docs: DataFrame, model: Model, least: int = LEAST) -> DataFrame:
     """The segments of every document with their language, or `unknown`, a confidence and the best guess. start and length count characters of the stored text, so a segment can be cut out of it."""
+    from vellum.session import spread
+
     bc = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,7 +335,7 @@ def segments(docs: DataFrame, model: Model, least: int = LEAST) -> DataFrame:
             out = [(ids[k], *x[:4], LANGS[x[4]] if x[5] >= m.reject else "unknown", x[5], LANGS[x[4]]) for k, segs in judged(m, f["text"].tolist(), least) for x in segs]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENT.split(", ")])
 
-    return docs.select("doc_id", "text").where(F.length("text") >= least).mapInPandas(run, SEGMENT)
+    return spread(docs.select("doc_id", "text"), "doc_id").where(F.length("text") >= least).mapInPandas(run, SEGMENT)
 
 
 def shares(segs: DataFrame) -> DataFrame:

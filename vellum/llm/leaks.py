@@ -342,7 +342,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, share: float = SHAR
     """(doc_id, item_id, words_matched, passage_words, score), one row per document and item that leaked into it, by stretches or as an edited copy."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    from vellum.session import checkpointed
+    from vellum.session import checkpointed, spread
 
     spark = docs.sparkSession
     kind, of = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType.simpleString()
@@ -352,7 +352,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, share: float = SHAR
     if not there:
         return spark.createDataFrame([], hit)
     sent = spark.sparkContext.broadcast(_filter(kept, sum(there.values())))
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
+    texts = spread(docs.select("doc_id", "text"), "doc_id").where("doc_id is not null and text is not null and text <> ''")
     hits = texts.mapInArrow(_hits(sent, sorted(there), to_arrow_type(kind)), f"doc_id {kind.simpleString()}, gram bigint")
     shared = hits.join(kept.select("gram", "item_id", "times", "need"), "gram").groupBy("doc_id", "item_id", "need").agg(F.sum("times").alias("shared"))
     pairs = checkpointed(shared.where("shared >= need").select("doc_id", "item_id"))

@@ -77,7 +77,9 @@ def _encode(path: str):
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{FOLDER}/{VOCABULARY}", chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> DataFrame:
     """(key, ids) of every row of docs."""
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    from vellum.session import spread
+
+    d = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
     kind = docs.schema[key].dataType.simpleString()
     small = d.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(_encode(path), f"key {kind}, ids array<int>")
     long = _long(d.where(F.length("text") > chunk), chunk, overlap, margin, path, kind)
