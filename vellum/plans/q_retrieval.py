@@ -253,7 +253,7 @@ _TRUTH = """, t as (select e.item_id as query_id, doc_id from documents join eva
 
 
 @query(_LISTS + _TRUTH + """, hit as (select item_id, lang, bool_or(coalesce(method = 'overlap' and rank <= 4, false)) as before, bool_or(coalesce(method = 'bm25' and rank <= 4, false)) as after from eval_items join (select distinct query_id from t) k on k.query_id = item_id left join (select method, query_id, rank from lists join t using (query_id, doc_id)) h on h.query_id = item_id group by all)
-select lang, count(*) as n, round(avg(before::int), 6) as before, round(avg(after::int), 6) as after from hit group by rollup (lang)""")
+select lang, count(*) as n, round(avg(before::int), 6) as before, round(avg(after::int), 6) as after from hit group by rollup (lang) having count(*) > 0""")
 def grouped_before_after(spark, d):
     """Questions answered by the best four documents, by language: ranked by shared words before, by BM25 after."""
     from vellum.operators import evaluation
