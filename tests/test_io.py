@@ -93,11 +93,9 @@ def _play(spark, tmp_path, df, f, name, mode="append"):
     src = str(tmp_path / name)
     df.write.json(src)
     out = f(spark.readStream.schema(df.schema).json(src))
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"{name}-state")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+    q.awaitTermination(20)  # one with timeouts by the clock goes on
+    q.stop()
     return spark.table(name)
 
 
