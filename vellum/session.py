@@ -44,8 +44,9 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str, most: int = 16 << 20) -> DataFrame:
-    """df over all cores by keys if it is a table of at most `most` bytes, which one file and so one task may hold; larger ones are left as they are read."""
-    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism), *keys) if estimated_bytes(df) <= most else df
+    """df over all cores by keys if it is a table of at most `most` bytes in fewer files than there are cores, which few tasks would read; other tables are left as they are read."""
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores, *keys) if estimated_bytes(df) <= most and len(df.inputFiles()) < cores else df
 
 
 def _path(spark: SparkSession, path: str):
