@@ -124,6 +124,30 @@ def test_dense_skips_unusable_vectors(spark):
     assert retrieval.dense(v, q.limit(0), 2).count() == 0
 
 
+def test_pipeline_of_many_queries_is_exact_without_lists_of_every_task(spark, monkeypatch):
+    from vellum.operators import fused
+
+    rng = random.Random(5)
+    said = lambda: None if rng.random() < 0.05 else " ".join(rng.choice(["the", "exam", "fee", "room", f"k{rng.randrange(40)}", f"n{rng.randrange(400)}"]) for _ in range(rng.randrange(8)))
+
+    def vector():
+        if rng.random() < 0.1:
+            return rng.choice([None, [0.0, 0.0, 0.0], [1.0, float("nan"), 0.0], [1.0, float("inf"), 0.0], [1.0], []])
+        return [float(rng.randrange(-2, 3)) for _ in range(3)]
+
+    p = spark.createDataFrame([(f"d{i}", said(), vector()) for i in range(700)], "doc_id string, text string, vector array<float>")
+    q = spark.createDataFrame([(i, said(), vector()) for i in range(120)], "query_id bigint, query string, vector array<float>")
+    run = lambda: sorted(map(tuple, retrieval.pipeline(p, q, (2, 60), depth=20, dim=3, least=0.5).collect()))
+    want = run()
+    for name, value in (("BLOCK", 16), ("PIECE", 150), ("FREQUENT", 5)):
+        monkeypatch.setattr(fused, name, value)
+    monkeypatch.setattr(retrieval, "MANY", 100)
+    for name in ("dense", "lists_of"):  # these give rows of every task for every query
+        monkeypatch.setattr(retrieval, name, lambda *_: 1 / 0)
+    assert want and run() == want
+    assert retrieval.pipeline(p.limit(0), q, depth=20, dim=3).count() == 0
+
+
 def test_pipeline_joins_dense_and_sparse_lists(spark):
     p = spark.createDataFrame([(1, "fees of the course", [1.0, 0.0]), (2, "opening hours", [0.9, 0.1]), (3, None, [0.0, 1.0]), (4, "course", None)], "doc_id int, text string, vector array<double>")
     q = spark.createDataFrame([(7, "course fees", [1.0, 0.0]), (8, "hours", None), (9, None, None)], "query_id int, query string, vector array<double>")

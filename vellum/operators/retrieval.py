@@ -20,6 +20,8 @@ K1, B = 1.5, 0.75
 SMALL = 1 << 20
 #: Words of the queries that are sent together, and cells of a matrix of scores.
 TERMS, CELLS = 200_000, 4_000_000
+#: Queries above which pipeline() takes them through the points block by block.
+MANY = 1024
 
 
 def ranked(scores: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "doc_id") -> DataFrame:
@@ -403,12 +405,22 @@ def pipeline(points: DataFrame, queries: DataFrame, constants: tuple[float, ...]
     Dense and sparse lists of `depth` are fused by rank, once for each constant; the best `keep`
     are re-ranked by shared words and the best k stay, of these the ones of at least `least`
     unless none is. A query or point without a usable vector takes part in the sparse list only,
-    one without words in the dense list only; a query with neither has no rows.
+    one without words in the dense list only; a query with neither has no rows. Few queries go to
+    the points; many are taken through them block by block, as lists of every task for every query
+    would outgrow the tables.
     """
-    a = dense(points.where(usable(F.col("vector"), dim)).select("doc_id", "vector"), queries.where(usable(F.col("vector"), dim)).select("query_id", "vector"), depth)
-    b = lists_of(points, queries, ["sparse"], depth).select("query_id", "doc_id", "rank")
-    both = a.select(F.lit("dense").alias("method"), "query_id", "doc_id", "rank").unionByName(b.select(F.lit("sparse").alias("method"), "*"))
-    near = rrf_grid(both, [(c, {}) for c in constants], keep).select(F.col("k").alias("constant"), "query_id", "doc_id", "rank")
+    n, ids = queries.agg(F.count("*"), F.count_distinct("query_id")).first()
+    if n > MANY and n == ids:
+        from vellum.operators.fused import fused
+
+        own = lambda df, key, text: spread(df.select(key, text, "vector"), key).select(key, T.words(F.col(text)).alias("w"), F.when(usable(F.col("vector"), dim), F.col("vector")).alias("vector"))
+        near = fused(own(points, "doc_id", "text"), own(queries, "query_id", "query"), constants, depth, keep, dim)
+        near = near.withColumn("constant", F.col("constant").cast("int" if all(isinstance(c, int) for c in constants) else "double"))
+    else:
+        a = dense(points.where(usable(F.col("vector"), dim)).select("doc_id", "vector"), queries.where(usable(F.col("vector"), dim)).select("query_id", "vector"), depth)
+        b = lists_of(points, queries, ["sparse"], depth).select("query_id", "doc_id", "rank")
+        both = a.select(F.lit("dense").alias("method"), "query_id", "doc_id", "rank").unionByName(b.select(F.lit("sparse").alias("method"), "*"))
+        near = rrf_grid(both, [(c, {}) for c in constants], keep).select(F.col("k").alias("constant"), "query_id", "doc_id", "rank")
     near = with_overlap(near, points, queries)
     return threshold(rerank_lexical(near, queries, k, ["constant"]), least, ["constant"]).select("constant", "query_id", "doc_id", "rank", "score")
 
